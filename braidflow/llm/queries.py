@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, license_scan, token_output
+from . import lang_id, license_scan, secret_scan, token_output, toxicity
 from .common import read_table
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the segments."""
     return token_output.encode_documents(read_table(spark, sf_dir, "documents"))
@@ -23,8 +27,12 @@ def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_license_scan, op6_token_output, op9_lang_id)
+    found = (op2_license_scan, op3_secret_scan, op6_token_output, op9_lang_id, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
