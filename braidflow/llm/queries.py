@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, license_scan, media_columns, secret_scan, token_output, toxicity
+from . import decontaminate, lang_id, license_scan, media_columns, secret_scan, token_output, toxicity
 from .common import read_table
 
 
@@ -18,6 +18,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place of a benchmark item in a document."""
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the segments."""
     return token_output.encode_documents(read_table(spark, sf_dir, "documents"))
@@ -36,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_license_scan, op3_secret_scan, op4_media_columns, op6_token_output, op9_lang_id, op10_toxicity)
+    found = (op2_license_scan, op3_secret_scan, op4_media_columns, op5_decontaminate, op6_token_output, op9_lang_id, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
