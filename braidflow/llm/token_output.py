@@ -30,7 +30,7 @@ MAGIC = b"BFT1"
 SEGMENT_IDS = 1 << 20
 END_ID = 2
 #: Distinct units that a worker keeps ids of before it starts anew: bounded memory.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 1_000_000
 
 # The pieces into which the vocabulary's own file splits lower-case text, for
 # text of Latin code points below U+0250. Anything else goes through the library as it is.
@@ -50,7 +50,7 @@ class Encoder:
     whole.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
 
     def __init__(self, path: str) -> None:
         import os
@@ -86,7 +86,7 @@ class Encoder:
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Places in ``first`` of the units' hashes, -1 where unknown."""
-        shift, out = np.uint64(42), np.full(len(hashes), -1, np.int64)
+        shift, out = np.uint64(43), np.full(len(hashes), -1, np.int64)
         slots, todo = (hashes >> shift).astype(np.int64), np.arange(len(hashes))
         while len(todo):
             have = self.keys[slots]
@@ -107,7 +107,7 @@ class Encoder:
         base = len(self.first) - 1
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
         self.ids = np.concatenate((self.ids, *own))
-        slots, todo = (hashes >> np.uint64(42)).astype(np.int64), np.arange(len(hashes))
+        slots, todo = (hashes >> np.uint64(43)).astype(np.int64), np.arange(len(hashes))
         while len(todo):
             free = self.keys[slots] == 0
             self.keys[slots[free]] = hashes[todo[free]]
@@ -324,14 +324,14 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = END_ID, segme
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids, counts, parts, held = [], [], [], 0
 
         def flush():
-            nonlocal seq, ids, counts, parts, held
+            nonlocal seq, before, ids, counts, parts, held
             raw = segment(ids, counts, shared.value[np.concatenate(parts)])
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "raw": pa.array([raw], pa.binary())})
-            seq, ids, counts, parts, held = seq + 1, [], [], [], 0
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "before": pa.array([before], pa.int64()), "raw": pa.array([raw], pa.binary())})
+            seq, before, ids, counts, parts, held = seq + 1, before + held, [], [], [], 0
             return row
 
         for batch in batches:
@@ -348,7 +348,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = END_ID, segme
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
-    table = common.written(ordered.mapInArrow(build, "part int, seq int, n_docs long, n_ids long, raw binary"), "segments")
+    table = common.written(ordered.mapInArrow(build, "part int, seq int, n_docs long, n_ids long, before long, raw binary"), "segments")
     # One number per task goes to the driver and back: bounded by the number of partitions.
     sums = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     starts, total = [], 0
@@ -356,12 +356,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = END_ID, segme
         starts.append((part, total))
         total += count
     starts = spark.createDataFrame(starts, "part int, part_start long")
-    from pyspark.sql import Window
-
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    places = table.select("part", "seq", "n_ids").withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(starts), "part")
-    places = places.select("part", "seq", (F.col("part_start") + F.col("before")).alias("start"))
-    return table.join(places, ["part", "seq"]), order
+    return table.join(F.broadcast(starts), "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part_start", "before"), order
 
 
 def read_back(segments: DataFrame, order: np.ndarray) -> DataFrame:
