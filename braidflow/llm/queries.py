@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lang_id, license_scan, media_columns, near_dup, secret_scan, token_output, toxicity
+from . import decontaminate, html_extract, lang_id, license_scan, media_columns, near_dup, secret_scan, token_output, toxicity
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_digest(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_license_scan, op3_secret_scan, op4_media_columns, op5_decontaminate, op6_token_output, op8_near_dup, op9_lang_id, op10_toxicity)
+    found = (op1_html_extract, op2_license_scan, op3_secret_scan, op4_media_columns, op5_decontaminate, op6_token_output, op8_near_dup, op9_lang_id, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
