@@ -39,11 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a rerun of tasks that read the table, never of
     what made it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return _table(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _table(df: DataFrame, path: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, in a place of its own that ``purge`` leaves alone."""
+    return _table(df, f"{shared_dir(df.sparkSession)}-kept/{name}-{uuid.uuid4().hex[:12]}")
 
 
 def purge(spark: SparkSession) -> None:

@@ -163,22 +163,23 @@ def fit(docs: DataFrame, is_training: Column, sample_docs: int = SAMPLE_DOCS) ->
     return fit_arrays([r["lang"] for r in got], np.stack([np.frombuffer(r["counts"], np.uint16) for r in got]) if got else np.zeros((0, DIM)), np.array([r["letters"] for r in got]))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and lang_pred, lang_score, lang_cosine, lang_rejected, from text only.
+def predict(docs: DataFrame, model: Model, keep: list[str], text_too: bool = False) -> DataFrame:
+    """``keep`` columns (with text_too, text can be one) and lang_pred, lang_score, lang_cosine, lang_rejected, from text only.
 
     Null text counts as empty; a text without a letter is ``und``, score 0, rejected.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    source = docs.select(*keep) if text_too else docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    name_of_text = "text" if text_too else "__text"
     schema = docs.select(*keep).schema
     for name, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_cosine", "double"), ("lang_rejected", "boolean")):
         schema = schema.add(name, kind)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = common.texts(batch.column("__text"))
+            texts = common.texts(batch.column(name_of_text))
             out: tuple[list, ...] = ([], [], [], [])
             at = 0
             while at < len(texts):

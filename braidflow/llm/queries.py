@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, lang_id, license_scan, media_columns, near_dup, secret_scan, token_output, toxicity
+from . import decontaminate, html_extract, lang_id, license_scan, media_columns, mixing, near_dup, secret_scan, token_output, toxicity
 from .common import read_table
 
 
@@ -36,6 +36,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(read_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extract, op2_license_scan, op3_secret_scan, op4_media_columns, op5_decontaminate, op6_token_output, op8_near_dup, op9_lang_id, op10_toxicity)
+    found = (op1_html_extract, op2_license_scan, op3_secret_scan, op4_media_columns, op5_decontaminate, op6_token_output, op7_mixing, op8_near_dup, op9_lang_id, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
