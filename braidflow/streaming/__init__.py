@@ -1 +1,30 @@
-"""See the package README section on layout."""
+"""Incremental runs as streams: only files that no earlier run has seen are read."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.patterns import literal_root, to_glob, to_regex
+
+__all__ = ["process_new_files"]
+
+
+def process_new_files(spark: SparkSession, pattern: str, output: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], source: str = "text", schema: str | None = None, **options: str) -> None:
+    """Run ``work`` on the rows of files that match and are new since the last call, append
+    its rows to ``output`` (Parquet), and remember the files in ``checkpoint``.
+
+    ``work`` must be row-wise or a stream aggregation in append mode; the wildcards are
+    columns of its input. Exactly once, also if a run is cut short.
+    """
+    regex, names = to_regex(pattern)
+    reader = spark.readStream.format(source).options(**options).option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", to_glob(pattern).rsplit("/", 1)[-1])
+    stream = (reader.schema(schema) if schema else reader).load(literal_root(pattern))
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
+    matched = stream.select("*", path.alias("__path")).where(F.col("__path").rlike(regex))
+    captured = matched.select(*stream.columns, *(F.regexp_extract("__path", regex, i).alias(n) for i, n in enumerate(names, 1)))
+    query = work(captured).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
