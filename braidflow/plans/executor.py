@@ -249,7 +249,7 @@ def _fan_out(parts: list[tuple[Node, Any]], ctx: Context, forced: bool) -> list[
     if ctx.spark is not None:
         from pyspark import inheritable_thread_target
 
-        target = inheritable_thread_target(one)
+        target = inheritable_thread_target(ctx.spark)(one)
     threads = [threading.Thread(target=target, args=(i,), daemon=True) for i in range(len(parts))]
     for t in threads:
         t.start()
@@ -320,7 +320,7 @@ def _(node: Timeout, ctx: Context, forced: bool, value: Any) -> Results:
     if ctx.spark is not None:
         from pyspark import inheritable_thread_target
 
-        target = inheritable_thread_target(work)
+        target = inheritable_thread_target(ctx.spark)(work)
     began = time.monotonic()
     thread = threading.Thread(target=target, daemon=True)
     thread.start()
