@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAINING_PAGES = 160
+TRAINING_PAGES = 180
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +44,7 @@ WORDS = frozenset(
     "popup modal overlay comment comments reply replies respond discussion disqus share social related recommended more newsletter subscribe signup form login search pagination pager tags "
     "content article post entry main story body text page wrapper container hidden contentinfo complementary banner toolbar skip".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:(/?)>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -     　]+")
@@ -162,8 +162,7 @@ def parse(source: str) -> Page:
             say(" ")
         elif tag == "a":
             anchors += 1
-        if not m[4] or tag in BLOCK:
-            stack.append((tag, node, dropped))
+        stack.append((tag, node, dropped))  # as the standard says, a slash closes no element
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             at = end.start() if end else n
@@ -256,7 +255,7 @@ def _gold(page: Page) -> list[int]:
     return [x.gold if x.gold is not None else int(v > 0) for x, v in zip(page.nodes, votes)]
 
 
-def fit(pages: list[str], rounds: int = 60, rate: float = 0.5, decay: float = 2e-3) -> Model:
+def fit(pages: list[str], rounds: int = 60, rate: float = 0.8, decay: float = 5e-4) -> Model:
     """Gradient ascent (RMS-scaled) on the labels' likelihood; deterministic."""
     parsed = [(p, _gold(p)) for p in map(parse, pages) if p.blocks]
     kinds = sorted({_edge(x) for p, _ in parsed for x in p.nodes if x.used})
@@ -363,10 +362,10 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
                 out.append(f"<p>{body}</p>")
             elif kind < 0.7:
                 out.append(f"<p><b>{words(1, 6)}.<br><p>{body}</p>")
-            elif kind < 0.76:
+            elif kind < 0.75:
                 out.append(f"<h2>{words(1, 7)}</h2>")
-            elif kind < 0.82:
-                out.append("<ul>" + "".join(f"<li>{sentences(1, 1)}</li>" for _ in range(3)) + "</ul>")
+            elif kind < 0.83:
+                out.append("<ul>" + "".join(f"<li>{rng.choice((sentences(1, 1), words(1, 6), link(1, 4)))}</li>" for _ in range(3)) + "</ul>")
             elif kind < 0.87:
                 out.append(f"<blockquote><p>{sentences(1, 3)}</p></blockquote>")
             elif kind < 0.91:
@@ -388,11 +387,19 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
             body = body[:cut] + "".join(inside) + body[cut:]
         tag = rng.choice(("article", "article", "article", "main", "div", "section"))
         names = ("", "", "content", "post", "entry-content", "story") if tag in ("article", "main") else ("content", "article-body", "post", "entry", "main", "story")
+        inner = ("content", "post-body", "entry-content", "article-text", "story-body", "main-content", "text", "")
+        if rng.random() < 0.35:  # the text in a part of the part
+            cut = body.find("</h1>") + 5 if rng.random() < 0.5 else 0
+            body = body[:cut] + part(rng.choice(("div", "div", "section")), body[cut:], *inner, gold=1)
         core = part(tag, body, *names, gold=1)
         if rng.random() < 0.4:
             core = f'<div{attribute("wrapper", "container", "", "page")}>' + "".join(x() for x in (menu, sidebar) if rng.random() < 0.4) + core + "".join(x() for x in (sidebar, advert) if rng.random() < 0.4) + "</div>"
         before = "".join(x() for x in (notice, header, menu, advert, form) if rng.random() < 0.45)
         after = "".join(x() for x in (comments, sidebar, advert, form, notice) if rng.random() < 0.3) + (rng.choice((footer, bare_footer))() if rng.random() < 0.9 else "")
+        if rng.random() < 0.25:  # an article and nothing else
+            before = after = ""
+            if rng.random() < 0.6:
+                core = part(tag, "".join(f"<p>{words(1, 5)}.</p>" for _ in range(rng.randint(1, 2))), *names, gold=1)
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{}}</style></head><body>{before}{core}{after}</body></html>")
     return pages
 

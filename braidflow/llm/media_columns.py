@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -314,7 +315,8 @@ def describe_blobs(blobs: DataFrame, blob: str = "blob", declared: str | None =
     """
     common.small_batches(blobs.sparkSession)
     keep = blobs.columns
-    schema = blobs.schema.add("true_type", "string").add("fixed_type", "string").add("carved", "array<struct<start:long,length:long,type:string>>")
+    part = T.StructType().add("start", "long").add("length", "long").add("type", "string")
+    schema = T.StructType([*blobs.schema, T.StructField("true_type", T.StringType()), T.StructField("fixed_type", T.StringType()), T.StructField("carved", T.ArrayType(part))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
