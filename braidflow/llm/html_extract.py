@@ -396,9 +396,9 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
             core = f'<div{attribute("wrapper", "container", "", "page")}>' + "".join(x() for x in (menu, sidebar) if rng.random() < 0.4) + core + "".join(x() for x in (sidebar, advert) if rng.random() < 0.4) + "</div>"
         before = "".join(x() for x in (notice, header, menu, advert, form) if rng.random() < 0.45)
         after = "".join(x() for x in (comments, sidebar, advert, form, notice) if rng.random() < 0.3) + (rng.choice((footer, bare_footer))() if rng.random() < 0.9 else "")
-        if rng.random() < 0.25:  # an article and nothing else
+        if rng.random() < 0.35:  # an article and nothing else
             before = after = ""
-            if rng.random() < 0.6:
+            if rng.random() < 0.7:
                 core = part(tag, "".join(f"<p>{words(1, 5)}.</p>" for _ in range(rng.randint(1, 2))), *names, gold=1)
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{}}</style></head><body>{before}{core}{after}</body></html>")
     return pages
