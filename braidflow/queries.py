@@ -201,7 +201,7 @@ _EDGES = "(VALUES ('report', 'clean'), ('report', 'index'), ('index', 'clean'),
 
 @query(f"WITH RECURSIVE e(o, i) AS (SELECT * FROM {_EDGES} v(o, i)), n(path, depth) AS (SELECT 'report', 0 UNION ALL SELECT e.i, n.depth + 1 FROM n JOIN e ON e.o = n.path) SELECT path, max(depth) AS depth FROM n GROUP BY path")
 def resolve_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame([("report", "clean"), ("report", "index"), ("index", "clean"), ("clean", "raw"), ("other", "raw")], "output string, input string")
+    edges = spark.createDataFrame([("report", "clean"), ("report", "index"), ("index", "clean"), ("clean", "raw"), ("other", "raw")], "output string, input string").coalesce(1)
     return operators.lineage(edges, "report")
 
 
