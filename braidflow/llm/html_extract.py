@@ -14,6 +14,7 @@ their number is a parameter, and the model's size doesn't depend on the corpus.
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import random
@@ -404,6 +405,12 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
     return pages
 
 
+@functools.cache
+def default_model() -> Model:
+    """The model of the training pages, fitted once per process; always the same."""
+    return fit(training_pages())
+
+
 # ---------------------------------------------------------------- on Spark
 
 
@@ -411,7 +418,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars and n_blocks of every page; a null page is empty."""
     spark = pages.sparkSession
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model or fit(training_pages()))
+    shared = spark.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
