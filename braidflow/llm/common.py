@@ -6,8 +6,10 @@ session's own is made only where that setting is missing (local runs and tests).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 #: Bytes of text that the vectorised code works on at a time (one longer text is taken alone).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -60,8 +62,32 @@ def purge(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application.
+
+    Not needed, and not done, where it came in an archive (``--py-files``) already.
+    """
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if spark.sparkContext.applicationId in _shipped or not os.path.isdir(package):
+        return
+    _shipped.add(spark.sparkContext.applicationId)
+    archive = os.path.join(tempfile.mkdtemp(prefix="braidflow-"), "braidflow.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows, for texts can be long; a session's own choice stays."""
+    """Before Python runs on executors: ship the code, and bound the Arrow batches by rows,
+    for texts can be long; a session's own choice stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
