@@ -9,11 +9,12 @@ and linked; linked texts form a class.
 What keeps this linear where a group is huge:
 
 * equal texts are one node, by a hash of the text, before anything else;
-* a bucket of up to SMALL texts gives all its pairs; a larger one gives its first text
-  with each other. Then classes are formed, and whatever a large bucket holds outside the
-  class of its first text is compared, LEADERS texts a round, with all of the bucket that
-  is in another class, until nothing is left. So every two texts of a bucket that end in
-  different classes have been compared, and no pair inside a class is needed twice;
+* a bucket of up to SMALL texts gives all its pairs; a larger one gives LEADERS of its
+  texts with each other one. Then classes are formed, and the texts of large buckets that are not in
+  one class yet are compared exactly by prefix filtering: with shingles in one order, rare
+  ones first, two texts alike enough share one of the first few of each (how many follows
+  from THRESHOLD and the texts' weights). So no link between texts of a bucket is lost,
+  and texts that differ too much to be linked never meet, however many there are;
 * joins on the pairs are plain equi-joins, which adaptive execution splits if skewed;
 * classes come from alternating star contractions over tables, nothing on the driver.
 
@@ -42,8 +43,9 @@ SAMPLES = BANDS * ROWS
 DAMPING = 0.25
 BITS = 20
 SLICE = 1 << 14
-SMALL = 8
-LEADERS = 8
+SMALL = 16
+#: Texts of a larger bucket that are compared with all of it: the least of each residue class.
+LEADERS = 4
 #: A pair whose samples agree less often than this isn't verified: 5 standard deviations
 #: below THRESHOLD.
 LEAST_AGREEMENT = 0.45
@@ -154,7 +156,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (of the text), words (whether it has any), and samples (binary)."""
+    """doc_id, key (of the text), samples, and sketch (two bytes of each sample)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
 
@@ -172,10 +174,11 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                             seen.clear()
                         seen[keys[k]] = got
                     out.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, pa.binary())], ["doc_id", "key", "samples"])
+            sketch = [np.frombuffer(x, _U).astype("<u2").tobytes() for x in out]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "key", "samples", "sketch"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key binary, samples binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key binary, samples binary, sketch binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -200,12 +203,12 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose samples agree often enough to be verified."""
-    samples = nodes.select(F.col("node"), F.col("samples"))
+    samples = nodes.select("node", F.col("sketch").alias("samples"))
     both = pairs.join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(-1, SAMPLES) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SAMPLES) for c in ("sa", "sb"))
             good = pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
             yield batch.select(["a", "b"]).filter(good)
 
@@ -296,65 +299,114 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common.small_batches(spark)
     idf = idf_table(docs)
     signed = common.written(signatures(docs, idf), "samples")
-    nodes = signed.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples"))
+    nodes = signed.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples"), F.first("sketch").alias("sketch"))
     nodes = common.written(nodes, "nodes")
     rows = signed.select("doc_id", "key").join(nodes.select("key", "node"), "key", "left")
     bands = _bands(nodes)
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.array_compact(F.array(*(F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(LEADERS)) == i, F.col("node"))) for i in range(LEADERS)))).alias("leaders")).where("size > 1")
     buckets = common.written(bands.join(sizes, "bucket"), "buckets")
     few = buckets.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("all"))
     couples = F.expr("flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x AS a, y AS b))))")
     pairs = few.select(F.explode(couples).alias("p")).select("p.a", "p.b")
     many = buckets.where(F.col("size") > SMALL)
-    pairs = pairs.unionAll(many.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))).distinct()
+    led = many.select(F.explode("leaders").alias("leader"), "node").where("leader <> node")
+    pairs = pairs.unionAll(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))).distinct()
     likely = common.written(_plausible(pairs, nodes), "pairs")
-    sets = _sets_of(docs, likely, nodes)
-    links = common.written(_verified(likely, sets, idf), "links")
-    crowded = common.written(many.select("bucket", "node", "first").distinct(), "crowded")
-    done = None
-    while True:
-        found = _next_pairs(crowded, links, done)
-        if found is None:
-            break
-        more, done = found
-        likely = common.written(_plausible(more, nodes).join(links.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if likely.isEmpty():
-            continue
-        links = common.written(links.unionByName(_verified(likely, _sets_of(docs, likely, nodes), idf)), "links")
+    crowded = common.written(many.select("node").distinct(), "crowded")
+    sets = _sets_of(docs, likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).unionAll(crowded))
+    links = common.written(_verified(likely, sets, idf).dropDuplicates(["a", "b"]), "links")
+    if not crowded.isEmpty():
+        labelled = common.written(_labelled(crowded, links), "labelled")
+        sizes = labelled.groupBy("label").agg(F.count("*").alias("size"))
+        met = _prefix_pairs(labelled.join(sizes, "label").join(sets, "node"), idf)
+        more = common.written(_plausible(met, nodes).join(likely, ["a", "b"], "left_anti"), "pairs")
+        links = common.written(links.unionByName(_verified(more, sets, idf)).dropDuplicates(["a", "b"]), "links")
     return rows, links
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Shingle sets of the texts in the pairs, as a table."""
-    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Shingle sets of the nodes' texts, as a table.
+
+    The texts are dealt out but not sorted: the hash table of the join holds ids alone.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return common.written(_sets(texts.join(needed, "node", "left_semi").dropDuplicates(["node"])), "sets")
-
-
-def _next_pairs(crowded: DataFrame, links: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
-    """The next leaders of crowded buckets with all texts of the bucket in other classes."""
-    if crowded.isEmpty():
-        return None
-    labelled = common.written(_labelled(crowded, links), "labelled")
-    core = labelled.where("node = first").select("bucket", F.col("label").alias("core"))
-    rest = labelled.join(core, "bucket").where("label <> core").select("bucket", "node", "label")
-    if done is not None:
-        rest = rest.join(done, ["bucket", "node"], "left_anti")
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-    leaders = common.written(rest.withColumn("n", order).where(F.col("n") <= LEADERS).drop("n"), "leaders")
-    if leaders.isEmpty():
-        return None
-    tested = leaders.select("bucket", "node")
-    others = labelled.select("bucket", F.col("node").alias("other"), F.col("label").alias("their"))
-    met = leaders.join(others, "bucket").where("label <> their").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return met, tested if done is None else common.written(done.unionAll(tested), "done")
+    return common.written(_sets(texts.join(nodes.distinct().hint("shuffle_hash"), "node", "left_semi")), "sets")
+
+
+# ---------------------------------------------------------------- prefix filtering
+
+#: Texts are matched within classes of total weight, each this much wider than the last.
+CLASS_STEP = np.log(1.05)
+_SLACK = 1 + 1e-6
+
+
+def prefix_keys(elements: np.ndarray, rarity: np.ndarray, weights: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a weighted set can meet a similar one, and whether as the lighter.
+
+    Sets x and y, x no heavier, of a similarity of THRESHOLD or more share at least
+    t / (1 + t) (Wx + Wy). Of elements in one global order all that they share stands at or
+    after the first shared one, so that one's rest of the set weighs as much in both; it is
+    among the keys of x as the lighter set, of its own class, and among those of y as the
+    heavier, for the class of x.
+    """
+    order = np.lexsort((elements, -rarity))
+    elements, weights = elements[order], weights[order].astype(np.float64)
+    rest = np.cumsum(weights[::-1])[::-1] * _SLACK
+    total = float(weights.sum())
+    t = THRESHOLD
+    kind = lambda w: int(np.floor(np.log(w) / CLASS_STEP))
+    own = elements[rest >= 2 * t / (1 + t) * total]
+    keys, light = [_keyed(own, kind(total), salt)], [np.ones(len(own), bool)]
+    for c in range(kind(t * total / _SLACK), kind(total) + 1):
+        least = max(np.exp(c * CLASS_STEP) / _SLACK, t * total)
+        first = elements[rest >= t / (1 + t) * (least + total)]
+        keys.append(_keyed(first, c, salt))
+        light.append(np.zeros(len(first), bool))
+    return np.concatenate(keys), np.concatenate(light)
+
+
+def _keyed(elements: np.ndarray, kind: int, salt: int) -> np.ndarray:
+    return common.mix(elements + _U((kind * 0x9E3779B97F4A7C15 + salt * 0xD6E8FEB86659FD93) % (1 << 64)))
+
+
+def _prefix_pairs(sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of different labels that prefix filtering can't rule out.
+
+    sets: node, label, size (texts of the label), shingles. Both similarities count: of the weighted shingles with
+    their counts (a shingle's second, third … time is an element of its own), and of the
+    plain set. Under each key, the texts outside the largest class meet the others.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                parts: list[tuple] = []
+                for node, label, size, raw in zip(*(part.column(c).to_pylist() for c in ("node", "label", "size")), part.column("shingles")):
+                    v = np.frombuffer(raw.as_py(), PACKED)
+                    key, n = v["key"], v["n"].astype(np.int64)
+                    if not len(key):
+                        continue
+                    weight = shared.value[(key >> _U(64 - BITS)).astype(np.int64)]
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    many = np.repeat(weight, n)
+                    counted = np.repeat(key, n) + nth.astype(_U) * _U(0xA0761D6478BD642F)
+                    for keys, light in (prefix_keys(counted, many, many, 1), prefix_keys(key, weight, np.ones(len(key)), 2)):
+                        parts.append((keys.view(np.int64), light, np.full(len(keys), node), np.full(len(keys), label), np.full(len(keys), size)))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["key", "light", "node", "label", "size"])
+
+    keys = common.written(sets.select("node", "label", "size", "shingles").mapInArrow(run, "key long, light boolean, node long, label long, size long"), "prefixes")
+    mixed = keys.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("core"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "core")
+    outside = keys.join(mixed, "key").where("label <> core").select("key", F.col("light").alias("l"), F.col("node").alias("n"), F.col("label").alias("own"))
+    met = outside.join(keys, "key").where("l <> light AND own <> label")
+    return met.select(F.least("n", "node").alias("a"), F.greatest("n", "node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the class's least doc_id), n_links (verified links of its text) and
-    n_copies (rows of the same text), a row per row of docs.
+    """doc_id, class_id (the class's least doc_id), n_links (verified links of its text),
+    n_copies (rows of the same text) and key (the text's SHA-256), a row per row of docs.
 
     Equal texts are in one class, null as the empty text. Texts without a word are alike
     only if equal. A null doc_id belongs to the class of its text if that has another
@@ -366,20 +418,27 @@ def classes(docs: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     copies = rows.groupBy("key").agg(F.count("*").alias("n_copies"))
     out = rows.join(components(links), "node", "left").join(ends, "node", "left").join(copies, "key")
-    return out.select("doc_id", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return out.select("doc_id", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are their class's least doc_id, with all their columns.
 
-    Of rows with equal doc_id one stays; a row without doc_id stays if its text is no one
-    else's (once).
+    Of rows with equal doc_id and text one stays. Rows without doc_id stay, once per text,
+    if no row with a doc_id has their text.
     """
     found = classes(docs)
-    stay = common.written(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__keep")).distinct(), "kept")
-    one = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__keep"]), "left_semi")
-    return one.dropDuplicates(["doc_id"]) if _repeats(docs) else one
+    stay = common.written(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "key").distinct(), "kept")
+    stay = stay.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"))
+    one = docs.withColumn("__own", _text_key())
+    one = one.join(stay, one["doc_id"].cast("long").eqNullSafe(stay["__doc_id"]) & (one["__own"] == stay["__key"]), "left_semi")
+    return (one.dropDuplicates(["doc_id", "__own"]) if _repeats(docs) else one).drop("__own")
 
 
 def _repeats(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _text_key():
+    """A text's SHA-256; null as the empty text."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))

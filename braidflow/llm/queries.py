@@ -41,7 +41,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(read_table(spark, sf_dir, "documents"))
+    return near_dup.classes(read_table(spark, sf_dir, "documents")).drop("key")
 
 
 def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

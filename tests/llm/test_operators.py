@@ -414,6 +414,28 @@ def test_classes_against_brute_force(spark):
     assert near_dup.classes(docs.limit(0)).count() == 0
 
 
+def test_prefix_keys_lose_no_similar_pair():
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    weight = dict(zip(pool.tolist(), np.round(rng.uniform(1, 1.25, 60), 2)))
+    met = pairs = 0
+    for _ in range(400):
+        x = rng.choice(pool, rng.integers(1, 40), replace=False)
+        y = np.unique(np.concatenate((rng.choice(x, max(1, int(len(x) * rng.uniform(0.75, 1))), replace=False), rng.choice(pool, rng.integers(0, 4)))))
+        wx, wy = (np.array([weight[k] for k in v.tolist()]) for v in (x, y))
+        both = np.intersect1d(x, y)
+        inside = sum(weight[k] for k in both.tolist())
+        keys = [near_dup.prefix_keys(v, w, w, 1) for v, w in ((x, wx), (y, wy))]
+        lighter, heavier = (set(k[light].tolist()) for k, light in keys), (set(k[~light].tolist()) for k, light in keys)
+        (lx, ly), (hx, hy) = tuple(lighter), tuple(heavier)
+        meet = bool(lx & hy or ly & hx)
+        if inside / (wx.sum() + wy.sum() - inside) >= near_dup.THRESHOLD:
+            pairs += 1
+            assert meet
+        met += meet
+    assert pairs > 50 and met < 400
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 4), (20, 21), (22, 21), (5, 5)], "a long, b long")
     assert dict(map(tuple, near_dup.components(edges).collect())) == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 20: 20, 21: 20, 22: 20}
