@@ -2,9 +2,10 @@
 
 A text is the weighted set of its five-word shingles; a shingle's weight is its count times
 an inverse document frequency over the whole corpus. Each of BANDS x ROWS samples picks a
-shingle so that two texts agree with the probability of their weighted Jaccard similarity.
-Texts that agree on a whole band meet in a bucket; pairs from buckets are verified exactly
-and linked; linked texts form a class.
+shingle so that two texts agree with the probability of their weighted Jaccard similarity;
+as many more, by minimal hashes, agree with that of the plain sets' similarity.
+Texts that agree on a whole band of either kind meet in a bucket; pairs from buckets are
+verified exactly and linked; linked texts form a class.
 
 What keeps this linear where a group is huge:
 
@@ -46,8 +47,8 @@ SLICE = 1 << 14
 SMALL = 16
 #: Texts of a larger bucket that are compared with all of it: the least of each residue class.
 LEADERS = 4
-#: A pair whose samples agree less often than this isn't verified: 5 standard deviations
-#: below THRESHOLD.
+#: A pair whose samples of both kinds agree less often than this isn't verified: 5 standard
+#: deviations below THRESHOLD.
 LEAST_AGREEMENT = 0.45
 
 _U = np.uint64
@@ -72,7 +73,8 @@ def _sampling_tables() -> dict[str, np.ndarray]:
         gamma = _gamma21_quantiles()
         _tables["r"] = gamma.astype(np.float32)
         _tables["log_c"] = np.log(gamma).astype(np.float32)
-        _tables["factor"] = common.mix(np.arange(1, SAMPLES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+        factors = common.mix(np.arange(1, 2 * SAMPLES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+        _tables["factor"], _tables["plain"] = factors[:SAMPLES], factors[SAMPLES:]
     return _tables
 
 
@@ -100,6 +102,17 @@ def icws(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def minwise(keys: np.ndarray) -> np.ndarray:
+    """SAMPLES 64-bit samples of a plain set: its least hashes."""
+    best = np.full(SAMPLES, ~_U(0), _U)
+    for at in range(0, len(keys), 4096):
+        x = keys[at : at + 4096] * _sampling_tables()["plain"][:, None]
+        x ^= x >> _U(29)
+        x *= _U(0xBF58476D1CE4E5B9)
+        np.minimum(best, x.min(axis=1), out=best)
+    return common.mix(best)
+
+
 def text_shingles(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct shingles, ascending, and their counts, of each text of a block."""
     words, first = common.word_hashes(data, off)
@@ -155,61 +168,67 @@ def idf_table(docs: DataFrame) -> np.ndarray:
 # ---------------------------------------------------------------- signatures
 
 
+def _banded(samples: np.ndarray) -> np.ndarray:
+    """A hash for each band of samples, of both kinds."""
+    x = samples.reshape(2 * BANDS, ROWS)
+    h = np.zeros(2 * BANDS, _U)
+    for k in range(ROWS):
+        h = common.mix(h * _U(0x9E3779B97F4A7C15) + x[:, k] + _U(k))
+    return common.mix(h + np.arange(2 * BANDS, dtype=_U))
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (of the text), samples, and sketch (two bytes of each sample)."""
+    """doc_id, key (of the text), bands (hashes), and sketch (two bytes of each sample)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bytes] = {}
+        seen: dict[bytes, tuple[bytes, bytes]] = {}
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            out: list[bytes] = []
+            out: list[tuple[bytes, bytes]] = []
             for row, data, off in common.blocks(batch.column("text")):
                 for k, (shingle, times) in enumerate(text_shingles(data, off), row):
                     got = seen.get(keys[k])
                     if got is None:
-                        got = icws(shingle, times * shared.value[(shingle >> _U(64 - BITS)).astype(np.int64)]).tobytes() if len(shingle) else b""
+                        got = b"", b""
+                        if len(shingle):
+                            samples = np.concatenate((icws(shingle, times * shared.value[(shingle >> _U(64 - BITS)).astype(np.int64)]), minwise(shingle)))
+                            got = _banded(samples).tobytes(), samples.astype("<u2").tobytes()
                         if len(seen) > 20_000:
                             seen.clear()
                         seen[keys[k]] = got
                     out.append(got)
-            sketch = [np.frombuffer(x, _U).astype("<u2").tobytes() for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "key", "samples", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["doc_id", "key", "bands", "sketch"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key binary, samples binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key binary, bands binary, sketch binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """band, bucket and node: a row for each band of each text with words."""
+    """bucket and node: a row for each band of each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            x = np.frombuffer(b"".join(batch.column("samples").to_pylist()), _U).reshape(n, BANDS, ROWS)
-            h = np.zeros((n, BANDS), _U)
-            for k in range(ROWS):
-                h = common.mix(h * _U(0x9E3779B97F4A7C15) + x[:, :, k] + _U(k))
-            h = common.mix(h + np.arange(BANDS, dtype=_U))
-            node = np.repeat(np.asarray(batch.column("node"), np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(node)], ["bucket", "node"])
+            h = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+            node = np.repeat(np.asarray(batch.column("node"), np.int64), 2 * BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node)], ["bucket", "node"])
 
-    return nodes.where(F.length("samples") > 0).select("node", "samples").mapInArrow(run, "bucket long, node long")
+    return nodes.where(F.length("bands") > 0).select("node", "bands").mapInArrow(run, "bucket long, node long")
 
 
 # ---------------------------------------------------------------- verification
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose samples agree often enough to be verified."""
+    """The pairs (a, b) whose samples of either kind agree often enough to be verified."""
     samples = nodes.select("node", F.col("sketch").alias("samples"))
     both = pairs.join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SAMPLES) for c in ("sa", "sb"))
-            good = pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 2, SAMPLES) for c in ("sa", "sb"))
+            good = pa.array((x == y).mean(axis=2).max(axis=1) >= LEAST_AGREEMENT)
             yield batch.select(["a", "b"]).filter(good)
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -299,7 +318,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common.small_batches(spark)
     idf = idf_table(docs)
     signed = common.written(signatures(docs, idf), "samples")
-    nodes = signed.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples"), F.first("sketch").alias("sketch"))
+    nodes = signed.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = common.written(nodes, "nodes")
     rows = signed.select("doc_id", "key").join(nodes.select("key", "node"), "key", "left")
     bands = _bands(nodes)

@@ -414,6 +414,26 @@ def test_classes_against_brute_force(spark):
     assert near_dup.classes(docs.limit(0)).count() == 0
 
 
+def test_plain_samples_agree_as_often_as_sets_overlap():
+    rng = np.random.default_rng(8)
+    got = []
+    for _ in range(60):
+        keys = rng.integers(0, 1 << 63, 5400).astype(np.uint64)
+        got.append((near_dup.minwise(np.sort(keys[:5000])) == near_dup.minwise(np.sort(keys[600:]))).mean())
+    assert abs(np.mean(got) - 4400 / 5400) < 0.03
+
+
+def test_texts_of_the_same_shingles_are_linked_whatever_their_counts(spark):
+    rng = random.Random(10)
+    texts = []
+    for _ in range(20):
+        own, line = prose(rng, 12), prose(rng, 15)
+        texts += [" ".join([own, *[line] * n]) for n in (3, 9, 27)]
+    assert min(jaccard(texts[i], texts[i + j]) for i in range(0, 60, 3) for j in (1, 2)) >= 0.8
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 3 for i in range(60)}
+
+
 def test_prefix_keys_lose_no_similar_pair():
     rng = np.random.default_rng(11)
     pool = rng.integers(0, 1 << 63, 60).astype(np.uint64)
