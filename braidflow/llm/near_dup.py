@@ -14,8 +14,10 @@ What keeps this linear where a group is huge:
   texts with each other one. Then classes are formed, and the texts of large buckets that are not in
   one class yet are compared exactly by prefix filtering: with shingles in one order, rare
   ones first, two texts alike enough share one of the first few of each (how many follows
-  from THRESHOLD and the texts' weights). So no link between texts of a bucket is lost,
-  and texts that differ too much to be linked never meet, however many there are;
+  from THRESHOLD and the texts' weights). So no link that joins two classes is lost between
+  texts of a bucket, and texts that differ too much to be linked never meet there;
+* these links form the classes and don't count them: the links of a text are counted over
+  all pairs of its class, in blocks of texts, where the counts are asked for;
 * joins on the pairs are plain equi-joins, which adaptive execution splits if skewed;
 * classes come from alternating star contractions over tables, nothing on the driver.
 
@@ -309,8 +311,9 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key and node of every row; verified links between nodes).
+def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """(doc_id, key and node of every row; links between nodes, enough to form the classes;
+    the shingle sets of the linked nodes and of others; the weights).
 
     A node is the least doc_id of an equal text.
     """
@@ -340,7 +343,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = _prefix_pairs(labelled.join(sizes, "label").join(sets, "node"), idf)
         more = common.written(_plausible(met, nodes).join(likely, ["a", "b"], "left_anti"), "pairs")
         links = common.written(links.unionByName(_verified(more, sets, idf)).dropDuplicates(["a", "b"]), "links")
-    return rows, links
+    return rows, links, sets, idf
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -423,21 +426,111 @@ def _prefix_pairs(sets: DataFrame, idf: np.ndarray) -> DataFrame:
     return met.select(F.least("n", "node").alias("a"), F.greatest("n", "node").alias("b")).distinct()
 
 
+# ---------------------------------------------------------------- links of a text
+
+#: A block of a class has about this many bytes of shingle sets, and texts, at most.
+BLOCK_SETS = 1 << 20
+BLOCK_TEXTS = 512
+#: Cells of the 0/1 matrices that are multiplied at a time.
+CELLS = 1 << 21
+
+
+Elements = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _overlap(x: Elements, y: Elements, nx: int, ny: int) -> np.ndarray:
+    """Weight that each set of x shares with each of y; sets as (elements, weights, rows)."""
+    shared, first, _ = np.intersect1d(x[0], y[0], return_indices=True)
+    out = np.zeros((nx, ny))
+    order = [np.argsort(v[0], kind="stable") for v in (x, y)]
+    (xe, xr), (ye, yr) = ((v[0][o], v[2][o]) for v, o in zip((x, y), order))
+    weights = x[1][first]
+    step = max(1, CELLS // max(nx, ny))
+    for at in range(0, len(shared), step):
+        part = shared[at : at + step]
+        marks = []
+        for e, r, n in ((xe, xr, nx), (ye, yr, ny)):
+            a, b = np.searchsorted(e, part[0], "left"), np.searchsorted(e, part[-1], "right")
+            place = np.searchsorted(part, e[a:b])
+            hit = part[place] == e[a:b]
+            m = np.zeros((n, len(part)))
+            m[r[a:b][hit], place[hit]] = 1
+            marks.append(m)
+        out += (marks[0] * weights[at : at + step]) @ marks[1].T
+    return out
+
+
+def alike(x: list[np.ndarray], y: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Which packed shingle sets of x are to be linked with which of y."""
+
+    def elements(sets: list[np.ndarray]) -> tuple[Elements, Elements]:
+        v, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        key, n = v["key"], v["n"].astype(np.int64)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        weight = idf[(key >> _U(64 - BITS)).astype(np.int64)].astype(np.float64)
+        return (key, np.ones(len(key)), row), (np.repeat(key, n) + nth.astype(_U) * _U(0xA0761D6478BD642F), np.repeat(weight, n), np.repeat(row, n))
+
+    good = np.zeros((len(x), len(y)), bool)
+    for a, b in zip(elements(x), elements(y)):
+        least = _overlap(a, b, len(x), len(y))
+        whole = np.bincount(a[2], a[1], len(x))[:, None] + np.bincount(b[2], b[1], len(y))
+        good |= least / np.maximum(whole - least, 1e-12) >= THRESHOLD
+    return good
+
+
+def link_counts(labels: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """node and n_links: how many texts of its class each one is to be linked with, over all pairs.
+
+    A class of more than a block meets as pairs of blocks, each a group of its own.
+    """
+    shared = labels.sparkSession.sparkContext.broadcast(idf)
+    members = labels.join(sets, "node")
+    n_blocks = F.ceil(F.greatest(F.sum(F.length("shingles")) / BLOCK_SETS, F.count("*") / BLOCK_TEXTS)).cast("int")
+    placed = members.join(members.groupBy("label").agg(n_blocks.alias("n_blocks")), "label")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    met = placed.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        own, node = (np.asarray(group.column(c)) for c in ("own", "node"))
+        packed = [np.frombuffer(v, PACKED) for v in group.column("shingles").to_pylist()]
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        counts = np.zeros(len(node), np.int64)
+        if len(x) and len(y):
+            good = alike([packed[k] for k in x], [packed[k] for k in y], shared.value)
+            if i == j:
+                np.fill_diagonal(good, False)
+                counts[x] = good.sum(axis=1)
+            else:
+                counts[x], counts[y] = good.sum(axis=1), good.sum(axis=0)
+        return pa.table({"node": node, "n_links": counts})
+
+    return met.groupBy("label", "i", "j").applyInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """(doc_id, key, node and class_id of every row; node and label of the linked texts; the
+    shingle sets of these and others; the weights)."""
+    rows, links, sets, idf = link(docs)
+    labels = common.written(components(links), "labels")
+    rows = rows.join(labels, "node", "left").select("doc_id", "key", "node", F.coalesce("label", "node").alias("class_id"))
+    return common.written(rows, "rows"), labels, sets, idf
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the class's least doc_id), n_links (verified links of its text),
-    n_copies (rows of the same text) and key (the text's SHA-256), a row per row of docs.
+    """doc_id, class_id (the class's least doc_id), n_links (the other texts that its text is
+    linked with, of all of its class), n_copies (rows of the same text) and key (the text's
+    SHA-256), a row per row of docs.
 
     Equal texts are in one class, null as the empty text. Texts without a word are alike
     only if equal. A null doc_id belongs to the class of its text if that has another
     doc_id, else its class is null. Rows of one doc_id are taken as one document. An empty
     table gives no rows.
     """
-    rows, links = link(docs)
-    rows = common.written(rows, "rows")
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    rows, labels, sets, idf = _classed(docs)
     copies = rows.groupBy("key").agg(F.count("*").alias("n_copies"))
-    out = rows.join(components(links), "node", "left").join(ends, "node", "left").join(copies, "key")
-    return out.select("doc_id", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "key")
+    out = rows.join(link_counts(labels, sets, idf), "node", "left").join(copies, "key")
+    return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -446,7 +539,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows with equal doc_id and text one stays. Rows without doc_id stay, once per text,
     if no row with a doc_id has their text.
     """
-    found = classes(docs)
+    found, *_ = _classed(docs)
     stay = common.written(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "key").distinct(), "kept")
     stay = stay.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"))
     one = docs.withColumn("__own", _text_key())

@@ -434,6 +434,29 @@ def test_texts_of_the_same_shingles_are_linked_whatever_their_counts(spark):
     assert got == {i: i - i % 3 for i in range(60)}
 
 
+def test_link_counts_against_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = ["", "no link here", "a b c"]
+    for size, edits in ((10, 2), (60, 4)):
+        base = prose(rng, 150).split()
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, edits)):
+                copy[rng.randrange(len(copy))] = prose(rng, 1)
+            texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near_dup.idf_table(docs)
+    _, data, off = next(common.blocks(pa.array(texts)))
+    packed = [np.array(list(zip(k, n)), near_dup.PACKED) for k, n in near_dup.text_shingles(data, off)]
+    near = [[i != j and max(near_dup._similarity(x, y, idf)) >= near_dup.THRESHOLD for j, y in enumerate(packed)] for i, x in enumerate(packed)]
+    want = {i: sum(row) for i, row in enumerate(near)}
+    assert want[1] == 0 and max(want.values()) > 2 * near_dup.SMALL
+    assert {r.doc_id: r.n_links for r in near_dup.classes(docs).collect()} == want
+    monkeypatch.setattr(near_dup, "BLOCK_TEXTS", 7)
+    assert {r.doc_id: r.n_links for r in near_dup.classes(docs).collect()} == want
+
+
 def test_prefix_keys_lose_no_similar_pair():
     rng = np.random.default_rng(11)
     pool = rng.integers(0, 1 << 63, 60).astype(np.uint64)
