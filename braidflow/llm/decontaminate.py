@@ -12,6 +12,7 @@ passes, each over all rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,6 +152,8 @@ def _blocks_of(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 
 
 MATCHES = "doc_id long, item_id long, start long, stop long, distance int, item_bytes int"
+#: With the SHA-256 of the text.
+KEYED = MATCHES + ", key string"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -160,14 +163,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     items, and items of under MIN_ITEM_BYTES, match nothing. Repeated rows repeat their
     matches. One narrow pass over the documents per block of items.
     """
+    return _keyed_matches(docs, benchmark, rate).drop("key")
+
+
+def _keyed_matches(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     parts = []
     for block in _blocks_of(benchmark):
         shared = spark.sparkContext.broadcast(block)
-        parts.append(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_searcher(shared, rate), MATCHES))
+        parts.append(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_searcher(shared, rate), KEYED))
     if not parts:
-        return spark.createDataFrame([], MATCHES)
+        return spark.createDataFrame([], KEYED)
     out = parts[0]
     for more in parts[1:]:
         out = out.unionAll(more)
@@ -185,16 +192,22 @@ def _searcher(shared, rate: float):
                 plain, at = normalised(data)
                 if found := matcher.find(plain):
                     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                    key = hashlib.sha256(text).hexdigest()
                     for k, a, b, distance in found:
                         p = matcher.patterns[k]
-                        rows.append({"doc_id": doc_id, "item_id": p.item_id, "start": int(points[at[a]]), "stop": int(points[at[b - 1] + 1]), "distance": distance, "item_bytes": len(p.text)})
-            kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("distance", pa.int32()), ("item_bytes", pa.int32())])
+                        rows.append({"doc_id": doc_id, "item_id": p.item_id, "start": int(points[at[a]]), "stop": int(points[at[b - 1] + 1]), "distance": distance, "item_bytes": len(p.text), "key": key})
+            kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("distance", pa.int32()), ("item_bytes", pa.int32()), ("key", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents in which no item stands, with all their columns."""
-    bad = common.written(matches(docs, benchmark, rate).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents in which no item stands, with all their columns.
+
+    A document is its doc_id (null or not) and its text: others of the same doc_id stay.
+    """
+    found = _keyed_matches(docs, benchmark, rate).select(F.col("doc_id").alias("__bad"), F.col("key").alias("__key"))
+    bad = common.written(found.distinct(), "contaminated")
+    key = F.sha2(docs["text"].cast("string").cast("binary"), 256)
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]) & (key == bad["__key"]), "left_anti")

@@ -263,6 +263,14 @@ def test_decontamination_on_tables(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    item = "The quick brown fox jumps over the lazy dog, and runs away from it!"
+    rows = [(None, f"x {item}"), (None, "clean, no id"), (None, None), (7, item), (7, "clean, same id"), (7, None), (8, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert Counter(map(tuple, decontaminate.clean(docs, bench).collect())) == Counter(r for r in rows if not (r[1] or "").endswith(item))
+
+
 # ---------------------------------------------------------------- 6
 
 
