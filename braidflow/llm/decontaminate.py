@@ -3,7 +3,8 @@
 Texts and test items are normalised to lower-case words with single spaces. An item of m
 bytes may be off by k = RATE x m edits: cut into k + 1 pieces, one of them must stand in
 the text unchanged. An Aho-Corasick automaton finds all pieces of all items in one pass;
-Myers' bit-parallel distance then verifies the surroundings of the hits.
+Myers' bit-parallel distance then verifies the surroundings of the hits. A short item is
+searched with the spaces around it: as whole words, a missing boundary being an edit.
 
 The items are a stated query set. They go to the tasks in blocks of at most
 ``BLOCK_BYTES`` of item text, whose automaton has a known size; more items take more
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RATE = 0.08
-#: Items of fewer normalised bytes say too little to be told from ordinary text.
-MIN_ITEM_BYTES = 40
+#: Items of fewer normalised bytes are found as whole words.
+WHOLE_WORDS_BELOW = 40
 BLOCK_BYTES = 4 << 20
 
 
@@ -44,8 +45,10 @@ def normalised(data: np.ndarray) -> tuple[bytes, np.ndarray]:
 class Pattern:
     """An item, cut into pieces, and its masks for Myers' algorithm."""
 
-    def __init__(self, item_id: int, text: bytes, rate: float) -> None:
-        self.item_id, self.text, self.budget = item_id, text, int(rate * len(text))
+    def __init__(self, item_id: int, text: bytes, rate: float, whole: bool = False) -> None:
+        self.item_id, self.budget, self.item_bytes = item_id, int(rate * len(text)), len(text)
+        self.whole = whole
+        self.text = text = b" " + text + b" " if whole else text
         cuts = [len(text) * i // (self.budget + 1) for i in range(self.budget + 2)]
         self.pieces = [(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
         self.forward, self.backward = self._masks(text), self._masks(text[::-1])
@@ -91,7 +94,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, bytes]], rate: float) -> None:
         import ahocorasick
 
-        self.patterns = [Pattern(i, t, rate) for i, t in items]
+        self.patterns = [Pattern(i, t, rate, len(t) < WHOLE_WORDS_BELOW) for i, t in items]
         owners: dict[bytes, list[tuple[int, int]]] = {}
         for k, p in enumerate(self.patterns):
             for offset, piece in p.pieces:
@@ -105,18 +108,28 @@ class Matcher:
     def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item's number, start, stop, distance): the best match of each place of an item.
 
-        Places of an item whose surroundings overlap are one place.
+        Places of an item whose surroundings overlap are one place. Start and stop are
+        those of the words, without the spaces around a short item.
         """
         windows: dict[int, list[int]] = {}
         if not self.patterns:
             return []
-        for last, (size, own) in self.automaton.iter(text.decode("latin-1")):
+        plain, padded = text, b" " + text + b" "
+        for last, (size, own) in self.automaton.iter(padded.decode("latin-1")):
+            inside = last + 1 - size >= 1 and last < len(padded) - 1
             for k, offset in own:
-                windows.setdefault(k, []).append(last + 1 - size - offset)
+                if self.patterns[k].whole:
+                    windows.setdefault(k, []).append(last + 1 - size - offset)
+                elif inside:
+                    windows.setdefault(k, []).append(last - size - offset)
         found = []
         for k, starts in windows.items():
             p = self.patterns[k]
             m, budget = len(p.text), p.budget
+            text = padded if p.whole else plain
+            if p.whole and not budget:  # a hit is the item
+                found += [(k, s, s + m - 2, 0) for s in sorted(set(starts))]
+                continue
             spans: list[list[int]] = []
             for s in sorted(set(starts)):
                 a, b = max(0, s - budget), min(len(text), s + m + budget)
@@ -131,7 +144,14 @@ class Matcher:
                 if distance <= budget:
                     tail = text[max(a, a + end - m - budget) : a + end][::-1]
                     _, length = myers(p.backward, m, tail, True)
-                    found.append((k, a + end - length, a + end, distance))
+                    start, stop = a + end - length, a + end
+                    if p.whole:
+                        while text[start] == 32:
+                            start += 1
+                        while text[stop - 1] == 32:
+                            stop -= 1
+                        start, stop = start - 1, stop - 1
+                    found.append((k, start, stop, distance))
         return sorted(set(found))
 
 
@@ -140,7 +160,7 @@ def _blocks_of(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         text, _ = normalised(np.frombuffer(r["text"].encode(), np.uint8))
-        if len(text) < MIN_ITEM_BYTES:
+        if not text:
             continue
         if block and size + len(text) > BLOCK_BYTES:
             yield block
@@ -160,8 +180,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     """doc_id, item_id, start and stop (code points of the text), distance, item_bytes.
 
     A row for each place of an item in a text within the error budget. Null texts and
-    items, and items of under MIN_ITEM_BYTES, match nothing. Repeated rows repeat their
-    matches. One narrow pass over the documents per block of items.
+    items, and items without a word, match nothing; short ones can be told by item_bytes.
+    Repeated rows repeat their matches. One narrow pass over the documents per block of items.
     """
     return _keyed_matches(docs, benchmark, rate).drop("key")
 
@@ -195,7 +215,7 @@ def _searcher(shared, rate: float):
                     key = hashlib.sha256(text).hexdigest()
                     for k, a, b, distance in found:
                         p = matcher.patterns[k]
-                        rows.append({"doc_id": doc_id, "item_id": p.item_id, "start": int(points[at[a]]), "stop": int(points[at[b - 1] + 1]), "distance": distance, "item_bytes": len(p.text), "key": key})
+                        rows.append({"doc_id": doc_id, "item_id": p.item_id, "start": int(points[at[a]]), "stop": int(points[at[b - 1] + 1]), "distance": distance, "item_bytes": p.item_bytes, "key": key})
             kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("distance", pa.int32()), ("item_bytes", pa.int32()), ("key", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, kinds)
 

@@ -271,6 +271,34 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
     assert Counter(map(tuple, decontaminate.clean(docs, bench).collect())) == Counter(r for r in rows if not (r[1] or "").endswith(item))
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Ünï"), (3, "cat"), (4, "?!"), (5, "x")], "item_id long, text string")
+    texts = ["what is the CAPITAL of france", "Q: What was the capital of France? A:", "what is the capital of greece", "Ünï cat, cat!", "concatenate ünïx cats", "cat", "", None, "x x x", "what is the capital of frances"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.matches(docs, bench).collect()
+    got = sorted((r.doc_id, r.item_id, texts[r.doc_id][r.start : r.stop], r.distance, r.item_bytes) for r in found)
+    assert got == [
+        (0, 1, texts[0], 0, 29), (1, 1, "What was the capital of France", 2, 29), (3, 2, "Ünï", 0, 5), (3, 3, "cat", 0, 3), (3, 3, "cat", 0, 3),
+        (5, 3, "cat", 0, 3), (8, 5, "x", 0, 1), (8, 5, "x", 0, 1), (8, 5, "x", 0, 1), (9, 1, "what is the capital of france", 1, 29),
+    ]
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {2, 4, 6, 7}
+
+
+def test_every_short_item_within_budget_is_found():
+    rng = random.Random(3)
+    for _ in range(300):
+        item = prose(rng, rng.randint(1, 6), "ab").encode()[:39].strip()
+        matcher = decontaminate.Matcher([(1, item)], decontaminate.RATE)
+        edited = bytearray(item)
+        for _ in range(rng.randint(0, 3)):
+            edited[rng.randrange(len(edited))] = rng.choice(b"abc")
+        text = b" ".join(x for x in (rng.choice((b"", b"ab ba")), bytes(edited), rng.choice((b"", b"ba"))) if x)
+        least = distance(b" " + item + b" ", b" " + text + b" ")
+        found = matcher.find(text)
+        assert bool(found) == (least <= int(decontaminate.RATE * len(item)))
+        assert all(0 <= a < b <= len(text) and text[a : a + 1] != b" " != text[b - 1 : b] for _, a, b, _ in found)
+
+
 # ---------------------------------------------------------------- 6
 
 
