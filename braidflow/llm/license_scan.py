@@ -1,15 +1,24 @@
 """Licence scans by a generalised suffix automaton over the tokens of licence templates.
 
 The automaton of all templates is fed a text's words one by one; its state gives the
-matching statistics: the longest run of words ending here that stands in some template.
-Runs that can't be extended and have ``MIN_MATCH`` words or more are chained, per template,
-in order of text and template with gaps of at most ``MAX_GAP`` words; what a chain covers of
-its template is its coverage. Only words of the templates' vocabulary move the automaton,
-so numpy first finds the runs of such words and Python sees nothing else.
+matching statistics: the longest run of words ending here that stands in some template,
+and, up the suffix links, the shorter ones of the other templates and places. A match is a
+run of ``MIN_MATCH`` words or more of a text and of a template that neither neighbour
+extends. Matches are chained per template, in order of text and of template, with gaps of
+at most ``MAX_GAP`` words of text, by dynamic programming for the greatest covered weight.
+
+A template word weighs the more the fewer labels have it, so stock words ("licensed under
+the") cover next to nothing. Where chains of several labels lie over one span, the one that
+covers the most weight is its label.
+
+Only words of the templates' vocabulary move the automaton, so numpy first finds the runs
+of such words and Python sees nothing else.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,9 +52,15 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("agpl-3", "licensed under the gnu affero general public license version 3"),
+    ("lgpl", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
+    ("bsd", "released under the bsd license"),
+    ("bsd", "licensed under the bsd 3 clause license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
@@ -53,6 +68,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved"),
 ]
+#: Said beside licences too, so the label only of texts that name no licence.
+LAST_RESORT = frozenset({"proprietary"})
 
 
 @dataclass
@@ -60,8 +77,11 @@ class State:
     length: int = 0
     link: int = -1
     next: dict[int, int] = field(default_factory=dict)
-    #: One end, the first, in each template that has the state's words.
-    ends: dict[int, int] = field(default_factory=dict)
+    #: (template, end) of every place at which the state's words stand.
+    ends: set[tuple[int, int]] = field(default_factory=set)
+    #: (length, template, end): the places of the state and up its links, each once, with
+    #: the length of the words that stand there.
+    places: list[tuple[int, int, int]] = field(default_factory=list)
 
 
 class SuffixAutomaton:
@@ -73,11 +93,13 @@ class SuffixAutomaton:
             last = 0
             for at, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.states[last].ends.setdefault(k, at + 1)
-        for s in sorted(range(1, len(self.states)), key=lambda s: -self.states[s].length):
-            up = self.states[self.states[s].link].ends
-            for k, end in self.states[s].ends.items():
-                up[k] = min(end, up.get(k, end))
+                self.states[last].ends.add((k, at + 1))
+        upward = sorted(range(1, len(self.states)), key=lambda s: self.states[s].length)
+        for s in reversed(upward):
+            self.states[self.states[s].link].ends |= self.states[s].ends
+        for s in upward:
+            own = self.states[s]
+            own.places = [(own.length, *e) for e in sorted(own.ends)] + [p for p in self.states[own.link].places if p[1:] not in own.ends]
 
     def _copy(self, p: int, q: int, token: int) -> int:
         s = self.states
@@ -106,20 +128,64 @@ class SuffixAutomaton:
             s[new].link = q if s[q].length == s[p].length + 1 else self._copy(p, q, token)
         return new
 
-    def maximal_matches(self, tokens: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-        """(start, stop, state) of the matches that the next token doesn't extend."""
+    def matches(self, tokens: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start, stop, template, end in the template) of the matches of ``least`` tokens
+        or more that no token before or after extends."""
         s, state, length = self.states, 0, 0
-        for at, token in enumerate(tokens):
-            if token not in s[state].next:
-                if length >= least:
-                    yield at - length, at, state
-                while state and token not in s[state].next:
-                    state = s[state].link
-                    length = s[state].length
+        live: dict[tuple[int, int], int] = {}  # template and its lead over the text: start
+        for at, token in enumerate(tokens, 1):
+            while state and token not in s[state].next:
+                state = s[state].link
+                length = s[state].length
             if token in s[state].next:
                 state, length = s[state].next[token], length + 1
-        if length >= least:
-            yield len(tokens) - length, len(tokens), state
+            now = {}
+            if length >= least:
+                for n, k, end in s[state].places:
+                    if n < least:
+                        break
+                    now[k, end - at] = at - min(n, length)
+            for (k, lead), start in live.items():
+                if (k, lead) not in now:
+                    yield start, at - 1, k, lead + at - 1
+            live = now
+        for (k, lead), start in live.items():
+            yield start, len(tokens), k, lead + len(tokens)
+
+
+Match = tuple[int, int, int, int]  # start and stop in the text, start and stop in the template
+
+
+def chains(matches: list[Match], sums: np.ndarray, max_gap: int = MAX_GAP) -> list[tuple[float, int, int]]:
+    """(covered weight, start, stop) of chains of a template's matches, heaviest first.
+
+    sums: prefix sums of the template's weights. A chain goes forward in text and template;
+    what a match repeats of the one before it isn't counted. Each match is in one chain.
+    """
+    matches = sorted(matches)
+    longest = max((m[1] - m[0] for m in matches), default=0)
+    best, before = [], []
+    for i, (start, stop, low, high) in enumerate(matches):
+        most, came = float(sums[high] - sums[low]), -1
+        j = i - 1
+        while j >= 0 and matches[j][0] >= start - max_gap - longest:
+            skip = max(0, matches[j][1] - start, matches[j][3] - low)
+            if skip < stop - start and start + skip - matches[j][1] <= max_gap:
+                here = best[j] + float(sums[high] - sums[low + skip])
+                if here > most:
+                    most, came = here, j
+            j -= 1
+        best.append(most)
+        before.append(came)
+    used, out = [False] * len(matches), []
+    for i in sorted(range(len(matches)), key=lambda i: (-best[i], i)):
+        if used[i]:
+            continue
+        first, at = i, i
+        while at >= 0 and not used[at]:
+            used[at], first, at = True, at, before[at]
+        out.append((best[i] - (best[at] if at >= 0 else 0.0), matches[first][0], matches[i][1]))
+    return sorted(out, key=lambda c: (-c[0], c[1], c[2]))
 
 
 class Scanner:
@@ -129,9 +195,14 @@ class Scanner:
         self.words = sorted({w for x in sequences for w in x} | {w for _, x in base for w in x})
         index = {w: i for i, w in enumerate(self.words)}
         self.labels = [label for label, _ in templates]
-        self.sizes = [len(x) for x in sequences]
         self.base = [(label, [index[w] for w in x]) for label, x in base]
         self.automaton = SuffixAutomaton([[index[w] for w in x] for x in sequences])
+        having: dict[str, set[str]] = {}
+        for label, x in zip(self.labels, sequences):
+            for w in x:
+                having.setdefault(w, set()).add(label)
+        n_labels = len(set(self.labels))
+        self.sums = [np.concatenate(([0.0], np.cumsum([math.log((1 + n_labels) / len(having[w])) for w in x]))) for x in sequences]
         raw = " ".join(self.words).encode()
         hashes, _ = common.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         self.order = np.argsort(hashes)
@@ -158,25 +229,28 @@ class Scanner:
                     if tokens[at] == phrase[0] and tokens[at : at + n] == phrase:
                         places.append(first + at)
                         base.add(label)
-            for start, stop, state in self.automaton.maximal_matches(tokens, MIN_MATCH):
-                for k, end in self.automaton.states[state].ends.items():
-                    by_template.setdefault(k, []).append((first + start, first + stop, end - (stop - start), end))
-        spans, labels, score = [], set(base), 0.0
-        for k, matches in by_template.items():
-            chain: list[tuple[int, int, int, int]] = []
-            covered = 0
-            for m in [*sorted(matches), None]:
-                if chain and (m is None or m[0] - chain[-1][1] > MAX_GAP or m[2] < chain[-1][3] - 1):
-                    part = covered / self.sizes[k]
-                    score = max(score, part)
-                    if part >= MIN_COVERAGE:
-                        labels.add(self.labels[k])
-                        spans.append((chain[0][0], chain[-1][1], self.labels[k], round(part, 4)))
-                    chain, covered = [], 0
-                if m is not None:
-                    covered += m[3] - max(m[2], chain[-1][3] if chain else 0) if not chain or m[3] > chain[-1][3] else 0
-                    chain.append(m)
-        return {"places": sorted(places), "base": sorted(base), "labels": sorted(labels), "score": min(1.0, score), "spans": sorted(set(spans))}
+            for start, stop, k, end in self.automaton.matches(tokens, MIN_MATCH):
+                by_template.setdefault(k, []).append((first + start, first + stop, end - (stop - start), end))
+        found = [(weight, weight / self.sums[k][-1], start, stop, self.labels[k]) for k, own in by_template.items() for weight, start, stop in chains(own, self.sums[k])]
+        spans = self._settled([c for c in found if c[1] >= MIN_COVERAGE])
+        labels = base | {label for *_, label in spans}
+        return {
+            "places": sorted(places), "base": sorted(base), "labels": sorted(labels - LAST_RESORT or labels), "score": min(1.0, max((float(c[1]) for c in found), default=0.0)),
+            "spans": sorted({(start, stop, label, round(float(part), 4)) for _, part, start, stop, label in spans}),
+        }
+
+    @staticmethod
+    def _settled(found: list[tuple[float, float, int, int, str]]) -> list[tuple[float, float, int, int, str]]:
+        """The chains of which no better one has the greater part. The heavier is the better,
+        then the one that covers more of its template; of equals all stay."""
+        worth = lambda c: (-round(float(c[0]), 6), -round(float(c[1]), 6))
+        taken, kept = bytearray(max((c[3] for c in found), default=0)), []
+        for _, group in itertools.groupby(sorted(found, key=lambda c: (*worth(c), c[2], c[4])), key=worth):
+            free = [c for c in group if 2 * taken.count(1, c[2], c[3]) <= c[3] - c[2]]
+            kept += free
+            for c in free:
+                taken[c[2] : c[3]] = b"\1" * (c[3] - c[2])
+        return kept
 
 
 EMPTY = {"places": [], "base": [], "labels": [], "score": 0.0, "spans": []}
@@ -207,8 +281,12 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """Per document: doc_id, n_words, base_places, base_labels, labels, score and spans
     (first word, word after the last, label, coverage).
 
-    Words are runs of digits, letters and any non-ASCII characters, A-Z as a-z. Null and
-    empty texts have no words. One narrow pass; nothing is shuffled.
+    Words are runs of digits, letters and any non-ASCII characters, A-Z as a-z. score: the
+    greatest coverage of any template. Null and empty texts have no words, no labels and
+    score 0. Labels of chains over one
+    span that cover as much, of the text and of their templates, all count. Repeated rows stay one
+    by one; other columns are ignored; an empty table gives no rows. Texts of any length
+    take time in proportion. One narrow pass; nothing is shuffled.
     """
     common.small_batches(docs.sparkSession)
     scanner = Scanner(templates, phrases)
@@ -232,6 +310,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """The digest columns of ``scan_licenses``: counts, first and last base word, labels."""
+    """The digest columns of ``scan_licenses``: counts, first and last base word, labels.
+
+    first_word and last_word are null where no base phrase stands; odd input as there.
+    """
     found = scan_licenses(docs)
     return found.select("doc_id", "n_words", F.size("base_places").cast("long").alias("n_base"), F.array_min("base_places").alias("first_word"), F.array_max("base_places").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", F.size("spans").cast("long").alias("n_spans"))

@@ -113,22 +113,6 @@ def test_html_on_tables(spark):
 # ---------------------------------------------------------------- 2
 
 
-def test_matching_statistics_against_brute_force():
-    rng = random.Random(3)
-    for _ in range(30):
-        templates = [[rng.randrange(4) for _ in range(rng.randint(1, 9))] for _ in range(3)]
-        text = [rng.randrange(5) for _ in range(30)]
-        automaton = license_scan.SuffixAutomaton(templates)
-        every = {tuple(t[a:b]) for t in templates for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
-        best = [max([n for n in range(1, at + 1) if tuple(text[at - n : at]) in every], default=0) for at in range(1, len(text) + 1)]
-        want = {(at - n, at) for at, n in enumerate(best, 1) if n >= 2 and (at == len(text) or best[at] != n + 1)}
-        got = list(automaton.maximal_matches(text, 2))
-        assert {(a, b) for a, b, _ in got} == want
-        for a, b, state in got:
-            for k, end in automaton.states[state].ends.items():
-                assert templates[k][end - (b - a) : end] == text[a:b]
-
-
 def test_license_digest(spark):
     texts = [*ODD_TEXTS, "Released under the MIT License.", "CC BY-NC and cc by\nnc", "Licensed under the Apache License, Version 2.0.", "this work is licensed under the gnu general public license", "license MIT the"]
     docs = documents(spark, texts)
