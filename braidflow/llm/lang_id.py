@@ -25,13 +25,17 @@ from . import common
 
 DIM = 4096
 SAMPLE_DOCS = 2400
-MAX_LANGUAGES = 400
+#: More languages than this aren't fitted on one driver: an error, never a loss of some.
+MAX_LANGUAGES = 2000
 CENTROIDS = 3
 ROWS = 256
 UNKNOWN = "und"
 #: Rejection: a cosine below this part of the least one in training, by length.
 SLACK = 0.5
 SHARPNESS = 30.0
+#: Vectors are multiples of its inverse, so that a sum of their products is the same in any
+#: order: a text scores alike alone and in any batch.
+GRAIN = 1 << 23
 
 _letters: list[np.ndarray] = []
 
@@ -43,10 +47,15 @@ def _letter_table() -> np.ndarray:
 
 
 def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed n-grams, a row per text, and the letters of each text."""
-    joined = "\n\n".join([t.lower() for t in texts]) + "\n\n"
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts)) + 2
+    """Counts of hashed n-grams, a row per text, and the letters of each text.
+
+    A text stands between two spaces of its own, and no n-gram reaches beyond them.
+    """
+    if not texts:
+        return np.zeros((0, DIM), np.int64), np.zeros(0, np.int64)
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer(("\n" + "\n\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, lowered), np.int64, len(texts)) + 2
     is_letter = _letter_table()[codes]
     c = np.where(is_letter, codes, 32).astype(np.uint32)
     row = np.repeat(np.arange(len(texts), dtype=np.int64) * DIM, sizes)
@@ -59,17 +68,21 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             break
         h = h[:n] + c[k:] * np.uint32(factor) + np.uint32(k)
         some = some[:n] | is_letter[k:]
-        keep = np.flatnonzero(some)
+        keep = np.flatnonzero(some & (row[:n] == row[k:]))
         x = h[keep]
         x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         out += np.bincount(row[keep] + (x >> np.uint32(20)).astype(np.int64), minlength=len(out))
-    return out.reshape(len(texts), DIM), np.add.reduceat(is_letter, np.concatenate(([0], np.cumsum(sizes)[:-1]))).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+    return out.reshape(len(texts), DIM), np.add.reduceat(is_letter, np.concatenate(([0], np.cumsum(sizes)[:-1]))).astype(np.int64)
 
 
 def length_class(letters: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), 15)
 
 
+def on_grid(v: np.ndarray) -> np.ndarray:
+    return np.rint(v * GRAIN) / GRAIN
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -79,8 +92,8 @@ class Model:
     least: np.ndarray  # least cosine by length class
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts.astype(np.float32)) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        v = np.log1p(counts.astype(np.float64)) * self.idf
+        return on_grid(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float], list[bool]]:
         """Language, score, cosine and rejection of each text."""
@@ -120,14 +133,14 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit_arrays(langs: list[str], counts: np.ndarray, letters: np.ndarray) -> Model:
     languages = sorted(set(langs))
     n = len(langs)
-    idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32) if n else np.ones(DIM, np.float32)
-    model = Model(languages, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), idf, np.full(16, -1.0))
+    idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1 if n else np.ones(DIM)
+    model = Model(languages, np.zeros((0, DIM)), np.zeros(0, np.int64), idf, np.full(16, -1.0))
     if not n:
         return model
     x = model.vectors(counts)
     own = np.array([languages.index(v) for v in langs])
     parts = [_spherical_kmeans(x[own == k], CENTROIDS) for k in range(len(languages))]
-    model.centroids = np.concatenate(parts).astype(np.float32)
+    model.centroids = on_grid(np.concatenate(parts))
     model.owner = np.concatenate([np.full(len(p), k) for k, p in enumerate(parts)])
     top = (x @ model.centroids.T).max(axis=1)
     kind = length_class(letters)
@@ -139,26 +152,32 @@ def fit_arrays(langs: list[str], counts: np.ndarray, letters: np.ndarray) -> Mod
 
 
 def fit(docs: DataFrame, is_training: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit from rows with text and lang for which ``is_training`` holds."""
+    """Fit from rows with text and lang for which ``is_training`` holds.
+
+    About ``sample_docs`` rows over all languages (5 of each at least, twice that in all at
+    most), those of the least hashes of doc_id and text.
+    """
     common.small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(is_training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    found = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not found:
         return fit_arrays([], np.zeros((0, DIM)), np.zeros(0))
     each = max(5, sample_docs // len(found))
     share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, each / r["count"]))])
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_003)) / 1_000_003
-    picked = rows.where(unit < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    picked = rows.withColumn("rank", F.xxhash64("doc_id", "text", F.lit(29))).where(F.pmod("rank", F.lit(1_000_003)) / 1_000_003 < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = common.texts(batch.column("text")), batch.column("lang")
+            texts, langs, ranks = common.texts(batch.column("text")), batch.column("lang"), batch.column("rank")
             for at in range(0, len(texts), ROWS):
                 c, letters = ngram_counts(texts[at : at + ROWS])
                 packed = [x.tobytes() for x in np.minimum(c, 65535).astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([langs[at : at + ROWS], pa.array(packed, pa.binary()), pa.array(letters, pa.int64())], ["lang", "counts", "letters"])
+                yield pa.RecordBatch.from_arrays([langs[at : at + ROWS], ranks[at : at + ROWS], pa.array(packed, pa.binary()), pa.array(letters, pa.int64())], ["lang", "rank", "counts", "letters"])
 
-    got = picked.select("lang", "text").mapInArrow(count, "lang string, counts binary, letters long").where("letters > 0").limit(2 * sample_docs).collect()
+    counted = picked.select("lang", "rank", "text").mapInArrow(count, "lang string, rank long, counts binary, letters long").where("letters > 0")
+    got = counted.orderBy("rank", "lang").limit(2 * max(sample_docs, each * len(found))).collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
     return fit_arrays([r["lang"] for r in got], np.stack([np.frombuffer(r["counts"], np.uint16) for r in got]) if got else np.zeros((0, DIM)), np.array([r["letters"] for r in got]))
 
@@ -166,9 +185,13 @@ def fit(docs: DataFrame, is_training: Column, sample_docs: int = SAMPLE_DOCS) ->
 def predict(docs: DataFrame, model: Model, keep: list[str], text_too: bool = False) -> DataFrame:
     """``keep`` columns (with text_too, text can be one) and lang_pred, lang_score, lang_cosine, lang_rejected, from text only.
 
-    Null text counts as empty; a text without a letter is ``und``, score 0, rejected.
+    Null text counts as empty; a text without a letter is ``und``, score 0, rejected. Of
+    languages at one distance the first by name is taken. Rows stay one by one, repeated
+    ones too; a kept column of a new column's name is replaced. No rows of an empty table.
+    Texts are read whole; memory is that of a block of texts, or of one long one.
     """
     spark = docs.sparkSession
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "lang_score", "lang_cosine", "lang_rejected", "__text")]
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(*keep) if text_too else docs.select(*keep, F.col("text").cast("string").alias("__text"))
@@ -200,7 +223,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_too: bool = Fal
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected; learns from rows not held out.
 
-    held_out: crc32 of the doc_id's text modulo 4 is 2 (null doc_id: held out).
+    held_out: crc32 of the doc_id's text modulo 4 is 2 (null doc_id: held out). Null and
+    empty texts, and all texts where nothing is learned: ``und``, score 0, rejected. See
+    ``predict`` for the rest.
     """
     held = F.coalesce(common.crc32_mod("doc_id", 4) == 2, F.lit(True))
     model = fit(docs, ~held)
