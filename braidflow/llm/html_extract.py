@@ -28,16 +28,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAINING_PAGES = 180
+TRAINING_PAGES = 360
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math head object select option datalist button canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr caption ul".split())
-CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "tr", "tbody", "thead", "tfoot", "caption"}
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
-SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}}
+CELLS = frozenset("td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+CLOSES_P = BLOCK - {"body", "html", "tr", "tbody", "thead", "tfoot", "caption"}
+#: Beyond these, no end tag and no implied end of a paragraph reaches.
+SCOPES = frozenset("table td th caption template object".split())
+ROWS = frozenset("tr tbody thead tfoot".split())
 
 # Words in class, id and role that web pages use for their parts.
 WORDS = frozenset(
@@ -45,8 +49,10 @@ WORDS = frozenset(
     "popup modal overlay comment comments reply replies respond discussion disqus share social related recommended more newsletter subscribe signup form login search pagination pager tags "
     "content article post entry main story body text page wrapper container hidden contentinfo complementary banner toolbar skip".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+# A tag goes on to the first > outside a value. Quotes open a value only after an equals
+# sign; without their like further on they are characters as any other.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^\s"'>])[^\s>]++)?+)*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -     　]+")
 
@@ -62,6 +68,8 @@ class Node:
     linked: int = 0
     stops: int = 0
     used: bool = False
+    #: The part of the page's text outside links that stands at or below the node.
+    share: float = 0.0
 
 
 @dataclass
@@ -71,7 +79,68 @@ class Page:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(raw)}
+    """Of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+class _Open:
+    """The open elements, innermost last: (tag, node, dropped).
+
+    Where each tag, and each kind of tag, is open is kept beside them, so that no step
+    looks through the stack: a page's time is in proportion to its length at any depth.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool]] = [("html", 0, False)]
+        self.at: dict[str, list[int]] = {}
+
+    @staticmethod
+    def _kinds(tag: str) -> list[str]:
+        kinds = [tag]
+        if tag in BLOCK:
+            kinds.append("*block")
+        if tag in SCOPES:
+            kinds.append("*scope")
+        if tag in HEADINGS:
+            kinds.append("*heading")
+        if tag in CELLS:
+            kinds.append("*cell")
+        if tag in ("tbody", "thead", "tfoot"):
+            kinds.append("*rows")
+        if tag in ("dd", "dt"):
+            kinds.append("*term")
+        if tag in BLOCK | CELLS and tag not in ("address", "div", "p"):
+            if tag != "li":
+                kinds.append("*ends li")
+            if tag not in ("dd", "dt"):
+                kinds.append("*ends term")
+        return kinds
+
+    def last(self, kind: str) -> int:
+        """The innermost place of a tag or kind; 0 if none is open."""
+        places = self.at.get(kind)
+        return places[-1] if places else 0
+
+    def push(self, tag: str, node: int, dropped: bool) -> None:
+        for kind in self._kinds(tag):
+            self.at.setdefault(kind, []).append(len(self.stack))
+        self.stack.append((tag, node, dropped))
+
+    def pop(self) -> str:
+        tag, *_ = self.stack.pop()
+        if tag:
+            for kind in self._kinds(tag):
+                self.at[kind].pop()
+        return tag
+
+    def forget(self, k: int) -> None:
+        """End an inline element around open blocks, which stay open."""
+        tag, node, dropped = self.stack[k]
+        self.at[tag].pop()
+        self.stack[k] = ("", node, dropped)
 
 
 def parse(source: str) -> Page:
@@ -81,7 +150,8 @@ def parse(source: str) -> Page:
     next element or the end demands.
     """
     page = Page([Node("html", -1)])
-    stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, node, dropped
+    open_ = _Open()
+    stack = open_.stack
     pending: list[str] = []
     linked = 0
     anchors = 0
@@ -100,13 +170,50 @@ def parse(source: str) -> Page:
 
     def close(k: int) -> None:
         nonlocal anchors
-        if any(t in BLOCK for t, _, _ in stack[k:]):
+        if open_.last("*block") >= k:
             flush()
-        anchors -= sum(t == "a" for t, _, _ in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            anchors -= open_.pop() == "a"
+
+    def end(tag: str) -> None:
+        """An end tag, or what implies one."""
+        nonlocal anchors
+        k = open_.last("*heading" if tag in HEADINGS else tag)
+        if not k:
+            if tag == "p":
+                flush()
+        elif k < open_.last("*scope") and tag not in ROWS and tag not in SCOPES:
+            pass  # of an element outside the table or the like that this one is in
+        elif tag in BLOCK or tag in SCOPES or k > open_.last("*block"):
+            close(k)
+        else:
+            anchors -= tag == "a"
+            open_.forget(k)
+
+    def imply(tag: str) -> None:
+        """End what a start tag ends."""
+        scope = open_.last("*scope")
+        if tag in CLOSES_P and open_.last("p") > scope:
+            close(open_.last("p"))
+        if tag in HEADINGS and stack[-1][0] in HEADINGS:
+            close(len(stack) - 1)
+        elif tag == "li" and open_.last("li") > open_.last("*ends li"):
+            close(open_.last("li"))
+        elif tag in ("dd", "dt") and open_.last("*term") > open_.last("*ends term"):
+            close(open_.last("*term"))
+        elif tag in CELLS and open_.last("*cell") > max(open_.last("table"), open_.last("tr")):
+            close(open_.last("*cell"))
+        elif tag == "tr" and open_.last("tr") > open_.last("table"):
+            close(open_.last("tr"))
+        elif tag in ("tbody", "thead", "tfoot") and max(open_.last("*rows"), open_.last("tr")) > open_.last("table"):
+            close(open_.last("*rows") if open_.last("*rows") > open_.last("table") else open_.last("tr"))
+        elif tag == "a" and open_.last("a") > scope:
+            end("a")
 
     def say(raw: str) -> None:
         nonlocal linked
+        if raw and stack[-1][0] == "head" and not raw.isspace():
+            close(len(stack) - 1)
         if raw and not stack[-1][2]:
             text = html.unescape(raw)
             pending.append(text)
@@ -123,33 +230,24 @@ def parse(source: str) -> Page:
         at = m.end()
         if m[2] is None:
             continue
+        if source[at - 1] != ">":
+            break  # a tag that the page's end cuts off
         tag = m[2].lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if k:
-                close(k)
-            elif tag == "p":
-                flush()
+            end(tag)
             continue
-        if not source.endswith(">", m.start(), m.end()):
-            break  # a tag that the page's end cuts off
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)  # the head's end tag may be left out
         if tag in VOID:
-            if tag in ("br", "hr"):
-                if tag == "hr":
-                    flush()
-                elif not stack[-1][2]:
-                    pending.append(" ")
+            if tag == "hr":
+                imply(tag)
+                flush()
+            elif tag == "br" and not stack[-1][2]:
+                pending.append(" ")
             continue
-        if tag in ("html", "body") and any(t == tag for t, _, _ in stack[1:]) or tag == "html":
+        if tag == "html" or tag == "body" and open_.last("body"):
             continue
-        if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (stack[i][0] == "p" or tag[0] == "h" and tag[1:].isdigit())), 0)
-            if k and not any(t in BLOCK - {"p"} and t != stack[k][0] for t, _, _ in stack[k + 1 :]):
-                close(k)
-        for other in CLOSED_BY.get(tag, ()):
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == other or stack[i][0] in SCOPE.get(tag, ())), 0)
-            if k and stack[k][0] == other:
-                close(k)
+        imply(tag)
         attributes = _attributes(m[3])
         dropped = stack[-1][2] or tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         node = stack[-1][1]
@@ -159,20 +257,25 @@ def parse(source: str) -> Page:
             gold = attributes.get("data-gold")
             page.nodes.append(Node(tag, node, words, int(gold) if gold in ("0", "1") else page.nodes[node].gold))
             node = len(page.nodes) - 1
-        elif tag in ("td", "th"):
+        elif tag in CELLS:
             say(" ")
         elif tag == "a":
             anchors += 1
-        stack.append((tag, node, dropped))  # as the standard says, a slash closes no element
+        open_.push(tag, node, dropped)  # as the standard says, a slash closes no element
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
-            at = end.start() if end else n
+            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            at = stop.start() if stop else n
     close(1)
     flush()
     for k, _ in page.blocks:
         while k >= 0 and not page.nodes[k].used:
             page.nodes[k].used = True
             k = page.nodes[k].parent
+    total = sum(x.size - x.linked for x in page.nodes) or 1
+    for x in reversed(page.nodes):  # a child always comes after its parent
+        x.share += (x.size - x.linked) / total
+        if x.parent >= 0:
+            page.nodes[x.parent].share += x.share
     return page
 
 
@@ -180,7 +283,7 @@ def parse(source: str) -> Page:
 
 
 def _features(node: Node) -> list[str]:
-    out = ["bias", f"tag={node.tag}", *(f"word={w}" for w in node.words)]
+    out = ["bias", f"tag={node.tag}", f"share={min(int(-math.log2(max(node.share, 0.01))), 4)}", *(f"word={w}" for w in node.words)]
     if node.size:
         out += [f"size={min(int(math.log2(node.size)), 9) // 2}", f"links={round(2 * node.linked / node.size)}", f"stops={min(node.stops, 2)}"]
     else:
@@ -188,9 +291,12 @@ def _features(node: Node) -> list[str]:
     return out
 
 
-def _edge(node: Node) -> str:
-    """The kind of the edge to a node's parent: its tag, and whether its names say anything."""
-    return node.tag + "+" if node.words else node.tag
+def _edge(page: Page, k: int) -> str:
+    """The kind of the edge to a node's parent: its tag, whether its names say anything,
+    and whether it is a part of the page itself."""
+    node = page.nodes[k]
+    top = node.parent >= 0 and page.nodes[node.parent].tag in ("html", "body")
+    return ("top " if top else "") + node.tag + ("+" if node.words else "")
 
 
 @dataclass
@@ -213,7 +319,7 @@ class Model:
                 continue
             own[k] = sum(self.unary.get(f, 0.0) for f in _features(nodes[k]))
             if nodes[k].parent >= 0:
-                e = self.edge.get(_edge(nodes[k])) or self.edge["*"]
+                e = self.edge.get(_edge(page, k)) or self.edge["*"]
                 low, high = up[k][0], up[k][1] + own[k]
                 for a in (0, 1):
                     x, y = e[a][0] + low, e[a][1] + high
@@ -231,7 +337,7 @@ class Model:
             if p < 0:
                 b = [low, high]
             else:
-                e = self.edge.get(_edge(nodes[k])) or self.edge["*"]
+                e = self.edge.get(_edge(page, k)) or self.edge["*"]
                 rest = [belief[p][a] - sent[k][a] for a in (0, 1)]
                 joint = [[rest[a] + e[a][c] + (low, high)[c] for c in (0, 1)] for a in (0, 1)]
                 top = max(map(max, joint))
@@ -256,15 +362,17 @@ def _gold(page: Page) -> list[int]:
     return [x.gold if x.gold is not None else int(v > 0) for x, v in zip(page.nodes, votes)]
 
 
-def fit(pages: list[str], rounds: int = 60, rate: float = 0.8, decay: float = 5e-4) -> Model:
-    """Gradient ascent (RMS-scaled) on the labels' likelihood; deterministic."""
+def fit(pages: list[str], rounds: int = 60, rate: float = 0.4, decay: float = 1e-5) -> Model:
+    """Gradient ascent on the labels' likelihood, by scaled steps with momentum that shrink
+    to nothing; deterministic."""
     parsed = [(p, _gold(p)) for p in map(parse, pages) if p.blocks]
-    kinds = sorted({_edge(x) for p, _ in parsed for x in p.nodes if x.used})
+    kinds = sorted({_edge(p, k) for p, _ in parsed for k, x in enumerate(p.nodes) if x.used})
     model = Model({}, {t: [[0.0, 0.0], [0.0, 0.0]] for t in ["*", *kinds]})
     names = [[_features(x) if x.used else [] for x in p.nodes] for p, _ in parsed]
+    mean: dict[object, float] = {}
     scale: dict[object, float] = {}
     total = sum(x.used for p, _ in parsed for x in p.nodes) or 1
-    for _ in range(rounds):
+    for t in range(1, rounds + 1):
         grad: dict[object, float] = {}
         for (page, gold), own in zip(parsed, names):
             p, pairs = model._pass(page)
@@ -277,13 +385,15 @@ def fit(pages: list[str], rounds: int = 60, rate: float = 0.8, decay: float = 5e
                     for a in (0, 1):
                         for c in (0, 1):
                             d = (gold[x.parent] == a and gold[k] == c) - pairs[k][a][c]
-                            for t in (_edge(x), "*"):
-                                grad[t, a, c] = grad.get((t, a, c), 0.0) + d
+                            for kind in (_edge(page, k), "*"):
+                                grad[kind, a, c] = grad.get((kind, a, c), 0.0) + d
         for key, g in grad.items():
             old = model.edge[key[0]][key[1]][key[2]] if isinstance(key, tuple) else model.unary.get(key, 0.0)
             g = g / total - decay * old
-            scale[key] = 0.9 * scale.get(key, 0.0) + 0.1 * g * g
-            new = old + rate * g / (math.sqrt(scale[key]) + 1e-4) * 0.2
+            mean[key] = 0.9 * mean.get(key, 0.0) + 0.1 * g
+            scale[key] = 0.98 * scale.get(key, 0.0) + 0.02 * g * g
+            step = mean[key] / (1 - 0.9**t) / (math.sqrt(scale[key] / (1 - 0.98**t)) + 1e-5)
+            new = old + rate * (1 - t / (rounds + 1)) * step
             if isinstance(key, tuple):
                 model.edge[key[0]][key[1]][key[2]] = new
             else:
@@ -311,7 +421,9 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
         return " ".join("".join(rng.choice("abcdeghilmnoprstuvz") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b))).capitalize()
 
     def sentences(a: int, b: int) -> str:
-        return " ".join(words(1, 14) + "." for _ in range(rng.randint(a, b)))
+        text = " ".join(words(1, 14) + "." for _ in range(rng.randint(a, b)))
+        style = rng.random()  # a few shout, ask or never stop
+        return text.upper().replace(" ", "!! ") if style < 0.06 else text.replace(".", "?") if style < 0.1 else text.replace(".", "") if style < 0.14 else text
 
     def link(a: int = 1, b: int = 3) -> str:
         return f'<a href="/{rng.randint(1, 99)}">{words(a, b)}</a>'
@@ -323,11 +435,19 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
     def part(tag: str, inner: str, *names: str, gold: int = 0) -> str:
         return f'<{tag}{attribute(*names)} data-gold="{gold}">{inner}</{tag}>'
 
+    def heading() -> str:
+        tag = rng.choice(("h2", "h3", "h3", "h4"))
+        return f"<{tag}>{words(1, 3)}</{tag}>"
+
     def listing(k: int) -> str:
-        return "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(k)) + "</ul>"
+        most = rng.choice((1, 1, 3))
+        return "<ul>" + "".join(f"<li>{link(1, most) if rng.random() < 0.7 else f'<a href=/>{words(1, 1)[: rng.randint(2, 5)]}</a>'}</li>" for _ in range(k)) + "</ul>"
 
     def menu() -> str:
-        return rng.choice((lambda: part("nav", listing(rng.randint(3, 8)), "", "menu", "navbar"), lambda: part("div", listing(rng.randint(3, 8)), "menu", "nav-main", "navigation"), lambda: part("ul", "".join(f"<li>{link()}</li>" for _ in range(5)), "menu", "nav")))()
+        kind, inner = rng.random(), listing(rng.randint(2, 10))
+        if kind < 0.6:
+            return part("nav", inner if kind < 0.5 else " / ".join(link() for _ in range(3)), "", "", "menu", "navbar", "breadcrumb")
+        return part("div", inner, "menu", "nav-main", "navigation") if kind < 0.85 else part("ul", inner[4:-5], "menu", "nav")
 
     def advert() -> str:
         return part(rng.choice(("div", "aside", "section")), rng.choice((sentences(1, 3), f"<p>{sentences(1, 2)}</p>", f"{link(2, 6)}")), "ad", "ads", "advert", "sponsored", "promo", "ad-slot")
@@ -336,14 +456,14 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
         return part("div", rng.choice((sentences(1, 2), f"<p>{sentences(1, 3)}</p><button>OK</button>")), "cookie-notice", "consent", "notice", "cookie-banner", "alert", "popup", "newsletter", "gdpr")
 
     def sidebar() -> str:
-        return part(rng.choice(("aside", "div")), f"<h3>{words(1, 3)}</h3>" + rng.choice((listing(4), f"<p>{sentences(1, 3)}</p>")), "sidebar", "widget", "related", "rail", "recommended")
+        return part(rng.choice(("aside", "div", "section")), heading() + rng.choice((listing(4), f"<p>{sentences(1, 3)}</p>")), "sidebar", "widget", "related", "rail", "recommended")
 
     def form() -> str:
         return part("form", f"<p>{words(1, 5)}</p><label>{words(1, 3)} <input name=q></label><button>{words(1, 1)}</button>", "", "search", "login", "subscribe")
 
     def comments() -> str:
         inner = "".join(rng.choice((f'<div class="comment"><p>{sentences(1, 4)}</p></div>', f"<li><p>{sentences(1, 5)}</p></li>", f"<p>{sentences(1, 4)}</p>", f"<article><p>{sentences(1, 4)}</p></article>")) for _ in range(rng.randint(1, 5)))
-        return part(rng.choice(("section", "div", "ol")), f"<h3>{words(1, 2)}</h3>" + inner, "comments", "comment-list", "discussion", "replies", "respond")
+        return part(rng.choice(("section", "div", "ol")), heading() + inner, "comments", "comment-list", "discussion", "replies", "respond")
 
     def footer() -> str:
         return part(rng.choice(("footer", "footer", "div")), rng.choice((f"&copy; {words(1, 3)} {sentences(1, 2)}", f"<p>{sentences(1, 2)}</p>", listing(3), link(1, 4))), "footer", "site-footer", "colophon", "copyright")
@@ -381,7 +501,7 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
-        body = f"<h1>{words(2, 9)}</h1>" + paragraphs(rng.randint(1, 9))
+        body = f"<h1>{words(2, 9)}</h1>" + paragraphs(rng.randint(1, 9) if rng.random() < 0.75 else rng.randint(10, 30))
         inside = [x() for x in (advert, sidebar, comments, notice, form) if rng.random() < 0.12]
         if inside:
             cut = body.rfind("</p>") + 4 if "</p>" in body else len(body)
@@ -397,10 +517,11 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
             core = f'<div{attribute("wrapper", "container", "", "page")}>' + "".join(x() for x in (menu, sidebar) if rng.random() < 0.4) + core + "".join(x() for x in (sidebar, advert) if rng.random() < 0.4) + "</div>"
         before = "".join(x() for x in (notice, header, menu, advert, form) if rng.random() < 0.45)
         after = "".join(x() for x in (comments, sidebar, advert, form, notice) if rng.random() < 0.3) + (rng.choice((footer, bare_footer))() if rng.random() < 0.9 else "")
-        if rng.random() < 0.35:  # an article and nothing else
+        bare = rng.random() < 0.35
+        if bare:  # an article and nothing else
             before = after = ""
-            if rng.random() < 0.7:
-                core = part(tag, "".join(f"<p>{words(1, 5)}.</p>" for _ in range(rng.randint(1, 2))), *names, gold=1)
+        if rng.random() < (0.7 if bare else 0.25):  # and a short one
+            core = part(tag, "".join(f"<p>{words(1, 5)}.</p>" for _ in range(rng.randint(1, 2))), *names, gold=1)
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{}}</style></head><body>{before}{core}{after}</body></html>")
     return pages
 
@@ -415,7 +536,13 @@ def default_model() -> Model:
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """page_id, url, text, n_chars and n_blocks of every page; a null page is empty."""
+    """page_id, url, text and n_chars (code points) of every page.
+
+    A null, empty or textless page has the empty text. Pages of any length or depth take
+    time in proportion to their length and are held one at a time. Repeated rows stay one
+    by one; other columns are ignored; an empty table gives no rows. A block whose marginal
+    is exactly a half is content.
+    """
     spark = pages.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model or default_model())

@@ -62,7 +62,7 @@ def test_shingles_are_runs_of_words():
 
 
 def test_html_parts_and_odd_markup():
-    model = html_extract.fit(html_extract.training_pages(120))
+    model = html_extract.default_model()
     page = (
         "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><header><p>Site</p></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div>"
         "<article><h1>A title&amp;more</h1><p>First  paragraph\n of text, with <b>bold</b> words.<p>Second one; unclosed.<div class=ad>Buy now!</div><p>Third&nbsp;one.</p></article>"
@@ -95,7 +95,7 @@ def test_marginals_are_exact():
             n = page.nodes[k]
             score += y[k] * sum(model.unary.get(f, 0.0) for f in html_extract._features(n))
             if n.parent >= 0:
-                score += (model.edge.get(html_extract._edge(n)) or model.edge["*"])[y[n.parent]][y[k]]
+                score += (model.edge.get(html_extract._edge(page, k)) or model.edge["*"])[y[n.parent]][y[k]]
         w = np.exp(score)
         total += w
         for k in used:
@@ -106,7 +106,7 @@ def test_marginals_are_exact():
 
 def test_html_on_tables(spark):
     rows = [(1, "u", "<article><p>Hello there, you.</p></article>"), (2, None, None), (3, "u", ""), (3, "u", "")]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), html_extract.fit(html_extract.training_pages())).orderBy("page_id").collect()
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), html_extract.default_model()).orderBy("page_id").collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "Hello there, you.", 17), (2, "", 0), (3, "", 0), (3, "", 0)]
 
 
