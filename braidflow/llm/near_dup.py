@@ -48,7 +48,7 @@ BITS = 20
 SLICE = 1 << 14
 SMALL = 16
 #: Texts of a larger bucket that are compared with all of it: the least of each residue class.
-LEADERS = 4
+LEADERS = 2
 #: A pair whose samples of both kinds agree less often than this isn't verified: 5 standard
 #: deviations below THRESHOLD.
 LEAST_AGREEMENT = 0.45
