@@ -6,7 +6,8 @@ by distinct repository and owner. A value that many owners or repositories carry
 copied example; one kept to an owner that also looks random is probably live.
 
 A hot value is no hot task: each task first sums its own rows per (value, owner,
-repository), and those sums, not the places, meet in the shuffle.
+repository), and those sums, not the places, meet in the shuffle; owners and repositories
+of a value are then counted each for themselves, from tasks' distinct ones.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ BASE = {
 # Public formats of keys and tokens beyond the base kinds.
 MORE = {
     "github": (re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), 0, 40),
-    "jwt": (re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 30),
-    "pem": (re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,30}PRIVATE KEY-----"), 0, 60),
+    "jwt": (re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 30),
+    "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"), 0, 60),
     "slack": (re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0, 15),
     "google": (re.compile(r"\bAIza[A-Za-z0-9_-]{35}"), 0, 39),
 }
@@ -103,17 +104,18 @@ def ownership(scanned: DataFrame) -> DataFrame:
     Null owners and repositories count as one owner and one repository, named ''.
     """
     places = scanned.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("found").alias("c"))
-    by_repository = places.groupBy(F.col("c.hash").alias("hash"), "owner", "repository").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
-    by_hash = by_owner.groupBy("hash").agg(F.sum("n").alias("n_places"), F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
+    by_place = places.groupBy(F.col("c.hash").alias("hash"), "owner", "repository").agg(F.count("*").alias("n"))
+    by_hash = by_place.groupBy("hash").agg(F.sum("n").alias("n_places"), F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories"))
     return by_hash.withColumn("is_example", (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES))
 
 
 def secret_digest(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
     """Per document the digest columns, and how many candidates are live-looking or examples.
 
-    Null text: no candidates. Repeated rows and doc_ids stay apart. An empty table gives no
-    rows. Texts are read once; what the scan found is written and read again.
+    Null text: no candidates. Repeated rows and doc_ids stay apart, each a place of its
+    own; spans of one start are in order of kind. An empty table gives no rows; columns
+    beside those named are ignored, whatever their names. Texts of any length are read
+    once, in time in proportion; what the scan found is written and read again.
     """
     scanned = common.written(scan(docs, repository, owner), "secrets")
     places = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("c")).select("row", "c.hash", "c.bits")
