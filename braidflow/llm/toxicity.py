@@ -5,8 +5,10 @@ and word beginnings; the document's is their noisy-or, 1 - prod(1 - p). Only doc
 labelled: the gradient of the noisy-or tells which sentences bear a label, and these are
 what ``offending`` locates.
 
-The model is fitted on the driver from a bounded sample (``SAMPLE_DOCS`` labelled rows of
-each label, drawn by a hash of doc_id), and has ``MAX_FEATURES`` features at most.
+The model is fitted on the driver from a bounded sample: about ``SAMPLE_DOCS`` labelled
+documents of each label, drawn by a hash of doc_id, and of these the texts of at most
+``SAMPLE_BYTES`` bytes. It has ``MAX_FEATURES`` features at most. Scores are of whole texts
+of any length.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_DOCS = 4000
+SAMPLE_BYTES = 1 << 15
 MAX_FEATURES = 4000
 #: Features of a word: itself, and its beginnings of so many bytes.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -76,6 +79,9 @@ class Model:
     keys: np.ndarray  # sorted hashes
     weights: np.ndarray
     bias: float
+    #: Of the fit: the loss it ended with, and its rounds.
+    loss: float = float("nan")
+    rounds: int = 0
 
     def __post_init__(self) -> None:
         self.maybe = np.zeros(1 << 20, bool)
@@ -102,8 +108,9 @@ def noisy_or(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(-np.expm1(sums[first[1:]] - sums[first[:-1]]), 0, 1)
 
 
-def fit_arrays(keys: np.ndarray, label: np.ndarray, n_sentences: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, rounds: int = 600, decay: float = 1e-4) -> Model:
-    """Maximise the labels' likelihood under the noisy-or.
+def fit_arrays(keys: np.ndarray, label: np.ndarray, n_sentences: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, rounds: int = 600, decay: float = 1e-4, least: float = 1e-3, every: int = 25) -> Model:
+    """Maximise the labels' likelihood under the noisy-or, until ``every`` rounds lower the
+    loss by less than its ``least`` part (or that of a tenth).
 
     doc, sentence, feature: a row for each time that a feature stands in a sentence (of the
     document); sentences without features only count.
@@ -115,12 +122,18 @@ def fit_arrays(keys: np.ndarray, label: np.ndarray, n_sentences: np.ndarray, doc
     w, b = np.full(len(keys), 2.0), -9.0
     step, m, v = 0.1, np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     balance = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1)) * n_docs
+    loss, before = np.inf, np.inf
     for t in range(1, rounds + 1):
         z = b + np.bincount(at, w[feature], len(pair))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         p0 = 1 / (1 + np.exp(-b))
         log_none = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label)) + bare * np.log1p(-p0)
         none = np.exp(log_none)
+        loss = float((balance * np.where(label == 1, -np.log(np.maximum(1 - none, 1e-12)), -log_none)).mean() + decay / 2 * (w @ w))
+        if t % every == 0:
+            if before - loss < least * max(before, 0.1):
+                break
+            before = loss
         # d log-likelihood / d z of a sentence: p (y - P) / P for y = 1, -p for y = 0
         pull = np.where(label == 1, none / np.maximum(1 - none, 1e-9), -1.0) * balance
         dz = p * pull[owner]
@@ -128,16 +141,22 @@ def fit_arrays(keys: np.ndarray, label: np.ndarray, n_sentences: np.ndarray, doc
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         w, b = w + move[:-1], min(b + move[-1], -4.0)
-    return Model(keys, w, float(b))
+    return Model(keys, w, float(b), loss, t)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, is_training: Column, each: int) -> DataFrame:
-    """At most about ``each`` training rows of each label, with text: the sample is bounded."""
+    """At most about ``each`` training documents of each label: the sample is bounded.
+
+    A document of several rows counts once, with its first text in order; one of several
+    labels is toxic if any says so.
+    """
     known = labels.where(is_training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, F.lit(min(1.0, each / max(counts.get(1, 0), 1)))).otherwise(F.lit(min(1.0, each / max(counts.get(0, 0), 1))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_003)) / 1_000_003 < share).limit(4 * each)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("label", "text")
+    drawn = F.xxhash64("doc_id", F.lit(31))
+    sample = known.where(F.pmod(drawn, F.lit(1_000_003)) / 1_000_003 < share).orderBy(drawn, "doc_id").limit(4 * each)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    return rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -194,7 +213,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_sentences, offending (code-point spans and scores of the sentences
     with a probability of at least a half), from the text alone.
 
-    Null and empty texts, and texts without a word, have no sentence and score 0.
+    Null and empty texts, and texts without a word, have no sentence and score 0. Repeated
+    rows are scored one by one and alike; other columns are ignored; an empty table gives
+    no rows. A text of any length is scored whole, in time in proportion.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -222,7 +243,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32 of the doc_id's text modulo 5 is 0; null: held out), score,
-    predicted, n_sentences and n_offending. Learns from labels of rows not held out."""
+    predicted, n_sentences and n_offending. Learns from labels of rows not held out.
+
+    Where only one label is known, no text is toxic. A score of exactly a half is
+    predicted 1. Columns of any other name are ignored; see ``score`` for odd texts.
+    """
     held = F.coalesce(common.crc32_mod("doc_id", 5) == 0, F.lit(True))
     scored = score(docs, fit(docs, labels, ~held))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", F.size("offending").cast("long").alias("n_offending"))
