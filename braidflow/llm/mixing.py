@@ -30,7 +30,9 @@ SEED = 7
 #: The budget as a part of all tokens.
 SHARE = 1.0
 
-# Target weights by name at each level; a name not listed weighs 1.
+#: What a name weighs that its level doesn't list; at a level that lists none, all weigh 1.
+UNLISTED = 0.1
+# Target weights by name at each level.
 WEIGHTS: dict[str, dict[str, float]] = {"domain": {"web": 0.5, "books": 0.3, "code": 0.2}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
 
 
@@ -80,7 +82,7 @@ def budgets(leaves: list[Leaf], total: float, weights: dict[str, dict[str, float
         for leaf in own:
             families.setdefault(leaf.path[depth], []).append(leaf)
         names = sorted(families)
-        parts = [(weights.get(levels[depth], {}).get(n, 1.0 if levels[depth] not in weights else 0.1), epochs * sum(x.tokens for x in families[n])) for n in names]
+        parts = [(weights[levels[depth]].get(n, UNLISTED) if levels[depth] in weights else 1.0, epochs * sum(x.tokens for x in families[n])) for n in names]
         for name, share in zip(names, fill(budget, parts)):
             deal(families[name], depth + 1, share)
 
@@ -133,10 +135,14 @@ def plan(rows: DataFrame, share: float = SHARE, weights: dict[str, dict[str, flo
 
 
 def select(rows: DataFrame, planned: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """rows with copies: how often the mixture has the document (0: not at all)."""
+    """rows with copies: how often the mixture has the document (0: not at all).
+
+    The plan, of MAX_LEAVES rows at most, is broadcast: the corpus is never dealt out by
+    leaf, of which one may hold a third of it.
+    """
     keys = [f"k{i}" for i in range(len(levels))]
     extra = (F.col("cut").isNotNull() & (_order(F.col("whole")) <= F.col("cut"))).cast("int")
-    return rows.join(planned, keys).withColumn("copies", F.col("whole") + extra)
+    return rows.join(F.broadcast(planned), keys).withColumn("copies", F.col("whole") + extra)
 
 
 def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
@@ -151,7 +157,11 @@ def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, copies of every document."""
+    """doc_id, domain, lang, source, n_tokens, copies of every document; odd input as in ``mix``.
+
+    Repeated rows have equal copies; columns of any other name are ignored; a text of any
+    length is one document.
+    """
     rows = common.written(_prepared(docs, leaf_columns()).drop("doc"), "mix-rows")
     return select(rows, plan(rows)).select(F.col("id").alias("doc_id"), F.col("k0").alias("domain"), F.col("k1").alias("lang"), F.col("k2").alias("source"), "n_tokens", "copies")
 
