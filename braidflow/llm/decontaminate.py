@@ -180,8 +180,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     """doc_id, item_id, start and stop (code points of the text), distance, item_bytes.
 
     A row for each place of an item in a text within the error budget. Null texts and
-    items, and items without a word, match nothing; short ones can be told by item_bytes.
-    Repeated rows repeat their matches. One narrow pass over the documents per block of items.
+    items, and items without a word or an item_id, match nothing; short ones can be told by
+    item_bytes. Repeated rows repeat their matches, a repeated item doesn't; of places of
+    an item at one distance that overlap, the first end counts. Either table empty: no
+    rows. Columns beside doc_id, item_id and text are ignored. Texts of any length are
+    searched whole. One narrow pass over the documents per block of items.
     """
     return _keyed_matches(docs, benchmark, rate).drop("key")
 
@@ -201,7 +204,6 @@ def _keyed_matches(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFr
     return out
 
 
-
 def _searcher(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, rate)
@@ -226,8 +228,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     """The documents in which no item stands, with all their columns.
 
     A document is its doc_id (null or not) and its text: others of the same doc_id stay.
+    Null texts stay, and so do all documents if there are no items; repeated rows stay or
+    go together. Columns may have any names.
     """
-    found = _keyed_matches(docs, benchmark, rate).select(F.col("doc_id").alias("__bad"), F.col("key").alias("__key"))
+    found = _keyed_matches(docs, benchmark, rate).select("doc_id", "key")
     bad = common.written(found.distinct(), "contaminated")
     key = F.sha2(docs["text"].cast("string").cast("binary"), 256)
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]) & (key == bad["__key"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (key == bad["key"]), "left_anti")
