@@ -17,7 +17,7 @@ What keeps this linear where a group is huge:
   from THRESHOLD and the texts' weights). So no link that joins two classes is lost between
   texts of a bucket, and texts that differ too much to be linked never meet there;
 * these links form the classes and don't count them: the links of a text are counted over
-  all pairs of its class, in blocks of texts, where the counts are asked for;
+  all pairs of its class, in blocks of texts, only where the counts are asked for;
 * joins on the pairs are plain equi-joins, which adaptive execution splits if skewed;
 * classes come from alternating star contractions over tables, nothing on the driver.
 
@@ -517,19 +517,25 @@ def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarr
     return common.written(rows, "rows"), labels, sets, idf
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the class's least doc_id), n_links (the other texts that its text is
-    linked with, of all of its class), n_copies (rows of the same text) and key (the text's
-    SHA-256), a row per row of docs.
+def classes(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """doc_id, class_id (the class's least doc_id), n_copies (rows of the same text) and key
+    (the text's SHA-256), a row per row of docs; with count_links also n_links, the other
+    texts that its text is linked with, of all of its class.
 
     Equal texts are in one class, null as the empty text. Texts without a word are alike
     only if equal. A null doc_id belongs to the class of its text if that has another
     doc_id, else its class is null. Rows of one doc_id are taken as one document. An empty
-    table gives no rows.
+    table gives no rows; columns beside doc_id and text are ignored.
+
+    Counting links compares all pairs of a class, in blocks, so its time grows with the
+    square of the largest class; forming the classes doesn't.
     """
     rows, labels, sets, idf = _classed(docs)
     copies = rows.groupBy("key").agg(F.count("*").alias("n_copies"))
-    out = rows.join(link_counts(labels, sets, idf), "node", "left").join(copies, "key")
+    out = rows.join(copies, "key")
+    if not count_links:
+        return out.select("doc_id", "class_id", "n_copies", "key")
+    out = out.join(link_counts(labels, sets, idf), "node", "left")
     return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "key")
 
 

@@ -483,9 +483,9 @@ def test_link_counts_against_brute_force(spark, monkeypatch):
     near = [[i != j and max(near_dup._similarity(x, y, idf)) >= near_dup.THRESHOLD for j, y in enumerate(packed)] for i, x in enumerate(packed)]
     want = {i: sum(row) for i, row in enumerate(near)}
     assert want[1] == 0 and max(want.values()) > 2 * near_dup.SMALL
-    assert {r.doc_id: r.n_links for r in near_dup.classes(docs).collect()} == want
+    assert {r.doc_id: r.n_links for r in near_dup.classes(docs, count_links=True).collect()} == want
     monkeypatch.setattr(near_dup, "BLOCK_TEXTS", 7)
-    assert {r.doc_id: r.n_links for r in near_dup.classes(docs).collect()} == want
+    assert {r.doc_id: r.n_links for r in near_dup.classes(docs, count_links=True).collect()} == want
 
 
 def test_prefix_keys_lose_no_similar_pair():
