@@ -6,6 +6,7 @@ strings; those ending in ``_column`` build expressions that Catalyst evaluates.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterable, Mapping, Sequence
@@ -42,11 +43,20 @@ def to_regex(pattern: str) -> tuple[str, list[str]]:
 
 def match(pattern: str, path: str) -> dict[str, str] | None:
     """The wildcards' values, or None; of a repeated name the last value counts."""
-    regex, names = to_regex(pattern)
-    m = re.match(regex, path)
+    regex, names = _compiled(pattern)
+    if regex is None:
+        return {} if path == pattern else None
+    m = regex.match(path)
     return dict(zip(names, m.groups())) if m else None
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _compiled(pattern: str) -> tuple[re.Pattern | None, list[str]]:
+    """Of a pattern without wildcards no expression: it is the path."""
+    regex, names = to_regex(pattern)
+    return (re.compile(regex) if names else None), names
+
+
 def substitute(pattern: str, values: Mapping[str, object]) -> str:
     """Fill wildcards; ``{{`` and ``}}`` are literal braces; a missing name is an error."""
 

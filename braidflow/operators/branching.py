@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 
 def union_all(branches: Mapping[str, DataFrame], tag: str = "branch") -> DataFrame:
     """The rows of all branches, each with its branch's name: what ``pipe`` hands on."""
@@ -24,26 +26,74 @@ def per_branch(branches: Mapping[str, DataFrame], fn: Callable[[DataFrame], Data
     return union_all({name: fn(df) for name, df in branches.items()}, tag)
 
 
+#: So many rules are folded into one expression; more are broadcast, and over the second
+#: number (of rules, which are plan metadata) it is an error.
+FOLDED_RULES = 200
+MOST_RULES = 100_000
+
+
 def first_match(targets: DataFrame, target: str, rules: DataFrame, regex: str, position: str) -> DataFrame:
     """Each target with the first rule, by position, whose expression matches it.
 
-    Rules are plan metadata; they are broadcast only if Spark finds them small.
+    A few rules become one ``CASE WHEN … RLIKE`` of literals: a projection of the targets,
+    without a join. More are joined as a broadcast of checked size. Targets that no rule
+    matches go; of rules of one position the lesser expression comes first.
+    """
+    found = rules.orderBy(position, regex).limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
+    if len(found) <= FOLDED_RULES:
+        chosen: Column | None = None
+        for r in found:
+            rule = F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema))
+            hit = F.col(target).rlike(r[regex])
+            chosen = F.when(hit, rule) if chosen is None else chosen.when(hit, rule)
+        if chosen is None:
+            return targets.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rules.schema)).limit(0)
+        return targets.select("*", chosen.alias("__rule")).where("__rule IS NOT NULL").select(*targets.columns, "__rule.*")
+    row = targets.withColumn("__row", F.monotonically_increasing_id())
+    pairs = row.join(F.broadcast(rules), F.expr(f"{target} RLIKE {regex}"))
+    return pairs.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(position, regex))).where("__n = 1").drop("__n", "__row")
+
+
+class LineageCycle(ValueError):
+    """Edges that lead back to where they come from."""
+
+
+def lineage(edges: DataFrame, target: str, child: str = "output", parent: str = "input", depth: int = 100) -> DataFrame:
+    """path and depth (the longest way from the target) of everything that a target needs.
+
+    One join per level, of the level's distinct paths with the edges: work grows with paths
+    times levels, never with the number of ways between them. Levels are checkpoints. More
+    than ``depth`` of them, or a cycle, are an error; the cycle's paths are named.
     """
-    pairs = targets.join(rules, F.expr(f"{target} RLIKE {regex}"))
-    order = F.row_number().over(Window.partitionBy(target).orderBy(position))
-    return pairs.withColumn("__n", order).where("__n = 1").drop("__n")
-
-
-def lineage(edges: DataFrame, target: Column | str, child: str = "output", parent: str = "input", depth: int = 100) -> DataFrame:
-    """path and depth of everything that a target needs, by a recursive query over edges."""
     spark = edges.sparkSession
-    edges.select(F.col(child).alias("o"), F.col(parent).alias("i")).createOrReplaceTempView("__edges")
-    return spark.sql(
-        f"""WITH RECURSIVE needs(path, depth) MAX RECURSION LEVEL {depth} AS (
-            SELECT :target, 0 UNION ALL SELECT e.i, n.depth + 1 FROM needs n JOIN __edges e ON e.o = n.path)
-        SELECT path, max(depth) AS depth FROM needs GROUP BY path""",
-        args={"target": target},
-    )
+    tables.checkpoint_dir(spark)
+    ways = edges.select(F.col(child).alias("o"), F.col(parent).alias("i")).where("o IS NOT NULL AND i IS NOT NULL").distinct().checkpoint()
+    level = spark.range(1).select(F.lit(target).alias("path"))
+    out = level.select("path", F.lit(0).alias("depth"))
+    for k in range(1, depth + 2):
+        level = level.join(ways, F.col("path") == F.col("o")).select(F.col("i").alias("path")).distinct().checkpoint()
+        if level.isEmpty():
+            return out.groupBy("path").agg(F.max("depth").alias("depth"))
+        out = out.unionAll(level.select("path", F.lit(k).alias("depth")))
+    raise _endless(ways, depth)
+
+
+def _endless(ways: DataFrame, depth: int) -> ValueError:
+    """The paths on cycles, or between two, by stripping edges that lead nowhere or come
+    from nowhere; without any left, the lineage is only long."""
+    left, n = ways, ways.count()
+    while n:
+        leads, comes = left.select(F.col("o").alias("i")).distinct(), left.select(F.col("i").alias("o")).distinct()
+        less = left.join(leads, "i", "left_semi").join(comes, "o", "left_semi").select("o", "i").checkpoint()
+        m = less.count()
+        left = less
+        if m == n:
+            break
+        n = m
+    names = [r["o"] for r in left.select("o").distinct().orderBy("o").limit(10).collect()] if n else []
+    return LineageCycle(f"a cycle over {', '.join(names)}") if names else ValueError(f"over {depth} levels")
 
 
 def chunks(df: DataFrame, jobs: int, partition: list[str], order: list[str], name: str = "chunk") -> DataFrame:

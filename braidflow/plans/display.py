@@ -87,3 +87,7 @@ def log(text: str, file: TextIO | None = None) -> None:
 
 def log_step(r: Any) -> None:
     log(f"{'skip' if r.skipped else 'ok' if r.success else 'FAIL'} {r.step} ({r.duration:.2f} s)" + (f": {r.failure}" if r.failure else ""))
+
+
+def log_progress(done: int, total: int) -> None:
+    log(f"  {done}/{total} branches done" + (f", {total - done} left" if done < total else ""))

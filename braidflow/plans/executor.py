@@ -2,9 +2,9 @@
 
 Tables stay lazy from step to step, so a chain of DataFrame steps is one Catalyst plan. A
 boundary makes a table real: a declared output (it is written), a guard (retry, fallback,
-timeout: the action must fail inside it), a branch condition on a value, or
-``materialize="step"``. A step that several nodes share runs once per run, and its table
-is persisted until the run ends.
+timeout: the action must fail inside it), or ``materialize="step"``. A step that several
+nodes share runs once per run, and its table is persisted until the run ends; what is among
+the results stays until ``Results.release``.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import threading
 import time
 import traceback
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import singledispatch
 from typing import Any
@@ -32,6 +33,7 @@ from .nodes import Branch, Broadcast, Fallback, Force, ForEach, Node, NoWork, Pa
 from .resources import Budget
 from .results import PipelineError, Results, StepFailure, StepResult
 from .state import StateTable, is_fresh, missing
+from .timing import Scope, Stopped, cancel_jobs
 
 NOTHING = type("Nothing", (), {"__repr__": lambda self: "NOTHING"})()
 
@@ -60,6 +62,33 @@ class Context:
     slots: threading.Semaphore | None = None
     local: threading.local = field(default_factory=threading.local)
     report_step: Callable[[StepResult], None] | None = None
+    report_progress: Callable[[int, int], None] | None = None
+
+    def inherited(self) -> dict[str, Any]:
+        """What a thread hands on to the threads that it starts."""
+        return dict(self.local.__dict__)
+
+    @contextmanager
+    def as_part(self, inherited: dict[str, Any]) -> Iterator[None]:
+        """This new thread goes on where the one that started it was."""
+        self.local.__dict__.update(inherited)
+        if self.scope is None:
+            yield
+            return
+        self.scope.enter()
+        try:
+            yield
+        finally:
+            self.scope.leave()
+
+    @property
+    def scope(self) -> Scope | None:
+        return getattr(self.local, "scope", None)
+
+    @property
+    def own_budget(self) -> Budget:
+        """What the innermost surrounding request was granted, else the run's budget."""
+        return getattr(self.local, "budget", self.budget)
 
     @property
     def guarded(self) -> bool:
@@ -102,7 +131,7 @@ class ProcessFailed(RuntimeError):
 
 def _arguments(fn: Callable, step: Step, value: Any) -> list:
     """The upstream value if there is one, else the declared inputs, as far as fn takes any."""
-    given = list(step.inputs) if value is NOTHING else [value]
+    given = list(step.inputs) if value is NOTHING else [_unspilled(value)]
     try:
         parameters = list(inspect.signature(fn).parameters.values())
     except (TypeError, ValueError):
@@ -116,6 +145,15 @@ def _arguments(fn: Callable, step: Step, value: Any) -> list:
     return given[: max(needed, min(len(given), len(takes)))]
 
 
+def _unspilled(value: Any) -> Any:
+    """Plain values that were too large to keep, alone or in a list, as they were."""
+    if isinstance(value, tables.SpilledValue):
+        return tables.materialize(value)
+    if isinstance(value, list) and any(isinstance(x, tables.SpilledValue) for x in value):
+        return [_unspilled(x) for x in value]
+    return value
+
+
 @execute.register
 def _(work: Sql, step: Step, ctx: Context, value: Any) -> DataFrame:
     spark = ctx.spark or SparkSession.active()
@@ -132,7 +170,7 @@ def _(work: Sql, step: Step, ctx: Context, value: Any) -> DataFrame:
 @execute.register
 def _(work: Shell, step: Step, ctx: Context, value: Any) -> Any:
     command = work.command() if callable(work.command) else work.command
-    code, out, err = tables.capture(command, ctx.spill_bytes, ctx.spill_dir)
+    code, out, err = tables.capture(command, ctx.spill_bytes, ctx.spill_dir, ctx.scope)
     if code:
         raise ProcessFailed(f"exit code {code}", err)
     return out
@@ -156,12 +194,16 @@ def _run_leaf(step: Step, ctx: Context, forced: bool, value: Any) -> StepResult:
         if lost := missing(step.inputs):
             return fail("missing_input", f"missing input: {', '.join(lost)}")
         out = execute(step.work, step, ctx, value)
+        if ctx.scope is not None:
+            ctx.scope.check()
         if isinstance(out, DataFrame):
             if len(step.outputs) == 1:
                 tables.write_table(out, step.outputs[0])
                 out = tables.read_table(out.sparkSession, step.outputs[0])
             elif ctx.guarded or ctx.materialize == "step" or id(step) in ctx.shared:
                 out = ctx.make_real(out)
+        elif ctx.spill_bytes is not None:
+            out = tables.spilled_if_large(out, ctx.spill_bytes, ctx.spill_dir)
         if lost := missing(step.outputs):
             return fail("missing_output", f"missing output: {', '.join(lost)}")
     except ProcessFailed as e:
@@ -170,6 +212,8 @@ def _run_leaf(step: Step, ctx: Context, forced: bool, value: Any) -> StepResult:
         return fail("invalid_step_work", str(e))
     except Exception as e:
         return fail("exception", f"{type(e).__name__}: {e}"[:2000], traceback.format_exc()[:65536])
+    if ctx.scope is not None:
+        ctx.scope.check()
     with ctx.lock:
         ctx.done.append(step)
     return result(True, out)
@@ -198,6 +242,9 @@ def _(node: Step, ctx: Context, forced: bool, value: Any) -> Results:
     if mine:
         try:
             future.set_result(_slotted(node, ctx, forced, value))
+        except Stopped:  # others may wait for the step outside of the time limit
+            future.set_result(StepResult(node.name, False, 0.0, StepFailure("timed_out", "stopped by a time limit"), node.inputs, node.outputs, False, node))
+            raise
         except BaseException as e:
             future.set_exception(e)
             raise
@@ -207,7 +254,7 @@ def _(node: Step, ctx: Context, forced: bool, value: Any) -> Results:
 def _slotted(node: Step, ctx: Context, forced: bool, value: Any) -> StepResult:
     """One pool of job slots for the whole run, taken only by steps while they run."""
     hints = getattr(ctx.local, "hints", (0, 0))
-    with ctx.budget.admit(*hints):
+    with ctx.own_budget.admit(*hints):
         if ctx.slots is None:
             return _run_leaf(node, ctx, forced, value)
         with ctx.slots:
@@ -234,14 +281,18 @@ def _fan_out(parts: list[tuple[Node, Any]], ctx: Context, forced: bool) -> list[
     """Branches in threads of their own; results in the branches' order."""
     if len(parts) <= 1 or ctx.jobs == 1:
         return [run_node(n, ctx, forced, v) for n, v in parts]
-    guards, hints = getattr(ctx.local, "guards", 0), getattr(ctx.local, "hints", (0, 0))
-    held = getattr(ctx.budget.held, "amounts", (0, 0))
+    inherited = ctx.inherited()
     out: list[Any] = [None] * len(parts)
+    done: list[int] = []
 
     def one(i: int) -> None:
-        ctx.local.guards, ctx.local.hints, ctx.budget.held.amounts = guards, hints, held
         try:
-            out[i] = run_node(parts[i][0], ctx, forced, parts[i][1])
+            with ctx.as_part(inherited):
+                out[i] = run_node(parts[i][0], ctx, forced, parts[i][1])
+                with ctx.lock:
+                    done.append(i)
+                    if ctx.report_progress:
+                        ctx.report_progress(len(done), len(parts))
         except BaseException as e:
             out[i] = e
 
@@ -254,7 +305,8 @@ def _fan_out(parts: list[tuple[Node, Any]], ctx: Context, forced: bool) -> list[
     for t in threads:
         t.start()
     for t in threads:
-        t.join()
+        while t.is_alive():  # a time limit can interrupt between two waits
+            t.join(0.2 if ctx.scope is not None else None)
     for x in out:
         if isinstance(x, BaseException):
             raise x
@@ -293,7 +345,7 @@ def _inside(node: Node) -> list[Step]:
 
 @run_node.register
 def _(node: Branch, ctx: Context, forced: bool, value: Any) -> Results:
-    if isinstance(value, DataFrame):
+    if node.keep and isinstance(value, DataFrame):
         value = ctx.make_real(value)
     chosen = node.condition() if value is NOTHING else node.condition(value)
     if not isinstance(chosen, bool):
@@ -304,15 +356,14 @@ def _(node: Branch, ctx: Context, forced: bool, value: Any) -> Results:
 @run_node.register
 def _(node: Timeout, ctx: Context, forced: bool, value: Any) -> Results:
     group, box = f"timeout-{uuid.uuid4().hex[:12]}", {}
-    guards, hints = getattr(ctx.local, "guards", 0), getattr(ctx.local, "hints", (0, 0))
-    held = getattr(ctx.budget.held, "amounts", (0, 0))
+    scope, inherited = Scope(ctx.scope), ctx.inherited()
 
     def work() -> None:
-        ctx.local.guards, ctx.local.hints, ctx.budget.held.amounts = guards, hints, held
-        if ctx.spark is not None:
-            ctx.spark.sparkContext.setJobGroup(group, "timed step", True)
         try:
-            box["results"] = ctx.within_guard(lambda: run_node(node.node, ctx, forced, value))
+            with ctx.as_part(inherited | {"scope": scope}):
+                if ctx.spark is not None:
+                    ctx.spark.sparkContext.setJobGroup(group, "timed step", True)
+                box["results"] = ctx.within_guard(lambda: run_node(node.node, ctx, forced, value))
         except BaseException as e:
             box["error"] = e
 
@@ -324,11 +375,13 @@ def _(node: Timeout, ctx: Context, forced: bool, value: Any) -> Results:
     began = time.monotonic()
     thread = threading.Thread(target=target, daemon=True)
     thread.start()
-    thread.join(node.seconds)
+    while thread.is_alive() and (left := node.seconds - (time.monotonic() - began)) > 0:
+        thread.join(min(left, 0.2) if ctx.scope is not None else left)
     spent = time.monotonic() - began
     if thread.is_alive():
+        scope.stop()
         if ctx.spark is not None:
-            ctx.spark.sparkContext.cancelJobGroup(group)
+            cancel_jobs(ctx.spark, group)
         return Results([StepResult("timeout", False, spent, StepFailure("timed_out", f"over {node.seconds} s"))])
     if "error" in box:
         return Results([StepResult("timeout", False, spent, StepFailure("inner_exception", f"{type(box['error']).__name__}: {box['error']}"))])
@@ -360,7 +413,7 @@ def _read_back(r: StepResult) -> Any:
     if r.skipped and r.outputs:
         found = [tables.FilePath(p) for p in r.outputs]
         return found[0] if len(found) == 1 else found
-    return r.result
+    return _unspilled(r.result)
 
 
 def branches_of(node: ForEach, ctx: Context) -> list[tuple[Node, Any]] | StepFailure:
@@ -445,24 +498,41 @@ def _(node: Broadcast, ctx: Context, forced: bool, value: Any) -> Results:
 
 @run_node.register
 def _(node: Resourced, ctx: Context, forced: bool, value: Any) -> Results:
-    before = getattr(ctx.local, "hints", (0, 0))
-    want = (node.resources.memory_mb, node.resources.threads)
+    before = {k: ctx.local.__dict__[k] for k in ("hints", "budget") if k in ctx.local.__dict__}
     try:
-        if isinstance(node.node, Step):  # a step takes the budget when it runs, not its waiters
-            ctx.local.hints = tuple(max(a, b) for a, b in zip(before, want))
+        if isinstance(node.node, Step) and not isinstance(node.node.work, Node):  # it takes the budget when it runs, not its waiters
+            ctx.local.hints = tuple(max(a, b) for a, b in zip(before.get("hints", (0, 0)), _most(node)))
             return run_node(node.node, ctx, forced, value)
-        with ctx.budget.admit(*want):
+        with ctx.own_budget.admit(*_most(node), least=1) as granted:
+            ctx.local.hints, ctx.local.budget = (0, 0), granted
             return run_node(node.node, ctx, forced, value)
     except Exception as e:
         return Results([StepResult("resourced", False, 0.0, StepFailure("resource_exception", f"{type(e).__name__}: {e}"))])
     finally:
-        ctx.local.hints = before
+        for k in ("hints", "budget"):
+            ctx.local.__dict__.pop(k, None)
+        ctx.local.__dict__.update(before)
+
+
+def _most(node: Node) -> tuple[int, int]:
+    """The most memory and threads that a request in the tree asks for: the outermost one
+    takes as much, since what is inside is served out of its grant."""
+    parts = [_most(c) for c in node.children()]
+    if isinstance(node, Resourced):
+        parts.append((node.resources.memory_mb, node.resources.threads))
+    return max((m for m, _ in parts), default=0), max((t for _, t in parts), default=0)
 
 
 # ---------------------------------------------------------------- run
 
 
-def _default_memory_mb() -> int:
+def default_jobs() -> int:
+    """Steps at a time: as many as processors, 8 at most."""
+    return min(os.cpu_count() or 1, 8)
+
+
+def default_memory_mb() -> int:
+    """Half of the machine's memory, in MB."""
     return int(os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2 / 1e6)
 
 
@@ -515,13 +585,14 @@ def run(
     if materialize not in ("boundary", "step"):
         raise ValueError("materialize is 'boundary' or 'step'")
     spark = spark or SparkSession.getActiveSession()
-    jobs = min(os.cpu_count() or 1, 8) if jobs is None else jobs
-    budget = Budget(_default_memory_mb() if memory_mb is None else memory_mb, (jobs or os.cpu_count() or 1) if threads is None else threads)
+    jobs = default_jobs() if jobs is None else jobs
+    budget = Budget(default_memory_mb() if memory_mb is None else memory_mb, (jobs or os.cpu_count() or 1) if threads is None else threads)
     state = StateTable(spark, state_dir) if state_dir and spark is not None else None
     folder = (spill_dir or tempfile.mkdtemp(prefix="braidflow-spill-")) if auto_spill else None
     ctx = Context(spark, jobs, budget, materialize, spill_threshold if auto_spill else None, folder, state.load() if state else set(), True, shared=_shared_steps(pipeline.root), slots=threading.Semaphore(jobs) if jobs else None)
     if verbose:
         ctx.report_step = lambda r: display.log_step(r)
+        ctx.report_progress = lambda done, total: display.log_progress(done, total)
     results = Results()
     try:
         results = run_node(pipeline.root, ctx, force, NOTHING)
@@ -540,7 +611,9 @@ def run(
             state.append(fresh)
         kept = {id(r.result) for r in results}
         for df in ctx.persisted:
-            if id(df) not in kept:
+            if id(df) in kept:
+                results.persisted.append(df)
+            else:
                 df.unpersist()
     if verbose:
         display.log(results.summary())

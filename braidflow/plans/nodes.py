@@ -196,18 +196,23 @@ class Retry(Node):
 
 @dataclass(frozen=True, eq=False)
 class Branch(Node):
-    """``condition()`` or ``condition(value)`` picks an arm; it must give a bool."""
+    """``condition()`` or ``condition(value)`` picks an arm; it must give a bool.
+
+    A table stays lazy: a condition that looks at its first rows reads no more of it. With
+    ``keep`` it is computed and persisted once, for the condition and the arm.
+    """
 
     condition: Callable[..., bool]
     if_true: Node
     if_false: Node
+    keep: bool = False
 
     def children(self) -> tuple[Node, ...]:
         return (self.if_true, self.if_false)
 
 
-def branch(condition: Callable[..., bool], if_true: Any, if_false: Any) -> Branch:
-    return Branch(condition, lift(if_true), lift(if_false))
+def branch(condition: Callable[..., bool], if_true: Any, if_false: Any, keep: bool = False) -> Branch:
+    return Branch(condition, lift(if_true), lift(if_false), keep)
 
 
 @dataclass(frozen=True, eq=False)

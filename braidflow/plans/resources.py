@@ -3,35 +3,34 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 
 class Budget:
-    """One weighted admission for memory and threads together, re-entrant per call stack.
+    """One weighted admission for memory and threads together.
 
-    A request over the capacity is cut down to it and so runs alone. What a surrounding
-    request of the same thread already holds is not asked for again, so nesting can't lock.
-    A capacity of 0 means no limit.
+    A request over the capacity is cut down to it and so runs alone. What is granted is a
+    budget of its own, out of which everything inside the request is served: however many
+    branches that has, together they never use more than the grant, and as they ask no
+    other budget, nesting can't lock. A capacity of 0 means no limit.
     """
 
     def __init__(self, memory_mb: int, threads: int) -> None:
         self.capacity = (memory_mb, threads)
         self.free = list(self.capacity)
         self.changed = threading.Condition()
-        self.held = threading.local()
 
     @contextmanager
-    def admit(self, memory_mb: int, threads: int):
-        have = getattr(self.held, "amounts", (0, 0))
-        want = [max(0, min(a, c) - h) if c else 0 for a, c, h in zip((memory_mb, threads), self.capacity, have)]
+    def admit(self, memory_mb: int, threads: int, least: int = 0) -> Iterator["Budget"]:
+        """The granted budget, of at least ``least`` of each that is limited."""
+        want = [min(max(a, least), c) if c else 0 for a, c in zip((memory_mb, threads), self.capacity)]
         with self.changed:
             self.changed.wait_for(lambda: all(w <= f for w, f in zip(want, self.free)))
             self.free = [f - w for f, w in zip(self.free, want)]
-        self.held.amounts = tuple(h + w for h, w in zip(have, want))
         try:
-            yield
+            yield Budget(*want)
         finally:
-            self.held.amounts = have
             with self.changed:
                 self.free = [f + w for f, w in zip(self.free, want)]
                 self.changed.notify_all()

@@ -45,6 +45,12 @@ class StepResult:
     def failure(self) -> StepFailure | None:
         return self.result if isinstance(self.result, StepFailure) else None
 
+    def __str__(self) -> str:
+        state = "skipped" if self.skipped else "ok" if self.success else "FAILED"
+        lines = [f"{state} {self.step} ({self.duration:.2f} s)"]
+        lines += [f"  {word} {', '.join(paths)}" for word, paths in (("from", self.inputs), ("to", self.outputs)) if paths]
+        return "\n".join(lines + ([f"  {preview(self.result)}"] if self.result is not None else []))
+
     @property
     def value(self) -> Any:
         """What the next step gets: the declared outputs if there are any, else the result."""
@@ -60,7 +66,25 @@ def preview(value: Any, limit: int = 200) -> str:
 
 
 class Results(list):
-    """The results in order of branches, with totals and a table form."""
+    """The results in order of branches, with totals and a table form.
+
+    As a context manager, or by ``release``, it lets go of the tables that the run has
+    persisted and that are among the results.
+    """
+
+    def __init__(self, *args: Any) -> None:
+        super().__init__(*args)
+        self.persisted: list[DataFrame] = []
+
+    def __enter__(self) -> "Results":
+        return self
+
+    def __exit__(self, *exc: Any) -> None:
+        self.release()
+
+    def release(self) -> None:
+        while self.persisted:
+            self.persisted.pop().unpersist()
 
     @property
     def success(self) -> bool:
@@ -71,6 +95,9 @@ class Results(list):
         """The last result's table or value."""
         return self[-1].result if self else None
 
+    def __str__(self) -> str:
+        return "\n".join([self.summary(), *map(str, self)])
+
     def failures(self) -> list[StepResult]:
         return [r for r in self if not r.success]
 

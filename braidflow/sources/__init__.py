@@ -1,6 +1,6 @@
 """Sources and sinks: files, tables, shell output and spilled values."""
 
 from .files import discover, exists, file_times, find_matches, listing, matched_listing, read_pattern
-from .tables import FilePath, Spilled, SpilledText, materialize, materialize_table, read_bytes, read_csv, read_table, shell_lines, spill, through_shell, write_table
+from .tables import FilePath, Spilled, SpilledText, SpilledValue, checkpoint_dir, materialize, materialize_table, read_bytes, read_csv, read_table, shell_lines, spill, through_shell, write_table
 
-__all__ = ["FilePath", "Spilled", "SpilledText", "discover", "exists", "file_times", "find_matches", "listing", "matched_listing", "materialize", "materialize_table", "read_bytes", "read_csv", "read_pattern", "read_table", "shell_lines", "spill", "through_shell", "write_table"]
+__all__ = ["FilePath", "Spilled", "SpilledText", "SpilledValue", "checkpoint_dir", "discover", "exists", "file_times", "find_matches", "listing", "matched_listing", "materialize", "materialize_table", "read_bytes", "read_csv", "read_pattern", "read_table", "shell_lines", "spill", "through_shell", "write_table"]

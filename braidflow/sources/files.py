@@ -6,7 +6,7 @@ import glob
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import literal_root, match, match_column, to_glob, to_regex
@@ -87,11 +87,34 @@ def glob_escape(pattern: str) -> str:
 
 def discover(pattern: str) -> list[str]:
     """All files below the pattern's literal root, sorted."""
+    if _remote(pattern):
+        where, fs = _hadoop(literal_root(pattern))
+        found, files = [], fs.listFiles(where, True) if fs.exists(where) else None
+        while files is not None and files.hasNext():
+            found.append(files.next().getPath().toString())
+        return sorted(found)
     root = _local(literal_root(pattern))
     found = [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs]
     return sorted(p[2:] if root == "." and p.startswith("./") else p for p in found)
 
 
+def read_file(path: str) -> bytes:
+    """One file's bytes, from any store."""
+    if not _remote(path):
+        with open(_local(path), "rb") as f:
+            return f.read()
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError(f"{path} needs a Spark session")
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+
+
+def plain_path(column: Column | str) -> Column:
+    """A file column of Spark as a plain path: without ``file:`` and percent signs' codes."""
+    path = F.regexp_replace(column, r"^file:/+", "/")
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, modified and size of all files below ``root``; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -102,8 +125,7 @@ def matched_listing(spark: SparkSession, pattern: str) -> DataFrame:
     """``listing`` of the files that match, with ``wildcards`` as a map."""
     regex, _ = to_regex(pattern)
     files = listing(spark, literal_root(pattern))
-    path = F.regexp_replace("path", r"^file:/+", "/")
-    return files.withColumn("path", path).where(F.col("path").rlike(regex)).withColumn("wildcards", match_column(F.col("path"), pattern))
+    return files.withColumn("path", F.regexp_replace("path", r"^file:/+", "/")).where(F.col("path").rlike(regex)).withColumn("wildcards", match_column(F.col("path"), pattern))
 
 
 def read_pattern(spark: SparkSession, pattern: str, source: str = "text", **options) -> DataFrame:
@@ -113,6 +135,5 @@ def read_pattern(spark: SparkSession, pattern: str, source: str = "text", **opti
     """
     regex, names = to_regex(pattern)
     df = spark.read.format(source).options(**options).load(to_glob(pattern))
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
-    df = df.select("*", path.alias("__path")).where(F.col("__path").rlike(regex))
+    df = df.select("*", plain_path(F.col("_metadata.file_path")).alias("__path")).where(F.col("__path").rlike(regex))
     return df.select(*df.columns[:-1], *(F.regexp_extract("__path", regex, i).alias(n) for i, n in enumerate(names, 1)))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import pickle
 import subprocess
+import sys
+import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import singledispatch
@@ -30,6 +33,13 @@ class Spilled:
     table: DataFrame
 
 
+@dataclass(frozen=True)
+class SpilledValue:
+    """A large plain value kept in a file between steps."""
+
+    path: str
+
+
 @dataclass(frozen=True)
 class SpilledText:
     """Command output kept in a file; unlike a pipe it can be read any number of times."""
@@ -45,8 +55,13 @@ def materialize(value: Any) -> Any:
 
 @materialize.register
 def _(value: FilePath) -> bytes:
-    with open(files._local(value.path), "rb") as f:
-        return f.read()
+    return files.read_file(value.path)
+
+
+@materialize.register
+def _(value: SpilledValue) -> Any:
+    with open(value.path, "rb") as f:
+        return pickle.load(f)
 
 
 @materialize.register
@@ -108,21 +123,48 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, **options: Any) -> None:
-    """Write beside the target and swap, so that a plan may still read what it replaces."""
+    """Write beside the target and swap, so that a plan may still read what it replaces.
+
+    The old result is moved aside, not deleted, until the new one is in its place: cut
+    short at any time, one of them is whole (as ``path``, ``path.tmp-…`` or ``path.old-…``).
+    """
     spark = df.sparkSession
     stem = path.removesuffix(".gz").lower()
     kind = "csv" if stem.endswith((".csv", ".tsv")) else "text" if stem.endswith((".txt", ".log")) else "json" if stem.endswith((".json", ".jsonl")) else "orc" if stem.endswith(".orc") else "parquet"
     settings: dict[str, Any] = {"header": True, "sep": "\t" if stem.endswith(".tsv") else ","} if kind == "csv" else {}
     if path.endswith(".gz"):
         settings["compression"] = "gzip"
-    beside = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+    mark = uuid.uuid4().hex[:12]
+    beside = f"{path}.tmp-{mark}"
     df.write.options(**settings | options).format(kind).save(beside)
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    target, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, f"{path}.old-{mark}"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    replaced = fs.exists(target)
+    if replaced and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(new, target):
+        if replaced:
+            fs.rename(aside, target)
         raise OSError(f"could not move the result to {path}")
+    if replaced:
+        fs.delete(aside, True)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names, set for ``checkpoint`` too.
+
+    Only where all executors are this process, and none is named, is it a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='braidflow-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def spill(df: DataFrame) -> Spilled:
@@ -130,6 +172,32 @@ def spill(df: DataFrame) -> Spilled:
     return Spilled(df.persist(StorageLevel.MEMORY_AND_DISK))
 
 
+def weight(value: Any, looked_at: int = 1000) -> int:
+    """About the bytes of a plain value; of a container from its first elements."""
+    own = getattr(value, "nbytes", None)
+    if isinstance(own, int):
+        return own
+    size = sys.getsizeof(value, 0)
+    if isinstance(value, (list, tuple, set, frozenset, dict)) and value:
+        some = [x for _, x in zip(range(looked_at), value.items() if isinstance(value, dict) else value)]
+        size += sum(weight(x, 10) for x in some) * len(value) // len(some)
+    return size
+
+
+def spilled_if_large(value: Any, threshold: int, folder: str) -> Any:
+    """The value, or where it lies if it is over the threshold and can be stored."""
+    if value is None or isinstance(value, (FilePath, Spilled, SpilledText, SpilledValue)) or weight(value) <= threshold:
+        return value
+    path = os.path.join(folder, f"value-{uuid.uuid4().hex[:12]}.pickle")
+    try:
+        with open(path, "wb") as f:
+            pickle.dump(value, f, pickle.HIGHEST_PROTOCOL)
+    except (pickle.PicklingError, TypeError, AttributeError):
+        os.remove(path)
+        return value
+    return SpilledValue(path)
+
+
 def shell_lines(spark: SparkSession, command: str) -> DataFrame:
     """A command's standard output as lines (column ``value``), run in one task."""
     lines = spark.sparkContext.parallelize([""], 1).pipe(f"sh -c {_quoted(command)}", checkCode=True)
@@ -146,18 +214,30 @@ def _quoted(command: str) -> str:
     return "'" + command.replace("'", "'\\''") + "'"
 
 
-def capture(command: str | list[str], threshold: int | None, folder: str | None) -> tuple[int, str | SpilledText, str]:
+def capture(command: str | list[str], threshold: int | None, folder: str | None, scope: Any = None) -> tuple[int, str | SpilledText, str]:
     """Run on the driver: exit code, standard output (in a file over threshold bytes) and
-    the first 64 KiB of the error output."""
+    the first 64 KiB of the error output. A scope can kill it with all that it started."""
     if threshold is None or folder is None:
-        done = subprocess.run(command, shell=isinstance(command, str), capture_output=True)
-        return done.returncode, done.stdout.decode(errors="replace"), done.stderr.decode(errors="replace")[:65536]
+        code, out, err = _watched(command, subprocess.PIPE, scope)
+        return code, out.decode(errors="replace"), err
     path = os.path.join(folder, f"out-{uuid.uuid4().hex[:12]}")
     with open(path, "wb") as f:
-        done = subprocess.run(command, shell=isinstance(command, str), stdout=f, stderr=subprocess.PIPE)
+        code, _, err = _watched(command, f, scope)
     if os.path.getsize(path) > threshold:
-        return done.returncode, SpilledText(path), done.stderr.decode(errors="replace")[:65536]
+        return code, SpilledText(path), err
     with open(path, encoding="utf-8", errors="replace") as f:
         text = f.read()
     os.remove(path)
-    return done.returncode, text, done.stderr.decode(errors="replace")[:65536]
+    return code, text, err
+
+
+def _watched(command: str | list[str], stdout: Any, scope: Any) -> tuple[int, bytes, str]:
+    with subprocess.Popen(command, shell=isinstance(command, str), stdout=stdout, stderr=subprocess.PIPE, start_new_session=True) as process:
+        if scope is not None:
+            scope.started(process)
+        try:
+            out, err = process.communicate()
+        finally:
+            if scope is not None:
+                scope.ended(process)
+    return process.returncode, out or b"", err.decode(errors="replace")[:65536]

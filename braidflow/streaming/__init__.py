@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import literal_root, to_glob, to_regex
+from ..sources.files import plain_path
 
 __all__ = ["process_new_files"]
 
@@ -23,8 +24,7 @@ def process_new_files(spark: SparkSession, pattern: str, output: str, checkpoint
     reader = spark.readStream.format(source).options(**options).option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", to_glob(pattern).rsplit("/", 1)[-1])
     stream = (reader.schema(schema) if schema else reader).load(literal_root(pattern))
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
-    matched = stream.select("*", path.alias("__path")).where(F.col("__path").rlike(regex))
+    matched = stream.select("*", plain_path(F.col("_metadata.file_path")).alias("__path")).where(F.col("__path").rlike(regex))
     captured = matched.select(*stream.columns, *(F.regexp_extract("__path", regex, i).alias(n) for i, n in enumerate(names, 1)))
     query = work(captured).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -229,3 +229,83 @@ def test_report_gets_the_results():
     seen = []
     b.run(b.Pipeline(b.step(lambda: 1), "mine"), report=lambda results, pipeline: seen.append((len(results), pipeline)))
     assert seen == [(1, "mine")]
+
+
+def test_nested_requests_share_what_the_outer_one_was_granted():
+    def branches(n, memory):
+        return lambda work: b.for_each(range(n), lambda i: b.with_resources(lambda: work(), memory_mb=memory))
+
+    def nested(outer, inner, n=4, **budget):
+        return peak(lambda work: b.run(b.with_resources(branches(n, inner)(work), memory_mb=outer), jobs=8, **budget))
+
+    assert nested(600, 600, memory_mb=1000) == 1
+    assert nested(1000, 500, memory_mb=1000, threads=8) == 1  # one thread was granted to them all
+    assert peak(lambda work: b.run(b.with_resources(branches(4, 500)(work), memory_mb=1000, threads=4), memory_mb=1000, threads=8, jobs=8)) == 2
+    assert nested(0, 600, memory_mb=1000) == 1  # the outer takes what is asked for inside
+    both = lambda work: b.with_resources(b.with_resources(lambda: work(), memory_mb=600) & b.with_resources(lambda: work(), memory_mb=600), memory_mb=100)
+    two = lambda work: b.run(both(work) & both(work), memory_mb=1000, jobs=8)
+    assert peak(two) == 1
+    late = lambda work: b.run(b.for_each([1, 2], lambda i: b.with_resources(b.for_each([1, 2], lambda j: b.with_resources(lambda: work(), memory_mb=900)), memory_mb=500)), memory_mb=1000, jobs=8)
+    assert peak(late) == 2  # cut down to the grant of their own branch
+
+
+def test_budgets_are_given_back_after_a_throw():
+    bad = b.with_resources(b.branch(lambda: 1 / 0, lambda: 1, lambda: 2), memory_mb=1000, threads=2)
+    good = b.with_resources(lambda: "ok", memory_mb=1000, threads=2)
+    r = b.run(bad & good, memory_mb=1000, threads=2, jobs=2)
+    assert kinds(r) == ["resource_exception", None] and r.last == "ok"
+
+
+def test_nothing_goes_on_after_a_timeout(tmp_path):
+    seen = []
+
+    def slow():
+        for _ in range(100):
+            time.sleep(0.02)
+        seen.append("python")
+
+    command = b.shell(f"sleep 1; echo x > {tmp_path}/late; sleep 1 | cat")
+    chain = (b.step(slow) & command & b.for_each([1], lambda i: slow)) >> (lambda x: seen.append("next"))
+    began = time.monotonic()
+    r = b.run(b.Timeout(chain, 0.3), jobs=8)
+    assert kinds(r) == ["timed_out"] and time.monotonic() - began < 1
+    time.sleep(2.5)
+    assert seen == [] and not (tmp_path / "late").exists()
+    inner = b.run(b.Timeout(b.Timeout(slow_step(seen), 0.2) | (lambda: "instead"), 5))
+    assert inner.last == "instead"
+    r = b.run(b.Timeout(b.Timeout(slow_step(seen), 5), 0.2))
+    assert kinds(r) == ["timed_out"]
+    time.sleep(1.2)
+    assert seen == []
+
+
+def slow_step(seen):
+    return b.step(lambda: [time.sleep(0.05) for _ in range(20)] and seen.append("slow"))
+
+
+def test_a_step_shared_with_a_timed_branch_is_not_lost():
+    shared = b.step(lambda: [time.sleep(0.02) for _ in range(40)] and "v")
+    r = b.run(b.Timeout(shared, 0.2) & (b.step(lambda: time.sleep(0.05)) >> b.NoWork() >> shared), jobs=4)
+    assert "timed_out" in kinds(r)
+
+
+def test_large_values_are_kept_in_files(tmp_path):
+    big = list(range(300_000))
+    r = b.run(b.step(lambda: big) >> len, spill_threshold=1_000_000, spill_dir=str(tmp_path))
+    assert type(r[0].result).__name__ == "SpilledValue" and b.materialize(r[0].result) == big and r.last == 300_000
+    assert len(list(tmp_path.iterdir())) == 1
+    assert b.run(b.step(lambda: [1, 2, 3]), spill_threshold=1, spill_dir=str(tmp_path))[0].result != [1, 2, 3]
+    r = b.run(b.step(lambda: [1, 2, 3]) & (lambda: big), spill_threshold=1_000_000, spill_dir=str(tmp_path))
+    assert r[0].result == [1, 2, 3]
+    fan = b.for_each([1, 2], lambda i: lambda: big)
+    assert b.run(b.Reduce(lambda v: sum(map(len, v)), fan), spill_threshold=1_000_000, spill_dir=str(tmp_path)).last == 600_000
+    assert b.run(fan.pipe(lambda v: sum(map(len, v))), spill_threshold=1_000_000, spill_dir=str(tmp_path)).last == 600_000
+    assert b.run(b.step(lambda: big), auto_spill=False).last == big
+    never = b.run(b.step(lambda: [lambda: 1] * 300_000), spill_threshold=1_000_000, spill_dir=str(tmp_path))
+    assert len(never.last) == 300_000
+
+
+def test_progress_of_branches(capsys):
+    b.run(b.for_each([1, 2, 3], lambda i: lambda: i), verbose=True, jobs=2)
+    out = capsys.readouterr().out
+    assert "1/3 branches done, 2 left" in out and "3/3 branches done\n" in out

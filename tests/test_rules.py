@@ -132,3 +132,67 @@ def test_a_builder_makes_nodes_and_steps_with_wildcards_are_rules(tmp_path, monk
     assert b.run(made).success and (tmp_path / "a.out").read_text() == "w"
     built = b.rule("{s}.in", "{s}.got", mode="builder")(lambda ins, outs, w: f"printf {w['s']} > {outs[0]}")
     assert b.run(built).success and (tmp_path / "a.got").read_text() == "a"
+
+
+def test_deep_and_wide_graphs_resolve_without_recursion(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "p0").write_text("x")
+    deep = [b.rule(f"p{i}", f"p{i + 1}", name=f"r{i}")("cp {input} {output}") for i in range(3000)]
+    found = b.explain(deep, "p3000")
+    assert len(found) == 3000 and [p.rule for p, _ in found][:2] == ["r0", "r1"]
+    assert len(b.steps(b.resolve(deep[:40], "p40"))) == 40
+    # every level needs the one before it twice: 2^40 ways
+    wide = [b.rule((f"q{i}", f"w{i}"), (f"q{i + 1}", f"w{i + 1}"), name=f"d{i}")("true") for i in range(1, 41)] + [b.rule("p0", ("q1", "w1"), name="d0")("true")]
+    assert [p.rule for p, _ in b.explain(wide, "q41")] == [f"d{i}" for i in range(41)]
+    assert len(b.steps(b.resolve(wide, ["q41", "w41"]))) == 41
+    loop = [b.rule("c", "a")("x"), b.rule("a", "b")("x"), b.rule(("b", "p0"), "c")("x"), b.rule("a", "d")("x")]
+    with pytest.raises(b.RuleCycle) as e:
+        b.resolve(loop, "d")
+    assert sorted(str(e.value).split(" -> ")[:-1]) == ["a", "b", "c"]
+
+
+def test_shared_needs_are_explained_once_or_each_time():
+    base = b.rule("raw", "base", name="base")("mk")
+    left, right = b.rule("base", "l", name="left")("mk"), b.rule("base", "r", name="right")("mk")
+    top = b.rule(("l", "r"), "top", name="top")("join {input}")
+    rules = [top, left, right, base]
+    once = b.explain(rules, "top")
+    assert sorted(p.rule for p, _ in once) == ["base", "left", "right", "top"] and once[0][0].rule == "base" and once[3][1] == ("l", "r")
+    assert [p.rule for p, _ in b.explain(rules, "top", repeats=True)] == ["base", "left", "base", "right", "top"]
+    assert str(once).splitlines()[0] == "top: 4 step(s)" and "join l r" in str(once) and "needs l, r" in str(once)
+
+
+def test_checks_and_results_read_well(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "a.in").write_text("v")
+    keep = b.rule("{s}.in", "{s}.out", name="keep")("cp {input} {output}")
+    assert str(b.check(keep)) == "1 runnable\n  keep (s = a)\n    a.in -> a.out\n    cp a.in a.out"
+    r = b.run(keep)
+    assert str(r).splitlines()[0].startswith("1/1 steps succeeded") and "  from a.in" in str(r) and "  to a.out" in str(r)
+    assert str(b.run(b.step(lambda: 1 / 0, name="bad"))[0]).startswith("FAILED bad (0.00 s)\n  exception: ZeroDivisionError")
+
+
+def test_files_with_odd_names_are_found(spark, tmp_path):
+    for n in ("a b", "c+d", "e%20f", "ü"):
+        (tmp_path / f"in {n}.txt").write_text("x\n")
+    got = b.read_pattern(spark, f"{tmp_path}/in {{s}}.txt")
+    assert sorted(r.s for r in got.collect()) == ["a b", "c+d", "e%20f", "ü"]
+    from braidflow.sources import files
+
+    assert files.discover(f"{tmp_path}/in {{s}}.txt") == sorted(f"{tmp_path}/in {n}.txt" for n in ("a b", "c+d", "e%20f", "ü"))
+
+
+def test_remote_files_are_found_and_read(spark, tmp_path):
+    """Through a path that only Hadoop's API can open."""
+    from braidflow.sources import files
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.box.link./in", f"file://{tmp_path}")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    assert [p.rsplit("/in/", 1)[1] for p in files.discover("viewfs://box/in/{x}.txt")] == ["b.txt", "sub/a.txt"]
+    assert files.discover("viewfs://box/in/none/{x}") == []
+    assert b.materialize(b.FilePath("viewfs://box/in/b.txt")) == b"two"
+    assert files.exists("viewfs://box/in/sub/a.txt") and not files.exists("viewfs://box/in/c")
+    assert [m for _, m in files.find_matches("viewfs://box/in/{d}/{x}.txt")] == [{"d": "sub", "x": "a"}]

@@ -125,3 +125,64 @@ def test_queries_match_their_sql(spark, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_lineage_is_by_levels_and_names_cycles(spark):
+    def edges(*pairs):
+        return spark.createDataFrame(pairs, "output string, input string")
+
+    diamonds = [p for i in range(8) for p in ((f"n{i}", f"a{i}"), (f"n{i}", f"b{i}"), (f"a{i}", f"n{i + 1}"), (f"b{i}", f"n{i + 1}"))]
+    got = {r.path: r.depth for r in operators.lineage(edges(*diamonds), "n0").collect()}
+    assert len(got) == 25 and got["n8"] == 16 and got["a7"] == 15
+    assert {r.path: r.depth for r in operators.lineage(edges(("t", "a"), ("t", "b"), ("b", "a"), ("x", "t"), (None, "t"), ("a", None)), "t").collect()} == {"t": 0, "a": 2, "b": 1}
+    assert operators.lineage(edges(("t", "a")), "none").collect() == [("none", 0)]
+    with pytest.raises(operators.LineageCycle, match="a cycle over b, c"):
+        operators.lineage(edges(("t", "b"), ("b", "c"), ("c", "b"), ("c", "d")), "t", depth=6)
+    with pytest.raises(ValueError, match="over 5 levels"):
+        operators.lineage(edges(*((f"p{i}", f"p{i + 1}") for i in range(9))), "p0", depth=5)
+
+
+def test_the_first_matching_rule_is_a_projection_or_a_bounded_broadcast(spark, monkeypatch):
+    targets = spark.createDataFrame([("a1", 1), ("a1", 1), ("b", 2), ("zz", 3), (None, 4)], "t string, n int")
+    rules = spark.createDataFrame([(2, "any", "^[ab]"), (1, "a", "^a"), (1, "a2", "^a1")], "pos int, name string, rx string")
+    want = [("a1", 1, 1, "a", "^a"), ("a1", 1, 1, "a", "^a"), ("b", 2, 2, "any", "^[ab]")]
+    folded = operators.first_match(targets, "t", rules, "rx", "pos")
+    assert sorted(map(tuple, folded.collect())) == want and "Join" not in plan_of(folded)
+    assert operators.first_match(targets, "t", rules.limit(0), "rx", "pos").collect() == []
+    monkeypatch.setattr(operators.branching, "FOLDED_RULES", 1)
+    joined = operators.first_match(targets, "t", rules, "rx", "pos")
+    assert sorted(map(tuple, joined.select("t", "n", "pos", "name", "rx").collect())) == want and "BroadcastNestedLoopJoin" in plan_of(joined)
+    monkeypatch.setattr(operators.branching, "MOST_RULES", 2)
+    with pytest.raises(ValueError):
+        operators.first_match(targets, "t", rules, "rx", "pos")
+
+
+def test_joined_values_are_bounded(spark, monkeypatch):
+    t = spark.createDataFrame([(" b ",), ("a",), ("b",), (None,)], "v string")
+    assert operators.stripped_join(t, "v").first().joined == "a,b"
+    monkeypatch.setattr(operators.lines, "MOST_JOINED", 1)
+    with pytest.raises(ValueError):
+        operators.stripped_join(t, "v")
+
+
+def test_branches_stay_lazy_and_results_let_go_of_their_tables(spark):
+    def persisted():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    before = persisted()
+    looked = b.step(lambda: spark.range(1000)) >> b.branch(lambda df: df.limit(3).count() > 2, lambda df: df.where("id < 5"), lambda df: df)
+    r = b.run(looked, spark)
+    assert r.last.count() == 5 and persisted() == before
+    with b.run(b.step(lambda: spark.range(7)) ** 2, spark) as r:
+        assert r.last.count() == 7 and persisted() == before + 1
+    assert persisted() == before
+    kept = b.run(b.step(lambda: spark.range(9)) >> b.branch(lambda df: True, lambda df: df, lambda df: df, keep=True), spark)
+    assert kept.last.count() == 9
+    kept.release()
+
+
+def test_a_swap_leaves_a_whole_result_at_any_time(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "t.parquet")
+    sources.write_table(spark.range(3), out)
+    sources.write_table(spark.range(5), out)
+    assert spark.read.parquet(out).count() == 5 and os.listdir(tmp_path) == ["t.parquet"]
