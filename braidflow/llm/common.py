@@ -1,7 +1,7 @@
 """What the operators share: scratch tables, Arrow batches and byte-level words.
 
 Scratch tables go to the shared folder named by ``spark.checkpoint.dir``; a folder of the
-session's own is made only where that setting is missing (local runs and tests).
+session's own is made only in local mode without that setting, on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpoint_dir
+
 BATCH_ROWS = 1000
 #: Bytes of text that the vectorised code works on at a time (one longer text is taken alone).
 BLOCK_BYTES = 1 << 18
@@ -28,10 +30,7 @@ BLOCK_BYTES = 1 << 18
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's scratch folder below ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='braidflow-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/braidflow-{spark.sparkContext.applicationId}"
 
 

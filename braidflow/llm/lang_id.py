@@ -12,6 +12,7 @@ languages, drawn by a hash of doc_id); its size doesn't depend on the corpus.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,7 +138,9 @@ def fit_arrays(langs: list[str], counts: np.ndarray, letters: np.ndarray) -> Mod
     model = Model(languages, np.zeros((0, DIM)), np.zeros(0, np.int64), idf, np.full(16, -1.0))
     if not n:
         return model
-    x = model.vectors(counts)
+    x = np.empty((n, DIM), np.float32)  # the grid's numbers are exact in it
+    for at in range(0, n, ROWS):
+        x[at : at + ROWS] = model.vectors(counts[at : at + ROWS])
     own = np.array([languages.index(v) for v in langs])
     parts = [_spherical_kmeans(x[own == k], CENTROIDS) for k in range(len(languages))]
     model.centroids = on_grid(np.concatenate(parts))
@@ -173,13 +176,16 @@ def fit(docs: DataFrame, is_training: Column, sample_docs: int = SAMPLE_DOCS) ->
             texts, langs, ranks = common.texts(batch.column("text")), batch.column("lang"), batch.column("rank")
             for at in range(0, len(texts), ROWS):
                 c, letters = ngram_counts(texts[at : at + ROWS])
-                packed = [x.tobytes() for x in np.minimum(c, 65535).astype(np.uint16)]
+                packed = [zlib.compress(x.tobytes(), 1) for x in np.minimum(c, 65535).astype(np.uint16)]
                 yield pa.RecordBatch.from_arrays([langs[at : at + ROWS], ranks[at : at + ROWS], pa.array(packed, pa.binary()), pa.array(letters, pa.int64())], ["lang", "rank", "counts", "letters"])
 
     counted = picked.select("lang", "rank", "text").mapInArrow(count, "lang string, rank long, counts binary, letters long").where("letters > 0")
     got = counted.orderBy("rank", "lang").limit(2 * max(sample_docs, each * len(found))).collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    return fit_arrays([r["lang"] for r in got], np.stack([np.frombuffer(r["counts"], np.uint16) for r in got]) if got else np.zeros((0, DIM)), np.array([r["letters"] for r in got]))
+    counts = np.zeros((len(got), DIM), np.uint16)
+    for row, r in zip(counts, got):
+        row[:] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
+    return fit_arrays([r["lang"] for r in got], counts, np.array([r["letters"] for r in got]))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_too: bool = False) -> DataFrame:
