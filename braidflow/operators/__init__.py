@@ -1,6 +1,6 @@
 """DataFrame operators: step workloads, and the algebra over tables alone."""
 
-from .branching import LineageCycle, chunks, first_match, lineage, per_branch, results_summary, union_all
+from .branching import LineageCycle, chunks, existing, first_match, lacking, last_by, lineage, per_branch, results_summary, union_all
 from .lines import ascii_upper, at_most, byte_count, concat, field_above, head, line_count, mean_max, prefixed, sorted_lines, split_files, stripped_join, threshold, unique_lines
 
-__all__ = ["LineageCycle", "ascii_upper", "at_most", "byte_count", "chunks", "concat", "field_above", "first_match", "head", "line_count", "lineage", "mean_max", "per_branch", "prefixed", "results_summary", "sorted_lines", "split_files", "stripped_join", "threshold", "union_all", "unique_lines"]
+__all__ = ["LineageCycle", "ascii_upper", "at_most", "byte_count", "chunks", "concat", "existing", "field_above", "first_match", "head", "lacking", "last_by", "line_count", "lineage", "mean_max", "per_branch", "prefixed", "results_summary", "sorted_lines", "split_files", "stripped_join", "threshold", "union_all", "unique_lines"]

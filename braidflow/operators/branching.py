@@ -60,16 +60,34 @@ class LineageCycle(ValueError):
     """Edges that lead back to where they come from."""
 
 
+#: Edges (plan metadata) that the driver follows by itself.
+DRIVER_EDGES = 100_000
+
+
 def lineage(edges: DataFrame, target: str, child: str = "output", parent: str = "input", depth: int = 100) -> DataFrame:
     """path and depth (the longest way from the target) of everything that a target needs.
 
-    One join per level, of the level's distinct paths with the edges: work grows with paths
-    times levels, never with the number of ways between them. Levels are checkpoints. More
-    than ``depth`` of them, or a cycle, are an error; the cycle's paths are named.
+    Level by level, of each level the distinct paths: work grows with paths times levels,
+    never with the number of ways between them. Up to DRIVER_EDGES edges are followed on
+    the driver, more by a join per level, each a checkpoint. More than ``depth`` levels, or a
+    cycle, are an error; the cycle's paths are named.
     """
     spark = edges.sparkSession
+    ways = edges.select(F.col(child).cast("string").alias("o"), F.col(parent).cast("string").alias("i")).where("o IS NOT NULL AND i IS NOT NULL")
+    few = ways.limit(DRIVER_EDGES + 1).collect()
+    if len(few) <= DRIVER_EDGES:
+        needs: dict[str, set[str]] = {}
+        for o, i in few:
+            needs.setdefault(o, set()).add(i)
+        now, deepest = {target}, {}
+        for k in range(depth + 1):
+            deepest |= dict.fromkeys(now, k)
+            now = {i for o in now for i in needs.get(o, ())}
+            if not now:
+                return spark.createDataFrame(sorted(deepest.items()), "path string, depth int")
+        raise _endless(ways.distinct(), depth)
     tables.checkpoint_dir(spark)
-    ways = edges.select(F.col(child).alias("o"), F.col(parent).alias("i")).where("o IS NOT NULL AND i IS NOT NULL").distinct().checkpoint()
+    ways = ways.distinct().checkpoint()
     level = spark.range(1).select(F.lit(target).alias("path"))
     out = level.select("path", F.lit(0).alias("depth"))
     for k in range(1, depth + 2):
@@ -83,6 +101,7 @@ def lineage(edges: DataFrame, target: str, child: str = "output", parent: str =
 def _endless(ways: DataFrame, depth: int) -> ValueError:
     """The paths on cycles, or between two, by stripping edges that lead nowhere or come
     from nowhere; without any left, the lineage is only long."""
+    tables.checkpoint_dir(ways.sparkSession)
     left, n = ways, ways.count()
     while n:
         leads, comes = left.select(F.col("o").alias("i")).distinct(), left.select(F.col("i").alias("o")).distinct()
@@ -105,3 +124,19 @@ def chunks(df: DataFrame, jobs: int, partition: list[str], order: list[str], nam
 def results_summary(results: DataFrame) -> DataFrame:
     """Totals of a results table."""
     return results.agg(F.count_if("success").alias("succeeded"), F.count("*").alias("total"), F.bool_and("success").alias("all_ok"), F.bool_or(~F.col("success")).alias("any_failed"), F.round(F.sum("duration"), 4).alias("seconds"))
+
+
+def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each key the last row in the order, with all its columns; one aggregation."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last")).select(*keys, "__last.*")
+
+
+def existing(wanted: DataFrame, there: DataFrame, on: str) -> DataFrame:
+    """The wanted rows whose path (or key) is there."""
+    return wanted.join(there.select(on), on, "left_semi")
+
+
+def lacking(wanted: DataFrame, there: DataFrame, on: str) -> DataFrame:
+    """The wanted rows whose path (or key) isn't there."""
+    return wanted.join(there.select(on), on, "left_anti")

@@ -6,7 +6,7 @@ its tables stay lazy, so what is returned is one plan.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce as fold
 from typing import Any
@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import functions, operators, plans, sources
+from . import functions, operators, plans, sources, streaming
 from .plans import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> plans.Step:
     return plans.step(lambda: table(spark, sf_dir, name), name=f"scan_{name}")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for a query that writes files."""
+    return f"{sources.checkpoint_dir(spark).rstrip('/')}/braidflow-queries-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def last(node: Any, spark: SparkSession, **options: Any) -> DataFrame:
     return node.run(spark, raise_on_failure=True, **options).last
 
@@ -124,10 +129,10 @@ def reduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last(plans.Reduce(lambda dfs: operators.concat(*dfs).agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total")), a & b), spark)
 
 
-@query("SELECT 3 AS branches")
+@query("SELECT 3 AS branches, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM part) AS n")
 def reduce_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fan = plans.for_each(["region", "nation", "part"], lambda n: lambda: table(spark, sf_dir, n))
-    return last(plans.Reduce(lambda dfs: spark.range(1).select(F.lit(len(dfs)).alias("branches")), fan), spark)
+    fan = plans.for_each(["region", "nation", "part"], lambda n: lambda: table(spark, sf_dir, n).select(F.lit(1).alias("one")))
+    return last(plans.Reduce(lambda dfs: operators.concat(*dfs).agg(F.lit(len(dfs)).alias("branches"), F.count("*").alias("n")), fan), spark)
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
@@ -231,10 +236,10 @@ def fresh_by_mtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fresh_steps(ins, outs)
 
 
-@query("SELECT c_custkey AS step_hash, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS step_hash, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def stale_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("step_hash"), F.col("c_name").alias("name"))
-    return state.stale_steps(steps, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("step_hash")))
+    return state.stale_steps(steps, table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("step_hash")))
 
 
 @query("SELECT o_custkey AS step_hash FROM orders UNION SELECT c_custkey FROM customer")
@@ -245,8 +250,7 @@ def state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="braidflow-csv-")
-    path = f"{base.rstrip('/')}/nation-{spark.sparkContext.applicationId}.csv"
+    path = f"{scratch(spark, 'csv')}/nation.csv"
     sources.write_table(table(spark, sf_dir, "nation"), path)
     return sources.read_table(spark, path)
 
@@ -299,7 +303,7 @@ def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE coalesce(TRY_CAST(split_part(props, ':', 2) AS DOUBLE), 0) > 90 OR value > 90")
 def try_cast_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "value", F.split_part("props", F.lit(":"), F.lit(2)).alias("x"))
-    return events.where((F.coalesce(F.col("x").try_cast("double"), F.lit(0.0)) > 90) | (F.col("value") > 90)).select("event_id")
+    return operators.threshold(events, x=90).select("event_id").union(operators.threshold(events, value=90).select("event_id")).distinct()
 
 
 @query("SELECT string_agg(v, ',' ORDER BY v) AS joined FROM (SELECT DISTINCT trim(c_mktsegment) AS v FROM customer)")
@@ -309,7 +313,7 @@ def strip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, 'got_' || trim(event_type) AS got FROM events")
 def prefix_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("got_"), F.trim("event_type")).alias("got"))
+    return table(spark, sf_dir, "events").select("event_id", operators.prefixed("event_type", "got_").alias("got"))
 
 
 @query("SELECT count_if(o_orderstatus <> 'F') AS succeeded, count(*) AS total, bool_and(o_orderstatus <> 'F') AS all_ok, bool_or(o_orderstatus = 'F') AS any_failed, round(sum(o_totalprice), 4) AS seconds FROM orders")
@@ -325,7 +329,7 @@ def jobs_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CAST(max_by(o_orderkey, o_orderkey) AS BIGINT) AS last_order FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def last_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
-    return joined.groupBy("c_custkey").agg(F.max_by("o_orderkey", "o_orderkey").alias("last_order"))
+    return operators.last_by(joined.select("c_custkey", F.col("o_orderkey").alias("last_order")), ["c_custkey"], ["last_order"])
 
 
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -342,5 +346,331 @@ def wildcard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def existing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted, there = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
-    return wanted.join(there, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    there = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return operators.existing(table(spark, sf_dir, "customer").select("c_custkey"), there, "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def lacking_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return operators.lacking(table(spark, sf_dir, "customer").select("c_custkey"), there, "c_custkey")
+
+
+# ---------------------------------------------------------------- files, rules and state
+# These write the sample tables' parts to the shared folder, then run over what lies there.
+
+
+def _segments(spark: SparkSession, sf_dir: str, folder: str, kind: str = "parquet") -> None:
+    """A table per market segment, by one write, as ``<folder>/<segment>.<kind>``."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    for segment in sorted(r[0] for r in customers.select("c_mktsegment").distinct().collect()):
+        sources.write_table(customers.where(F.col("c_mktsegment") == segment).drop("c_mktsegment"), f"{folder}/{segment}.{kind}")
+
+
+def _of_segment(df: DataFrame, segment: str) -> DataFrame:
+    return df.groupBy(F.lit(segment).alias("segment")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+_BY_SEGMENT = "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1"
+_RICH_BY_SEGMENT = "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_acctbal > 5000 GROUP BY 1"
+
+
+@query(_BY_SEGMENT)
+def foreach_pattern_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "foreach")
+    _segments(spark, sf_dir, folder)
+    block = lambda segment: lambda: _of_segment(sources.read_table(spark, f"{folder}/{segment}.parquet"), segment)
+    return last(plans.Reduce(lambda dfs: operators.concat(*dfs), plans.for_each(f"{folder}/{{segment}}.parquet", block)), spark)
+
+
+@query("SELECT c_mktsegment AS segment, c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")
+def pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "scan")
+    _segments(spark, sf_dir, folder, "csv")
+    found = sources.read_pattern(spark, f"{folder}/{{segment}}.csv/{{part}}.csv", "csv", header=True, schema="c_custkey long, c_nationkey int, c_acctbal double")
+    return found.where("c_acctbal < 0").select("segment", "c_custkey", "c_acctbal")
+
+
+@query("SELECT r_name AS name, 'in/' || r_name || '.txt' AS path, CAST(length(r_name) + 1 AS BIGINT) AS size FROM region")
+def listing_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "listing")
+    table(spark, sf_dir, "region").select("r_name", F.col("r_name").alias("value")).repartition(1).write.partitionBy("r_name").text(f"{folder}/in")
+    found = sources.matched_listing(spark, f"{folder}/in/r_name={{name}}/{{part}}.txt")
+    name = F.url_decode(F.col("wildcards")["name"])
+    return found.select(name.alias("name"), functions.substitute_column("in/{n}.txt", {"n": name}).alias("path"), "size")
+
+
+@query("SELECT sum(strlen(s_name) + 1)::BIGINT AS bytes FROM supplier")
+def bytes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "bytes")
+    table(spark, sf_dir, "supplier").select("s_name").write.text(folder)
+    return sources.read_bytes(spark, folder).agg(F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+
+
+def _keep_rich(spark: SparkSession, folder: str) -> plans.Rule:
+    return plans.rule(f"{folder}/raw/{{segment}}.parquet", f"{folder}/rich/{{segment}}.parquet", mode="table", name="rich")(lambda df: df.where("c_acctbal > 5000"))
+
+
+def _summed(spark: SparkSession, folder: str) -> plans.Rule:
+    return plans.rule(f"{folder}/rich/{{segment}}.parquet", f"{folder}/sums/{{segment}}.parquet", mode="table", name="sums")(lambda df: df.agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")))
+
+
+def _sums(spark: SparkSession, folder: str) -> DataFrame:
+    return sources.read_pattern(spark, f"{folder}/sums/{{segment}}.parquet/{{part}}.parquet", "parquet").select("segment", "n", "balance")
+
+
+@query("SELECT c_mktsegment AS segment, c_custkey FROM customer WHERE c_acctbal > 5000")
+def rule_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "rule")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    plans.run(_keep_rich(spark, folder), spark, raise_on_failure=True)
+    return sources.read_pattern(spark, f"{folder}/rich/{{segment}}.parquet/{{part}}.parquet", "parquet").select("segment", "c_custkey")
+
+
+@query(_RICH_BY_SEGMENT)
+def rule_chain_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "chain")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    plans.run(_keep_rich(spark, folder).then(_summed(spark, folder)), spark, raise_on_failure=True)
+    return _sums(spark, folder)
+
+
+@query(_RICH_BY_SEGMENT + " HAVING c_mktsegment <> 'BUILDING'")
+def rule_chain_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "filtered")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    plans.run(_keep_rich(spark, folder).then(_summed(spark, folder)), spark, raise_on_failure=True, wildcards_filter=lambda w: w["segment"] != "BUILDING")
+    return _sums(spark, folder)
+
+
+@query("SELECT count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_acctbal > 5000")
+def rule_value_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "pipe")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    sink = lambda outs: operators.concat(*(sources.read_table(spark, p) for paths in outs for p in paths)).agg(F.sum("n").alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
+    return plans.run(_keep_rich(spark, folder).then(_summed(spark, folder)).then(sink), spark, raise_on_failure=True).last
+
+
+@query(_RICH_BY_SEGMENT + " HAVING c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def workflow_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "workflow")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    flow = plans.Workflow("sums").add(_summed(spark, folder), _keep_rich(spark, folder)).expand(f"{folder}/sums/{{s}}.parquet", s=["BUILDING", "MACHINERY"])
+    plans.run(flow, spark, raise_on_failure=True)
+    return _sums(spark, folder)
+
+
+@query("SELECT c_mktsegment AS segment, 'sums' AS rule FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING') UNION ALL SELECT c_mktsegment, 'rich' FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def resolve_missing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that targets need, some of which are there already."""
+    folder = scratch(spark, "resolve")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    names = sorted(r[0] for r in table(spark, sf_dir, "customer").select("c_mktsegment").distinct().collect())
+    sources.write_table(spark.range(1), f"{folder}/sums/BUILDING.parquet")
+    goals = [f"{folder}/{kind}/{s}.parquet" for kind in ("sums", "rich") for s in names]
+    found = plans.steps(plans.resolve([_keep_rich(spark, folder), _summed(spark, folder)], goals))
+    return spark.createDataFrame([(s.outputs[0].rsplit("/", 1)[1].removesuffix(".parquet"), s.name.split("(")[0]) for s in found], "segment string, rule string")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_mktsegment) - 1 AS ordinal, c_mktsegment AS segment FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def check_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a rule would do, in order of paths; nothing runs."""
+    folder = scratch(spark, "check")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    found = plans.check(_keep_rich(spark, folder))
+    return spark.createDataFrame([(i, p.wildcards["segment"]) for i, p in enumerate(found.previews)], "ordinal long, segment string")
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def declared_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{scratch(spark, 'output')}/counts.parquet"
+    make = plans.step(lambda: table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")), name="counts", outputs=out)
+    return last(make >> (lambda paths: sources.read_table(spark, paths[0])), spark)
+
+
+def _counting(spark: SparkSession, sf_dir: str, folder: str, calls: list[int]) -> plans.Step:
+    def work() -> DataFrame:
+        calls.append(1)
+        return table(spark, sf_dir, "region").select("r_regionkey", F.lit(len(calls)).alias("run"))
+
+    return plans.step(work, name="numbered", inputs=f"{folder}/in.parquet", outputs=f"{folder}/out.parquet")
+
+
+@query("SELECT r_regionkey, 1 AS run, true AS skipped FROM region")
+def fresh_outputs_are_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run does nothing, and what folds its results reads the output again."""
+    folder, calls = scratch(spark, "skip"), []
+    sources.write_table(table(spark, sf_dir, "region"), f"{folder}/in.parquet")
+    _later()
+    step = _counting(spark, sf_dir, folder, calls)
+    plans.run(step, spark, raise_on_failure=True)
+    found = plans.run(plans.Reduce(lambda values: sources.materialize_table(values[0], spark), step), spark, raise_on_failure=True)
+    return found.last.withColumn("skipped", F.lit(found[0].skipped and len(calls) == 1))
+
+
+@query("SELECT r_regionkey, 2 AS run FROM region")
+def force_runs_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, calls = scratch(spark, "force"), []
+    sources.write_table(table(spark, sf_dir, "region"), f"{folder}/in.parquet")
+    _later()
+    step = _counting(spark, sf_dir, folder, calls)
+    plans.run(step, spark, raise_on_failure=True)
+    plans.run(plans.Force(step), spark, raise_on_failure=True)
+    return sources.read_table(spark, f"{folder}/out.parquet")
+
+
+@query("SELECT r_regionkey, 2 AS run FROM region")
+def newer_inputs_make_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, calls = scratch(spark, "stale"), []
+    sources.write_table(table(spark, sf_dir, "region"), f"{folder}/in.parquet")
+    step = _counting(spark, sf_dir, folder, calls)
+    plans.run(step, spark, raise_on_failure=True)
+    sources.write_table(table(spark, sf_dir, "region"), f"{folder}/in.parquet")
+    plans.run(step, spark, raise_on_failure=True)
+    return sources.read_table(spark, f"{folder}/out.parquet")
+
+
+def _later() -> None:
+    """Until a file's time differs from now, in whole milliseconds."""
+    import time
+
+    time.sleep(0.01)
+
+
+@query("SELECT 'step ' || r_name AS name, 1::BIGINT AS completions FROM region")
+def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that a run has completed are rows; a second run adds none, compacting keeps them."""
+    folder = scratch(spark, "state")
+    names = sorted(r[0] for r in table(spark, sf_dir, "region").select("r_name").collect())
+    sources.write_table(spark.range(1), f"{folder}/in.parquet")
+    fan = plans.Parallel.of(*(plans.step(lambda: None, name=f"step {n}", inputs=f"{folder}/in.parquet") for n in names))
+    for _ in range(2):
+        plans.run(fan, spark, state_dir=f"{folder}/state", raise_on_failure=True)
+    kept = plans.StateTable(spark, f"{folder}/state")
+    kept.compact()
+    return kept.table().groupBy("name").agg(F.count("*").alias("completions"))
+
+
+@query("SELECT 0::BIGINT AS n")
+def state_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "clear")
+    kept = plans.StateTable(spark, f"{folder}/state")
+    plans.run(plans.step(lambda: None, name="once", inputs=sf_dir), spark, state_dir=kept.path, raise_on_failure=True)
+    kept.clear()
+    return kept.table().agg(F.count("*").alias("n"))
+
+
+@query("SELECT upper(n_name) AS name FROM nation")
+def through_a_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.through_shell(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("value")), "tr a-z A-Z").select(F.col("value").alias("name"))
+
+
+@query("SELECT unnest(['a', 'b', 'c']) AS value")
+def command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.shell_lines(spark, "printf 'c\\na\\nb\\na\\n' | sort -u")
+
+
+@query("SELECT 'large' AS arm, count(*) AS n FROM customer")
+def branch_on_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An arm by the bytes of the files, which aren't read for it."""
+    folder = scratch(spark, "size")
+    _segments(spark, sf_dir, folder)
+    large = lambda: sources.listing(spark, folder).agg(F.sum("size")).first()[0] > 1000
+    count = lambda arm: lambda: spark.read.parquet(f"{folder}/*.parquet").agg(F.lit(arm).alias("arm"), F.count("*").alias("n"))
+    return last(plans.branch(large, count("large"), count("small")), spark)
+
+
+@query("SELECT c_mktsegment AS segment, c_custkey FROM customer")
+def new_files_as_a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over a folder that grows between them: every row once."""
+    folder = scratch(spark, "stream")
+    customers = table(spark, sf_dir, "customer").select(F.concat_ws(",", "c_custkey", "c_mktsegment").alias("value"), (F.col("c_custkey") % 2).alias("k"))
+
+    def process() -> None:
+        split = F.split("value", ",")
+        streaming.process_new_files(spark, f"{folder}/in/{{batch}}/{{part}}.txt", f"{folder}/out", f"{folder}/seen", lambda df: df.select(split[1].alias("segment"), split[0].cast("long").alias("c_custkey")))
+
+    for k in (0, 1):
+        customers.where(F.col("k") == k).select("value").write.text(f"{folder}/in/{k}")
+        process()
+    process()
+    return spark.read.parquet(f"{folder}/out")
+
+
+# ---------------------------------------------------------------- more of the algebra
+
+
+@query("SELECT s_nationkey, round(sum(s_acctbal), 2) AS total FROM supplier GROUP BY 1")
+def resourced_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heavy = plans.with_resources(lambda df: df.groupBy("s_nationkey").agg(F.round(F.sum("s_acctbal"), 2).alias("total")), memory_mb=200, threads=2)
+    return last(scan(spark, sf_dir, "supplier") >> heavy, spark, memory_mb=100, threads=1)
+
+
+@query("SELECT p_brand, max(p_retailprice) AS price FROM part WHERE p_size > 10 GROUP BY 1")
+def step_of_a_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = scan(spark, sf_dir, "part") >> (lambda df: df.where("p_size > 10"))
+    return last(plans.step(inner, name="large parts") >> (lambda df: df.groupBy("p_brand").agg(F.max("p_retailprice").alias("price"))), spark)
+
+
+@query("SELECT r_name FROM region")
+def no_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last(plans.NoWork() >> plans.NoWork() >> scan(spark, sf_dir, "region") >> (lambda df: df.select("r_name")), spark)
+
+
+@query("SELECT 0 AS ordinal, 'region' AS tbl, count(*) AS n FROM region UNION ALL SELECT 1, 'orders', count(*) FROM orders UNION ALL SELECT 2, 'nation', count(*) FROM nation")
+def branch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results stand in the branches' order, whichever ends first."""
+    names = ("region", "orders", "nation")
+    found = plans.run(plans.Parallel.of(*(plans.step(lambda n=n: table(spark, sf_dir, n).count(), name=n) for n in names)), spark, raise_on_failure=True)
+    return spark.createDataFrame([(i, r.step, r.result) for i, r in enumerate(found)], "ordinal int, tbl string, n long")
+
+
+@query("SELECT * FROM (VALUES (0, 'scan_nation', true, NULL), (1, 'fails', false, 'exception')) v(ordinal, step, success, kind)")
+def results_as_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def fails(df: DataFrame) -> None:
+        raise ValueError("no")
+
+    found = plans.run(scan(spark, sf_dir, "nation") >> plans.step(fails) >> (lambda x: x), spark)
+    return found.to_df(spark).select("ordinal", "step", "success", F.col("failure.kind").alias("kind"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
+def spilled_between_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = plans.step(lambda: sources.spill(table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))))
+    return last(kept >> sources.materialize_table, spark)
+
+
+@query("SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS total FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def large_value_between_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain value over the threshold lies in a file between two steps."""
+    keys = plans.step(lambda: [r[0] for r in table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_orderkey").distinct().collect()])
+    found = plans.run(keys >> (lambda v: spark.createDataFrame([(len(v), sum(v))], "n long, total long")), spark, raise_on_failure=True, spill_threshold=500)
+    if not isinstance(found[0].result, sources.SpilledValue):
+        raise AssertionError("the value was not spilled")
+    return found.last
+
+
+@query("SELECT event_id || chr(9) || CAST(floor(value) AS INT) AS value FROM events WHERE floor(value) > 50")
+def field_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "events").select(F.concat_ws("\t", "event_id", F.floor("value").cast("int")).alias("value"))
+    return operators.field_above(lines, 2, 50)
+
+
+@query("SELECT DISTINCT p_type AS value FROM part")
+def sorted_and_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted lines, in files of ten at most, read again."""
+    folder = scratch(spark, "split")
+    operators.split_files(operators.sorted_lines(table(spark, sf_dir, "part").select(F.col("p_type").alias("value")).distinct()), folder, 10)
+    return spark.read.text(folder)
+
+
+@query("SELECT c_mktsegment, c_custkey, c_acctbal, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey DESC) AS k FROM customer) WHERE k = 1")
+def last_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operators.last_by(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", "c_name"), ["c_mktsegment"], ["c_acctbal", "c_custkey"])
+
+
+@query("SELECT 'A' AS branch, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'R', count(*) FROM lineitem WHERE l_returnflag = 'R'")
+def per_branch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The algebra over tables alone: branches as filters, one function of each."""
+    lines = table(spark, sf_dir, "lineitem")
+    return operators.per_branch({f: lines.where(F.col("l_returnflag") == f) for f in "AR"}, lambda df: df.agg(F.count("*").alias("n")))

@@ -123,17 +123,20 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def matched_listing(spark: SparkSession, pattern: str) -> DataFrame:
     """``listing`` of the files that match, with ``wildcards`` as a map."""
+    pattern = _local(pattern)
     regex, _ = to_regex(pattern)
     files = listing(spark, literal_root(pattern))
     return files.withColumn("path", F.regexp_replace("path", r"^file:/+", "/")).where(F.col("path").rlike(regex)).withColumn("wildcards", match_column(F.col("path"), pattern))
 
 
-def read_pattern(spark: SparkSession, pattern: str, source: str = "text", **options) -> DataFrame:
+def read_pattern(spark: SparkSession, pattern: str, source: str = "text", schema: str | None = None, **options) -> DataFrame:
     """One scan over all matching files of one schema, the wildcards as columns.
 
     A coarse glob lists the files, the pattern's expression filters them.
     """
+    pattern = _local(pattern)
     regex, names = to_regex(pattern)
-    df = spark.read.format(source).options(**options).load(to_glob(pattern))
+    reader = spark.read.format(source).options(**options)
+    df = (reader.schema(schema) if schema else reader).load(to_glob(pattern))
     df = df.select("*", plain_path(F.col("_metadata.file_path")).alias("__path")).where(F.col("__path").rlike(regex))
     return df.select(*df.columns[:-1], *(F.regexp_extract("__path", regex, i).alias(n) for i, n in enumerate(names, 1)))

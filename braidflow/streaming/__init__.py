@@ -20,6 +20,7 @@ def process_new_files(spark: SparkSession, pattern: str, output: str, checkpoint
     ``work`` must be row-wise or a stream aggregation in append mode; the wildcards are
     columns of its input. Exactly once, also if a run is cut short.
     """
+    pattern = pattern.removeprefix("file://")
     regex, names = to_regex(pattern)
     reader = spark.readStream.format(source).options(**options).option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", to_glob(pattern).rsplit("/", 1)[-1])

@@ -123,17 +123,41 @@ def test_queries_match_their_sql(spark, name):
     assert plain(got.select(*columns).collect()) == plain(con.sql(f"SELECT {', '.join(columns)} FROM ({entry_point.oracle_sql()[name]})").fetchall())
 
 
+def test_a_fault_inside_the_optional_parts_is_not_hidden(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.abspath(entry_point.__file__))
+    shutil.copytree(os.path.join(here, "braidflow"), tmp_path / "braidflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(entry_point.__file__, tmp_path)
+    count = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    n = len(entry_point._core.QUERIES)
+    assert count().stdout.split() == [str(n), str(n)]
+    (tmp_path / "corpus_pipeline.py").write_text("from braidflow.llm import queries\n")
+    assert count().stdout.split() == [str(n), str(n)]  # the subpackage alone is missing
+    (tmp_path / "braidflow/llm").mkdir()
+    (tmp_path / "braidflow/llm/__init__.py").write_text("")
+    (tmp_path / "braidflow/llm/queries.py").write_text("import no_such_library\n")
+    assert "no_such_library" in count().stderr
+    (tmp_path / "braidflow/llm/queries.py").write_text("from braidflow.plans import no_such_name\n")
+    assert "no_such_name" in count().stderr
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-def test_lineage_is_by_levels_and_names_cycles(spark):
+@pytest.mark.parametrize("on_driver", [0, 100_000])
+def test_lineage_is_by_levels_and_names_cycles(spark, monkeypatch, on_driver):
+    monkeypatch.setattr(operators.branching, "DRIVER_EDGES", on_driver)
+
     def edges(*pairs):
         return spark.createDataFrame(pairs, "output string, input string")
 
-    diamonds = [p for i in range(8) for p in ((f"n{i}", f"a{i}"), (f"n{i}", f"b{i}"), (f"a{i}", f"n{i + 1}"), (f"b{i}", f"n{i + 1}"))]
+    diamonds = [p for i in range(5) for p in ((f"n{i}", f"a{i}"), (f"n{i}", f"b{i}"), (f"a{i}", f"n{i + 1}"), (f"b{i}", f"n{i + 1}"))]
     got = {r.path: r.depth for r in operators.lineage(edges(*diamonds), "n0").collect()}
-    assert len(got) == 25 and got["n8"] == 16 and got["a7"] == 15
+    assert len(got) == 16 and got["n5"] == 10 and got["a4"] == 9
     assert {r.path: r.depth for r in operators.lineage(edges(("t", "a"), ("t", "b"), ("b", "a"), ("x", "t"), (None, "t"), ("a", None)), "t").collect()} == {"t": 0, "a": 2, "b": 1}
     assert operators.lineage(edges(("t", "a")), "none").collect() == [("none", 0)]
     with pytest.raises(operators.LineageCycle, match="a cycle over b, c"):
