@@ -29,10 +29,49 @@ SAMPLE_RATE = 8000
 UNTYPED = "application/octet-stream"
 
 # ---------------------------------------------------------------- validators
-# Each takes (blob, start) and returns the length of a whole file there, or None.
+# Each takes (blob, start, marks) and returns the length of a whole file there, or None.
+
+
+class Marks:
+    """Where byte strings stand in a blob. What one validator has found the next ones, whose
+    files start further on, don't look for again."""
+
+    def __init__(self, blob: bytes) -> None:
+        self.blob = blob
+        self.found: dict[bytes, tuple[int, int]] = {}
+        self.streams: dict[int, int | None] = {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place from ``at`` on, -1 if there is none."""
+        since, place = self.found.get(mark, (0, -2))
+        if place == -2 or at < since or -1 < place < at:
+            since, place = self.found[mark] = at, self.blob.find(mark, at)
+        return place
+
+    def deflated(self, at: int) -> int | None:
+        """The end of a deflated stream with its checksum and length; None if it isn't whole."""
+        if at not in self.streams:
+            self.streams[at] = self._deflated(at)
+        return self.streams[at]
+
+    def _deflated(self, at: int) -> int | None:
+        b, unpack, check, size = self.blob, zlib.decompressobj(-15), 0, 0
+        try:
+            for place in range(at, len(b), 1 << 14):
+                rest = b[place : place + (1 << 14)]
+                while rest and not unpack.eof:
+                    out = unpack.decompress(rest, 1 << 20)
+                    check, size = zlib.crc32(out, check), size + len(out)
+                    rest = unpack.unconsumed_tail
+                if unpack.eof:
+                    stop = min(place + (1 << 14), len(b)) - len(unpack.unused_data)
+                    return stop + 8 if b[stop : stop + 8] == struct.pack("<II", check, size % (1 << 32)) else None
+        except zlib.error:
+            pass
+        return None
 
 
-def _riff(b: bytes, at: int) -> int | None:
+def _riff(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 12:
         return None
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
@@ -48,12 +87,12 @@ def _riff(b: bytes, at: int) -> int | None:
     return end - at
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, marks: Marks) -> int | None:
     place = at + 8
     while place + 12 <= len(b):
         size = int.from_bytes(b[place : place + 4], "big")
         kind, stop = b[place + 4 : place + 8], place + 12 + size
-        if stop > len(b) or (place == at + 8) != (kind == b"IHDR") or zlib.crc32(b[place + 4 : stop - 4]) != int.from_bytes(b[stop - 4 : stop], "big"):
+        if stop > len(b) or (place == at + 8) != (kind == b"IHDR") or kind == b"IHDR" and size != 13 or zlib.crc32(b[place + 4 : stop - 4]) != int.from_bytes(b[stop - 4 : stop], "big"):
             return None
         if kind == b"IEND":
             return stop - at
@@ -61,7 +100,7 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, marks: Marks) -> int | None:
     if b[at : at + 6] not in (b"GIF87a", b"GIF89a") or len(b) < at + 13:
         return None
     flags = b[at + 10]
@@ -85,7 +124,7 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> int | None:
     place = at + 2
     while place + 4 <= len(b) and b[place] == 0xFF:
         kind, size = b[place + 1], int.from_bytes(b[place + 2 : place + 4], "big")
@@ -105,27 +144,30 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 26:
         return None
     size, zero, data, head = struct.unpack_from("<IIII", b, at + 2)
     return size if zero == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= data <= size <= len(b) - at else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    unpack = zlib.decompressobj(31)
-    try:
-        rest = b[at:]
-        while rest and not unpack.eof:
-            unpack.decompress(rest, 1 << 20)
-            rest = unpack.unconsumed_tail
-    except zlib.error:
+def _gzip(b: bytes, at: int, marks: Marks) -> int | None:
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    return len(b) - at - len(unpack.unused_data) if unpack.eof else None
+    flags, place = b[at + 3], at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(b[place : place + 2], "little")
+    for text in (8, 16):  # a name and a comment, each up to a zero byte
+        if flags & text:
+            place = marks.next(b"\0", place) + 1
+            if not place:
+                return None
+    stop = marks.deflated(place + (2 if flags & 2 else 0))
+    return stop - at if stop else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\5\6", at)
+def _zip(b: bytes, at: int, marks: Marks) -> int | None:
+    end = marks.next(b"PK\5\6", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, offset, comment = struct.unpack_from("<IIH", b, end + 12)
@@ -133,15 +175,18 @@ def _zip(b: bytes, at: int) -> int | None:
     return stop - at if at + offset + size == end and stop <= len(b) and b[at + offset : at + offset + 4] in (b"PK\1\2", b"PK\5\6") else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(b: bytes, at: int, marks: Marks) -> int | None:
+    """Up to the last end mark before the next file's header: a linearised or updated file
+    has several."""
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return None
-    start = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", start) if start >= 0 else -1
-    return end + 5 - at if end >= 0 else None
+    header = marks.next(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, header if header >= 0 else len(b))
+    start = marks.next(b"startxref", at)
+    return end + 5 - at if 0 <= start < end else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
+def _ogg(b: bytes, at: int, marks: Marks) -> int | None:
     place, last = at, False
     while not last and place + 27 <= len(b) and b[place : place + 5] == b"OggS\0":
         n = b[place + 26]
@@ -150,7 +195,7 @@ def _ogg(b: bytes, at: int) -> int | None:
     return place - at if last and place <= len(b) else None
 
 
-def _flac(b: bytes, at: int) -> int | None:
+def _flac(b: bytes, at: int, marks: Marks) -> int | None:
     place = at + 4
     if len(b) < at + 42 or b[place] & 0x7F:
         return None
@@ -163,7 +208,7 @@ def _flac(b: bytes, at: int) -> int | None:
 
 
 # Magic bytes of public formats, their types and the validator of each.
-SIGNATURES: dict[bytes, tuple[str, Callable[[bytes, int], int | None]]] = {
+SIGNATURES: dict[bytes, tuple[str, Callable[[bytes, int, Marks], int | None]]] = {
     b"RIFF": ("riff", _riff),
     b"\x89PNG\r\n\x1a\n": ("image/png", _png),
     b"GIF8": ("image/gif", _gif),
@@ -193,10 +238,10 @@ def automaton():
     return _automata[0]
 
 
-def media_at(blob: bytes, magic: bytes, at: int) -> tuple[int, int, str] | None:
+def media_at(blob: bytes, magic: bytes, at: int, marks: Marks | None = None) -> tuple[int, int, str] | None:
     """(start, length, type) of the valid file whose magic stands at ``at``."""
     kind, validate = SIGNATURES[magic]
-    length = validate(blob, at)
+    length = validate(blob, at, marks or Marks(blob))
     if length is None:
         return None
     return at, length, RIFF_TYPES[blob[at + 8 : at + 12]] if kind == "riff" else kind
@@ -207,12 +252,12 @@ def sniff(blob: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
 
     Embedded media don't overlap: the earlier, and of one start the first found, wins.
     """
-    true, carved, free = None, [], 1
+    true, carved, free, marks = None, [], 1, Marks(blob)
     for last, magic in automaton().iter(blob.decode("latin-1")):
         at = last + 1 - len(magic)
         if at and at < free:
             continue
-        if found := media_at(blob, magic, at):
+        if found := media_at(blob, magic, at, marks):
             if at == 0:
                 true = true or found[2]
             else:
@@ -242,7 +287,7 @@ def store(payload: bytes) -> bytes:
 
 def load(blob: bytes) -> bytes:
     """The samples of a file by ``store``; ValueError if it isn't a whole WAVE file."""
-    if blob[:4] != b"RIFF" or _riff(blob, 0) is None or blob[8:12] != b"WAVE":
+    if blob[:4] != b"RIFF" or _riff(blob, 0, Marks(blob)) is None or blob[8:12] != b"WAVE":
         raise ValueError("not a whole WAVE file")
     at = 12
     while blob[at : at + 4] != b"data":
@@ -311,9 +356,11 @@ def media_digest(docs: DataFrame) -> DataFrame:
 def describe_blobs(blobs: DataFrame, blob: str = "blob", declared: str | None = None) -> DataFrame:
     """Any blob column: adds true_type, carved (start, length, type) and the type to go by.
 
-    A null blob has no type and embeds nothing.
+    A null blob has no type and embeds nothing. Rows stay one by one; a column of a new
+    column's name is replaced; an empty table gives no rows.
     """
     common.small_batches(blobs.sparkSession)
+    blobs = blobs.drop(*(c for c in blobs.columns if c.lower() in ("true_type", "fixed_type", "carved") and c != blob))
     keep = blobs.columns
     part = T.StructType().add("start", "long").add("length", "long").add("type", "string")
     schema = T.StructType([*blobs.schema, T.StructField("true_type", T.StringType()), T.StructField("fixed_type", T.StringType()), T.StructField("carved", T.ArrayType(part))])
