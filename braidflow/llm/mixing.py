@@ -7,8 +7,8 @@ use reaches the next family up. A leaf of budget b and t tokens takes floor(b /
 epochs and of the next one the longest prefix of its documents, in an order seeded by the
 epoch, that fits.
 
-The tree (a row per leaf, at most MAX_LEAVES, checked) is the only thing on the driver.
-The cut of a prefix is found in two steps, sums over CELLS ranges of the seeded hash and
+The families above the leaves (at most MAX_FAMILIES, checked) are the only thing on the
+driver; leaves, of any number, get theirs by windows over their family. The cut of a prefix is found in two steps, sums over CELLS ranges of the seeded hash and
 then the documents of one range only, so no leaf is ever sorted as a whole. All of it is
 DataFrame operations.
 """
@@ -24,7 +24,9 @@ from . import common
 
 LEVELS = ("domain", "lang", "source")
 MAX_EPOCHS = 2
-MAX_LEAVES = 200_000
+MAX_FAMILIES = 200_000
+#: A plan of as many leaves is broadcast; a longer one meets the documents in a shuffle.
+BROADCAST_LEAVES = 200_000
 CELL_BITS = 12
 SEED = 7
 #: The budget as a part of all tokens.
@@ -71,8 +73,16 @@ def fill(budget: float, parts: list[tuple[float, float]]) -> list[float]:
     return given
 
 
+def weight_of(level: str, name: str, weights: dict[str, dict[str, float]]) -> float:
+    return weights[level].get(name, UNLISTED) if level in weights else 1.0
+
+
 def budgets(leaves: list[Leaf], total: float, weights: dict[str, dict[str, float]], levels: tuple[str, ...], epochs: float) -> None:
-    """Set the leaves' budgets, top down; a node's capacity is all that its leaves can use."""
+    """Set the leaves' budgets, top down; a node's capacity is all that its leaves can use,
+    that is those without a weight of 0 on their way."""
+
+    def usable(own: list[Leaf], depth: int) -> float:
+        return epochs * sum(x.tokens for x in own if all(weight_of(level, n, weights) > 0 for level, n in zip(levels[depth:], x.path[depth:])))
 
     def deal(own: list[Leaf], depth: int, budget: float) -> None:
         if depth == len(levels):
@@ -82,12 +92,36 @@ def budgets(leaves: list[Leaf], total: float, weights: dict[str, dict[str, float
         for leaf in own:
             families.setdefault(leaf.path[depth], []).append(leaf)
         names = sorted(families)
-        parts = [(weights[levels[depth]].get(n, UNLISTED) if levels[depth] in weights else 1.0, epochs * sum(x.tokens for x in families[n])) for n in names]
+        parts = [(weight_of(levels[depth], n, weights), usable(families[n], depth + 1)) for n in names]
         for name, share in zip(names, fill(budget, parts)):
             deal(families[name], depth + 1, share)
 
     if leaves:
-        deal(leaves, 0, min(total, epochs * sum(x.tokens for x in leaves)))
+        deal(leaves, 0, min(total, usable(leaves, 0)))
+
+
+def _leaf_budgets(leaves: DataFrame, budgeted: DataFrame, keys: list[str], weights: dict[str, float] | None, epochs: int) -> DataFrame:
+    """The leaves with their budgets out of their families': ``fill`` as windows.
+
+    With leaves in order of capacity by weight, those are full up to which the budget
+    covers the full ones and what all others get at the same level; the rest share what is
+    left by weight. A family is dealt out by its key, its leaves being names, not documents.
+    """
+    if weights is None:
+        weight = F.lit(1.0)
+    else:
+        listed = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair]) if weights else None
+        weight = F.coalesce(listed[F.col(keys[-1])], F.lit(UNLISTED)) if listed is not None else F.lit(UNLISTED)
+    family = Window.partitionBy(*keys[:-1])
+    up_to = family.orderBy("level", keys[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = leaves.join(F.broadcast(budgeted), keys[:-1]).withColumn("w", weight).withColumn("cap", F.lit(float(epochs)) * F.col("tokens"))
+    open_ = rows.where("w > 0").withColumn("level", F.col("cap") / F.col("w"))
+    open_ = open_.select("*", F.sum("cap").over(up_to).alias("caps"), F.sum("w").over(up_to).alias("ws"), F.sum("w").over(family).alias("all_w"))
+    open_ = open_.withColumn("full", F.col("family_budget") >= F.col("caps") + F.col("level") * (F.col("all_w") - F.col("ws")) - 1e-9)
+    full = lambda c: F.coalesce(F.sum(F.when(F.col("full"), F.col(c))).over(family), F.lit(0.0))
+    share = (F.col("family_budget") - full("cap")) / (F.col("all_w") - full("w")) * F.col("w")
+    dealt = open_.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(F.greatest(share, F.lit(0.0)))).select(*keys, "tokens", "budget")
+    return dealt.unionByName(rows.where("w <= 0").select(*keys, "tokens", F.lit(0.0).alias("budget")))
 
 
 def _prepared(docs: DataFrame, leaf: list[Column]) -> DataFrame:
@@ -113,20 +147,28 @@ def plan(rows: DataFrame, share: float = SHARE, weights: dict[str, dict[str, flo
     """
     spark = rows.sparkSession
     keys = [f"k{i}" for i in range(len(levels))]
-    found = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError(f"over {MAX_LEAVES} leaves; merge the rarest sources first")
-    leaves = [Leaf(tuple(r[k] for k in keys), r["tokens"]) for r in found]
-    budgets(leaves, share * sum(x.tokens for x in leaves), WEIGHTS if weights is None else weights, levels, epochs)
-    schema = ", ".join([*(f"{k} string" for k in keys), "tokens long, budget double, whole int, rest long"])
-    tree = spark.createDataFrame([(*x.path, x.tokens, float(x.budget), int((x.budget + 1e-6) // x.tokens), int(x.budget + 1e-6 - (x.budget + 1e-6) // x.tokens * x.tokens)) for x in leaves], schema)
-    hashed = rows.join(tree.where("rest > 0"), keys).select(*keys, "rest", "n_tokens", _order(F.col("whole")).alias("h"))
+    weights = WEIGHTS if weights is None else weights
+    leaves = common.written(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
+    ignored = [n for n, w in weights.get(levels[-1], {}).items() if w <= 0]
+    usable = ~F.col(keys[-1]).isin(ignored) if ignored else F.lit(True)
+    found = leaves.groupBy(*keys[:-1]).agg(F.sum("tokens").alias("tokens"), F.coalesce(F.sum(F.when(usable, F.col("tokens"))), F.lit(0)).alias("usable")).limit(MAX_FAMILIES + 1).collect()
+    if len(found) > MAX_FAMILIES:
+        raise ValueError(f"over {MAX_FAMILIES} families of leaves; merge the rarest first")
+    families = [Leaf(tuple(r[k] for k in keys[:-1]), r["usable"]) for r in found]
+    budgets(families, share * sum(r["tokens"] for r in found), weights, levels[:-1], epochs)
+    schema = ", ".join([*(f"{k} string" for k in keys[:-1]), "family_budget double"])
+    dealt = _leaf_budgets(leaves, spark.createDataFrame([(*x.path, float(x.budget)) for x in families], schema), keys, weights.get(levels[-1]), epochs)
+    whole = F.floor((F.col("budget") + 1e-6) / F.col("tokens")).cast("int")
+    tree = dealt.withColumn("whole", whole).withColumn("rest", F.floor(F.col("budget") + 1e-6 - F.col("whole") * F.col("tokens")).cast("long"))
+    tree = common.written(tree, "mix-tree")
+    hashed = rows.join(_beside(tree.where("rest > 0")), keys).select(*keys, "rest", "n_tokens", _order(F.col("whole")).alias("h"))
     cell = F.shiftright("h", 64 - CELL_BITS)
     cells = hashed.groupBy(*keys, "rest", cell.alias("cell")).agg(F.sum("n_tokens").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell"))
     cells = cells.withColumn("up_to", up_to)
     edge = cells.where("up_to > rest AND up_to - n <= rest").select(*keys, F.col("cell").alias("edge"), (F.col("up_to") - F.col("n")).alias("before"))
-    inside = hashed.join(edge, keys).where(cell == F.col("edge")).groupBy(*keys, "rest", "before", "edge", "h").agg(F.sum("n_tokens").alias("n"))
+    edge = common.written(edge, "mix-edges")  # a row per leaf at most
+    inside = hashed.join(_beside(edge), keys).where(cell == F.col("edge")).groupBy(*keys, "rest", "before", "edge", "h").agg(F.sum("n_tokens").alias("n"))
     reach = F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("h"))
     last = inside.withColumn("reach", reach).where("reach <= rest").groupBy(*keys).agg(F.max("h").alias("last"))
     floor = F.shiftleft(F.col("edge"), 64 - CELL_BITS)  # the edge's own least hash
@@ -134,15 +176,18 @@ def plan(rows: DataFrame, share: float = SHARE, weights: dict[str, dict[str, flo
     return common.written(tree.join(cuts, keys, "left").drop("rest"), "mix-plan")
 
 
-def select(rows: DataFrame, planned: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """rows with copies: how often the mixture has the document (0: not at all).
+def _beside(by_leaf: DataFrame) -> DataFrame:
+    """A table of leaves for a join with documents: broadcast if it has BROADCAST_LEAVES rows
+    at most, so that the corpus isn't dealt out by leaf, of which one may hold a third of
+    it. Beyond, adaptive execution splits such a leaf."""
+    return F.broadcast(by_leaf) if by_leaf.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else by_leaf
 
-    The plan, of MAX_LEAVES rows at most, is broadcast: the corpus is never dealt out by
-    leaf, of which one may hold a third of it.
-    """
+
+def select(rows: DataFrame, planned: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """rows with copies: how often the mixture has the document (0: not at all)."""
     keys = [f"k{i}" for i in range(len(levels))]
     extra = (F.col("cut").isNotNull() & (_order(F.col("whole")) <= F.col("cut"))).cast("int")
-    return rows.join(F.broadcast(planned), keys).withColumn("copies", F.col("whole") + extra)
+    return rows.join(_beside(planned), keys).withColumn("copies", F.col("whole") + extra)
 
 
 def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
