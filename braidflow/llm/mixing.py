@@ -8,9 +8,10 @@ epochs and of the next one the longest prefix of its documents, in an order seed
 epoch, that fits.
 
 The families above the leaves (at most MAX_FAMILIES, checked) are the only thing on the
-driver; leaves, of any number, get theirs by windows over their family. The cut of a prefix is found in two steps, sums over CELLS ranges of the seeded hash and
-then the documents of one range only, so no leaf is ever sorted as a whole. All of it is
-DataFrame operations.
+driver; leaves, of any number, get theirs by windows over their family. The cut of a prefix
+is found by narrowing a range of the seeded hash: sums over 64 cells of a leaf, then over
+64 cells of the one in which the budget ends, and at last the documents of one cell of
+2^18; no leaf is ever sorted as a whole. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ MAX_EPOCHS = 2
 MAX_FAMILIES = 200_000
 #: A plan of as many leaves is broadcast; a longer one meets the documents in a shuffle.
 BROADCAST_LEAVES = 200_000
-CELL_BITS = 12
+#: Ranges of hashes are cut into 2^CELL_BITS so many times on the way to a leaf's cut.
+CELL_BITS, CELL_STEPS = 6, 3
 SEED = 7
 #: The budget as a part of all tokens.
 SHARE = 1.0
@@ -162,20 +164,27 @@ def plan(rows: DataFrame, share: float = SHARE, weights: dict[str, dict[str, flo
     tree = dealt.withColumn("whole", whole).withColumn("rest", F.floor(F.col("budget") + 1e-6 - F.col("whole") * F.col("tokens")).cast("long"))
     tree = common.written(tree, "mix-tree")
     hashed = rows.join(_beside(tree.where("rest > 0")), keys).select(*keys, "rest", "n_tokens", _order(F.col("whole")).alias("h"))
-    cell = F.shiftright("h", 64 - CELL_BITS)
-    cells = hashed.groupBy(*keys, "rest", cell.alias("cell")).agg(F.sum("n_tokens").alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell"))
-    cells = cells.withColumn("up_to", up_to)
-    edge = cells.where("up_to > rest AND up_to - n <= rest").select(*keys, F.col("cell").alias("edge"), (F.col("up_to") - F.col("n")).alias("before"))
-    edge = common.written(edge, "mix-edges")  # a row per leaf at most
-    inside = hashed.join(_beside(edge), keys).where(cell == F.col("edge")).groupBy(*keys, "rest", "before", "edge", "h").agg(F.sum("n_tokens").alias("n"))
-    reach = F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("h"))
+    by_leaf, edge = Window.partitionBy(*keys), None
+    for bits in range(CELL_BITS, CELL_BITS * CELL_STEPS + 1, CELL_BITS):
+        cell = F.shiftright("h", 64 - bits).alias("cell")
+        inside = hashed.withColumn("before", F.lit(0).cast("long")) if edge is None else _inside(hashed, edge, keys, bits - CELL_BITS)
+        cells = inside.groupBy(*keys, "rest", "before", cell).agg(F.sum("n_tokens").alias("n"))
+        cells = cells.withColumn("up_to", F.col("before") + F.sum("n").over(by_leaf.orderBy("cell")))
+        edge = cells.where("up_to > rest AND up_to - n <= rest").select(*keys, F.col("cell").alias("edge"), (F.col("up_to") - F.col("n")).alias("before"))
+        edge = common.written(edge, "mix-edges")  # a row per leaf at most
+    inside = _inside(hashed, edge, keys, bits).groupBy(*keys, "rest", "before", "h").agg(F.sum("n_tokens").alias("n"))
+    reach = F.col("before") + F.sum("n").over(by_leaf.orderBy("h"))
     last = inside.withColumn("reach", reach).where("reach <= rest").groupBy(*keys).agg(F.max("h").alias("last"))
-    floor = F.shiftleft(F.col("edge"), 64 - CELL_BITS)  # the edge's own least hash
-    cuts = edge.join(last, keys, "left").select(*keys, F.coalesce("last", F.when(F.col("edge") > -(1 << CELL_BITS - 1), floor - 1)).alias("cut"))
+    floor = F.shiftleft(F.col("edge"), 64 - bits)  # the edge's own least hash
+    cuts = edge.join(last, keys, "left").select(*keys, F.coalesce("last", F.when(F.col("edge") > -(1 << bits - 1), floor - 1)).alias("cut"))
     return common.written(tree.join(cuts, keys, "left").drop("rest"), "mix-plan")
 
 
+def _inside(hashed: DataFrame, edge: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """The rows of each leaf in its edge's range of hashes."""
+    return hashed.join(_beside(edge), keys).where(F.shiftright("h", 64 - bits) == F.col("edge")).drop("edge")
+
+
 def _beside(by_leaf: DataFrame) -> DataFrame:
     """A table of leaves for a join with documents: broadcast if it has BROADCAST_LEAVES rows
     at most, so that the corpus isn't dealt out by leaf, of which one may hold a third of
