@@ -41,7 +41,7 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> plans.Step:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, for a query that writes files."""
-    return f"{sources.checkpoint_dir(spark).rstrip('/')}/braidflow-queries-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{sources.scratch_dir(spark, '-queries')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def last(node: Any, spark: SparkSession, **options: Any) -> DataFrame:

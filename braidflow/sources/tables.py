@@ -167,6 +167,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """This application's folder of a name in the shared one; deleted when the driver ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/braidflow-{spark.sparkContext.applicationId}{name}"
+    if folder not in _scratch:
+        _scratch.add(folder)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return folder
+
+
+_scratch: set[str] = set()
+
+
 def spill(df: DataFrame) -> Spilled:
     """Keep a table for later steps; its first action fills the storage."""
     return Spilled(df.persist(StorageLevel.MEMORY_AND_DISK))
