@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpoint_dir
+from ..sources.tables import scratch_dir
 
 BATCH_ROWS = 1000
 #: Bytes of text that the vectorised code works on at a time (one longer text is taken alone).
@@ -29,9 +29,8 @@ BLOCK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's scratch folder below ``spark.checkpoint.dir``."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/braidflow-{spark.sparkContext.applicationId}"
+    """This application's scratch folder below ``spark.checkpoint.dir``, deleted at its end."""
+    return scratch_dir(spark, "")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +50,7 @@ def _table(df: DataFrame, path: str) -> DataFrame:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """As ``written``, in a place of its own that ``purge`` leaves alone."""
-    return _table(df, f"{shared_dir(df.sparkSession)}-kept/{name}-{uuid.uuid4().hex[:12]}")
+    return _table(df, f"{scratch_dir(df.sparkSession, '-kept')}/{name}-{uuid.uuid4().hex[:12]}")
 
 
 def purge(spark: SparkSession) -> None:
