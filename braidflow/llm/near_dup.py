@@ -288,16 +288,18 @@ def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) for the nodes of edges (a, b).
 
     Alternating large and small stars; each round is a table, and rounds end when the
-    edges no longer change.
+    edges no longer change. The least neighbours are tables too: a join with them is of two
+    plain tables, which adaptive execution splits where a node has a great part of the edges.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now = common.written(now, "stars")
     mark = None
     while True:
         ways = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = common.written(ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.written(large, "large-stars")
+        down = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = common.written(small, "stars")
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -421,7 +423,9 @@ def _prefix_pairs(sets: DataFrame, idf: np.ndarray) -> DataFrame:
 
     keys = common.written(sets.select("node", "label", "size", "shingles").mapInArrow(run, "key long, light boolean, node long, label long, size long"), "prefixes")
     mixed = keys.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("core"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "core")
+    mixed = common.written(mixed, "mixed")  # tables, so that the joins below can be split where a key is hot
     outside = keys.join(mixed, "key").where("label <> core").select("key", F.col("light").alias("l"), F.col("node").alias("n"), F.col("label").alias("own"))
+    outside = common.written(outside, "outside")
     met = outside.join(keys, "key").where("l <> light AND own <> label")
     return met.select(F.least("n", "node").alias("a"), F.greatest("n", "node").alias("b")).distinct()
 
