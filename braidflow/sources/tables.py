@@ -215,7 +215,7 @@ def spilled_if_large(value: Any, threshold: int, folder: str) -> Any:
 
 def shell_lines(spark: SparkSession, command: str) -> DataFrame:
     """A command's standard output as lines (column ``value``), run in one task."""
-    lines = spark.sparkContext.parallelize([""], 1).pipe(f"sh -c {_quoted(command)}", checkCode=True)
+    lines = spark.sparkContext.parallelize([], 1).pipe(f"sh -c {_quoted(command)}", checkCode=True)
     return lines.map(lambda x: (x,)).toDF("value string")
 
 
