@@ -76,6 +76,9 @@ class Node:
 class Page:
     nodes: list[Node] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text)
+    #: Of each used node: its features, and the kind of its edge.
+    names: list[list[str]] = field(default_factory=list)
+    kinds: list[str] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -276,6 +279,8 @@ def parse(source: str) -> Page:
         x.share += (x.size - x.linked) / total
         if x.parent >= 0:
             page.nodes[x.parent].share += x.share
+    page.names = [_features(x) if x.used else [] for x in page.nodes]
+    page.kinds = [_edge(page, k) if x.used else "" for k, x in enumerate(page.nodes)]
     return page
 
 
@@ -317,9 +322,9 @@ class Model:
         for k in range(n - 1, -1, -1):  # a child always comes after its parent
             if not nodes[k].used:
                 continue
-            own[k] = sum(self.unary.get(f, 0.0) for f in _features(nodes[k]))
+            own[k] = sum([self.unary.get(f, 0.0) for f in page.names[k]])
             if nodes[k].parent >= 0:
-                e = self.edge.get(_edge(page, k)) or self.edge["*"]
+                e = self.edge.get(page.kinds[k]) or self.edge["*"]
                 low, high = up[k][0], up[k][1] + own[k]
                 for a in (0, 1):
                     x, y = e[a][0] + low, e[a][1] + high
@@ -337,7 +342,7 @@ class Model:
             if p < 0:
                 b = [low, high]
             else:
-                e = self.edge.get(_edge(page, k)) or self.edge["*"]
+                e = self.edge.get(page.kinds[k]) or self.edge["*"]
                 rest = [belief[p][a] - sent[k][a] for a in (0, 1)]
                 joint = [[rest[a] + e[a][c] + (low, high)[c] for c in (0, 1)] for a in (0, 1)]
                 top = max(map(max, joint))
@@ -366,26 +371,25 @@ def fit(pages: list[str], rounds: int = 60, rate: float = 0.4, decay: float = 1e
     """Gradient ascent on the labels' likelihood, by scaled steps with momentum that shrink
     to nothing; deterministic."""
     parsed = [(p, _gold(p)) for p in map(parse, pages) if p.blocks]
-    kinds = sorted({_edge(p, k) for p, _ in parsed for k, x in enumerate(p.nodes) if x.used})
+    kinds = sorted({p.kinds[k] for p, _ in parsed for k, x in enumerate(p.nodes) if x.used})
     model = Model({}, {t: [[0.0, 0.0], [0.0, 0.0]] for t in ["*", *kinds]})
-    names = [[_features(x) if x.used else [] for x in p.nodes] for p, _ in parsed]
     mean: dict[object, float] = {}
     scale: dict[object, float] = {}
     total = sum(x.used for p, _ in parsed for x in p.nodes) or 1
     for t in range(1, rounds + 1):
         grad: dict[object, float] = {}
-        for (page, gold), own in zip(parsed, names):
+        for page, gold in parsed:
             p, pairs = model._pass(page)
             for k, x in enumerate(page.nodes):
                 if not x.used:
                     continue
-                for f in own[k]:
+                for f in page.names[k]:
                     grad[f] = grad.get(f, 0.0) + gold[k] - p[k]
                 if x.parent >= 0:
                     for a in (0, 1):
                         for c in (0, 1):
                             d = (gold[x.parent] == a and gold[k] == c) - pairs[k][a][c]
-                            for kind in (_edge(page, k), "*"):
+                            for kind in (page.kinds[k], "*"):
                                 grad[kind, a, c] = grad.get((kind, a, c), 0.0) + d
         for key, g in grad.items():
             old = model.edge[key[0]][key[1]][key[2]] if isinstance(key, tuple) else model.unary.get(key, 0.0)
