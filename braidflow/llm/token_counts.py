@@ -47,11 +47,12 @@ def merges(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
     at = list(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     of = rank.get
-    heap = [(r, i) for i in range(n - 1) if (r := of((at[i], at[i + 1]))) is not None]
+    # An entry is one number, the rank first, then the place of the left symbol.
+    heap = [r * n + i for i, pair in enumerate(zip(symbols, symbols[1:])) if (r := of(pair)) is not None]
     heapq.heapify(heap)
     merged = 0
     while heap:
-        r, i = heapq.heappop(heap)
+        r, i = divmod(heapq.heappop(heap), n)
         j = after[i]
         # An entry is out of date if its left symbol is gone or its pair is another by now.
         if at[i] is None or j >= n or of((at[i], at[j])) != r:
@@ -63,9 +64,9 @@ def merges(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
         if k < n:
             before[k] = i
             if (r := of((at[i], at[k]))) is not None:
-                heapq.heappush(heap, (r, i))
+                heapq.heappush(heap, r * n + i)
         if (p := before[i]) >= 0 and (r := of((at[p], at[i]))) is not None:
-            heapq.heappush(heap, (r, p))
+            heapq.heappush(heap, r * n + p)
     return merged
 
 
