@@ -30,30 +30,73 @@ def per_branch(branches: Mapping[str, DataFrame], fn: Callable[[DataFrame], Data
 #: number (of rules, which are plan metadata) it is an error.
 FOLDED_RULES = 200
 MOST_RULES = 100_000
+#: Kinds of patterns (which of their segments are literal) that rules may be of.
+MOST_KINDS = 10_000
 
 
 def first_match(targets: DataFrame, target: str, rules: DataFrame, regex: str, position: str) -> DataFrame:
     """Each target with the first rule, by position, whose expression matches it.
 
-    A few rules become one ``CASE WHEN … RLIKE`` of literals: a projection of the targets,
-    without a join. More are joined as a broadcast of checked size. Targets that no rule
-    matches go; of rules of one position the lesser expression comes first.
+    A few rules become one ``CASE WHEN ... RLIKE`` of literals: a projection of the targets,
+    without a join. An expression has nothing to join by, so more are tried one after another
+    against each distinct target, as a broadcast of checked size; of many path patterns use
+    ``first_rule``, which has an index. Targets that no rule matches go; of rules of one
+    position the lesser expression comes first.
     """
-    found = rules.orderBy(position, regex).limit(MOST_RULES + 1).collect()
+    found = rules.orderBy(F.col(f"`{position}`"), F.col(f"`{regex}`")).limit(MOST_RULES + 1).collect()
     if len(found) > MOST_RULES:
         raise ValueError(f"over {MOST_RULES} rules")
+    own = [F.col(f"`{c}`") for c in targets.columns]
     if len(found) <= FOLDED_RULES:
         chosen: Column | None = None
         for r in found:
             rule = F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema))
-            hit = F.col(target).rlike(r[regex])
+            hit = F.col(f"`{target}`").rlike(r[regex])
             chosen = F.when(hit, rule) if chosen is None else chosen.when(hit, rule)
         if chosen is None:
             return targets.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rules.schema)).limit(0)
-        return targets.select("*", chosen.alias("__rule")).where("__rule IS NOT NULL").select(*targets.columns, "__rule.*")
-    row = targets.withColumn("__row", F.monotonically_increasing_id())
-    pairs = row.join(F.broadcast(rules), F.expr(f"{target} RLIKE {regex}"))
-    return pairs.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(position, regex))).where("__n = 1").drop("__n", "__row")
+        return targets.select("*", chosen.alias("__rule")).where("__rule IS NOT NULL").select(*own, "__rule.*")
+    tried = rules.select(F.struct(*(F.col(f"`{c}`") for c in rules.columns)).alias("__rule"), F.col(f"`{regex}`").alias("__regex"), F.col(f"`{position}`").alias("__position"))
+    asked = targets.select(F.col(f"`{target}`").alias("__t")).where("__t IS NOT NULL").distinct()
+    met = asked.join(F.broadcast(tried), F.rlike("__t", "__regex"))
+    first = met.groupBy("__t").agg(F.min_by("__rule", F.struct("__position", "__regex")).alias("__rule"))
+    return targets.join(first, F.col(f"`{target}`") == F.col("__t")).select(*own, "__rule.*")
+
+
+def first_rule(targets: DataFrame, target: str, rules: DataFrame, pattern: str, position: str) -> DataFrame:
+    """Each target with the first rule, by position, whose path pattern matches it; any number
+    of rules and targets.
+
+    Rules are indexed by their kind (number of segments, and which are literal) and their
+    literal segments. A target is asked for once per kind of its number of segments: an
+    equi-join on the segments that the kind has as literals, and only what meets there is
+    matched by the expression. Of rules of one position the lesser pattern comes first.
+    Targets that no rule matches go. Patterns all of whose segments have wildcards share one
+    key per number of segments, and of the last one's ending.
+    """
+    spark = targets.sparkSession
+    segments = F.split("__p", "/")
+    wild = lambda s: s.rlike(r"\{\w+\}")
+    escaped = F.regexp_replace("__p", r"([.^$*+?()\[\]{}|\\])", r"\\$1")
+    #: The last segment's ending, where no wildcard reaches into it.
+    ending = F.regexp_extract("__p", r"\.([^./{}]+)$", 1)
+    index = rules.select(F.struct(*(F.col(f"`{c}`") for c in rules.columns)).alias("__rule"), F.col(f"`{pattern}`").alias("__p"), F.col(f"`{position}`").alias("__position")).where("__p IS NOT NULL").select(
+        "__rule", "__p", "__position", F.size(segments).alias("__n"), F.array_join(F.transform(segments, lambda s: F.when(wild(s), "1").otherwise("0")), "").alias("__mask"), (ending != "").alias("__ended"),
+        F.concat_ws("/", F.filter(segments, lambda s: ~wild(s)), F.when(ending != "", ending)).alias("__key"), F.concat(F.lit("^"), F.regexp_replace(escaped, r"\\\{\w+\\\}", "([^/]+)"), F.lit("$")).alias("__regex"),
+    )
+    kinds = index.select("__n", "__mask", "__ended").distinct().limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"patterns of over {MOST_KINDS} kinds")
+    asked = targets.select(F.col(f"`{target}`").alias("__t")).where("__t IS NOT NULL").distinct()
+    parts = F.split("__t", "/")
+    known = F.broadcast(spark.createDataFrame(kinds, "__n int, __mask string, __ended boolean"))
+    asked = asked.join(known, F.size(parts) == F.col("__n")).select(
+        "__t", "__n", "__mask", "__ended",
+        F.concat_ws("/", F.filter(parts, lambda s, i: F.substr(F.col("__mask"), i + 1, F.lit(1)) == "0"), F.when(F.col("__ended"), F.regexp_extract("__t", r"\.([^./{}]+)$", 1))).alias("__key"),
+    )
+    met = asked.join(index, ["__n", "__mask", "__ended", "__key"]).where(F.rlike("__t", "__regex"))
+    first = met.groupBy("__t").agg(F.min_by("__rule", F.struct("__position", "__p")).alias("__rule"))
+    return targets.join(first, F.col(f"`{target}`") == F.col("__t")).select(*(F.col(f"`{c}`") for c in targets.columns), "__rule.*")
 
 
 class LineageCycle(ValueError):

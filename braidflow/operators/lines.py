@@ -66,16 +66,17 @@ def mean_max(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.round(F.avg(column), 6).alias("mean"), F.max(column).alias("max"))
 
 
-#: Distinct values that ``stripped_join`` puts into one text at most.
+#: Values that ``stripped_join`` puts into one text at most.
 MOST_JOINED = 1_000_000
 
 
-def stripped_join(df: DataFrame, column: str, separator: str = ",") -> DataFrame:
-    """The column's distinct stripped values in order as one text.
+def stripped_join(df: DataFrame, column: str, separator: str = ",", distinct: bool = False) -> DataFrame:
+    """The column's stripped values in order as one text, repeats and all unless ``distinct``.
 
     That is one row, so over MOST_JOINED values are an error, found before any are gathered.
     """
-    values = df.select(F.trim(F.col(column)).alias("v")).where("v IS NOT NULL").distinct()
+    values = df.select(F.trim(F.col(column)).alias("v")).where("v IS NOT NULL")
+    values = values.distinct() if distinct else values
     if values.limit(MOST_JOINED + 1).count() > MOST_JOINED:
         raise ValueError(f"over {MOST_JOINED} values of {column}")
     return values.agg(F.array_join(F.array_sort(F.collect_list("v")), separator).alias("joined"))
@@ -84,8 +85,3 @@ def stripped_join(df: DataFrame, column: str, separator: str = ",") -> DataFrame
 def prefixed(column: str | Column, prefix: str) -> Column:
     """Stripped text behind a prefix, as in ``"got_" + strip(x)``."""
     return F.concat(F.lit(prefix), F.trim(F.col(column) if isinstance(column, str) else column))
-
-
-def split_files(df: DataFrame, path: str, rows: int) -> None:
-    """As ``split -l``: text files of at most so many rows."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows).text(path)

@@ -26,13 +26,14 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.grouped import TableBlock
 from ..sources import tables
 from ..sources.files import find_matches
 from . import display
 from .nodes import Branch, Broadcast, Fallback, Force, ForEach, Node, NoWork, Parallel, Pipe, Pipeline, Reduce, Resourced, Retry, SameInput, Sequence, Shell, Sql, Step, Timeout, lift, steps, work_label
 from .resources import Budget
 from .results import PipelineError, Results, StepFailure, StepResult
-from .state import StateTable, is_fresh, missing
+from .state import Completed, StateTable, is_fresh, missing, step_hash
 from .timing import Scope, Stopped, cancel_jobs
 
 NOTHING = type("Nothing", (), {"__repr__": lambda self: "NOTHING"})()
@@ -52,7 +53,7 @@ class Context:
     materialize: str = "boundary"
     spill_bytes: int | None = None
     spill_dir: str | None = None
-    completed: set[int] = field(default_factory=set)
+    completed: Completed = field(default_factory=lambda: Completed(None))
     track_state: bool = False
     done: list[Step] = field(default_factory=list)
     memo: dict[int, Future] = field(default_factory=dict)
@@ -125,6 +126,10 @@ class InvalidWork(TypeError):
     """Work of a type that no executor takes."""
 
 
+class MissingInput(FileNotFoundError):
+    """An input of a step's work that isn't there when it runs."""
+
+
 class ProcessFailed(RuntimeError):
     """A command with an exit code other than 0."""
 
@@ -193,6 +198,7 @@ def _run_leaf(step: Step, ctx: Context, forced: bool, value: Any) -> StepResult:
             return result(True, None, skipped=True)
         if lost := missing(step.inputs):
             return fail("missing_input", f"missing input: {', '.join(lost)}")
+        ctx.local.forced = forced
         out = execute(step.work, step, ctx, value)
         if ctx.scope is not None:
             ctx.scope.check()
@@ -210,6 +216,8 @@ def _run_leaf(step: Step, ctx: Context, forced: bool, value: Any) -> StepResult:
         return fail("process_failed", str(e.args[0]), str(e.args[1]))
     except InvalidWork as e:
         return fail("invalid_step_work", str(e))
+    except MissingInput as e:
+        return fail("missing_input", str(e))
     except Exception as e:
         return fail("exception", f"{type(e).__name__}: {e}"[:2000], traceback.format_exc()[:65536])
     if ctx.scope is not None:
@@ -278,16 +286,23 @@ def _(node: Sequence, ctx: Context, forced: bool, value: Any) -> Results:
 
 
 def _fan_out(parts: list[tuple[Node, Any]], ctx: Context, forced: bool) -> list[Results]:
-    """Branches in threads of their own; results in the branches' order."""
+    """Branches in threads, ``jobs`` of them at most; results in the branches' order.
+
+    Under Spark's FAIR scheduling each thread's jobs have a pool of their own, so that no
+    branch's jobs wait for all of another's.
+    """
+    ctx.completed.look_up(s for n, _ in parts for s in steps(n))
     if len(parts) <= 1 or ctx.jobs == 1:
         return [run_node(n, ctx, forced, v) for n, v in parts]
     inherited = ctx.inherited()
     out: list[Any] = [None] * len(parts)
     done: list[int] = []
+    waiting = iter(range(len(parts)))
+    fair = ctx.spark is not None and ctx.spark.sparkContext.getConf().get("spark.scheduler.mode", "FIFO").upper() == "FAIR"
 
-    def one(i: int) -> None:
+    def one(i: int, own: dict[str, Any]) -> None:
         try:
-            with ctx.as_part(inherited):
+            with ctx.as_part(own):
                 out[i] = run_node(parts[i][0], ctx, forced, parts[i][1])
                 with ctx.lock:
                     done.append(i)
@@ -296,12 +311,24 @@ def _fan_out(parts: list[tuple[Node, Any]], ctx: Context, forced: bool) -> list[
         except BaseException as e:
             out[i] = e
 
-    target = one
+    def some(k: int) -> None:
+        own = inherited
+        if fair:
+            own = inherited | {"pool": f"{inherited.get('pool', 'branch')}-{k}"}
+            ctx.spark.sparkContext.setLocalProperty("spark.scheduler.pool", own["pool"])
+        while True:
+            with ctx.lock:
+                i = next(waiting, None)
+            if i is None:
+                return
+            one(i, own)
+
+    target = some
     if ctx.spark is not None:
         from pyspark import inheritable_thread_target
 
-        target = inheritable_thread_target(ctx.spark)(one)
-    threads = [threading.Thread(target=target, args=(i,), daemon=True) for i in range(len(parts))]
+        target = inheritable_thread_target(ctx.spark)(some)
+    threads = [threading.Thread(target=target, args=(k,), daemon=True) for k in range(min(len(parts), ctx.jobs or len(parts)))]
     for t in threads:
         t.start()
     for t in threads:
@@ -424,6 +451,10 @@ def branches_of(node: ForEach, ctx: Context) -> list[tuple[Node, Any]] | StepFai
         names = wildcards(node.pattern)
         found = [[m[n] for n in names] for _, m in find_matches(node.pattern)]
         parts = [(_block(node, *captures), captures) for captures in found]
+    elif isinstance(node.block, TableBlock):
+        if not isinstance(node.source, DataFrame):
+            raise TypeError("a table block needs a table of items")
+        return [(Step(lambda: node.block(node.source), "for_each"), NOTHING)]
     else:
         items = [r[0] if len(r) == 1 else r for r in node.source.toLocalIterator()] if isinstance(node.source, DataFrame) else node.source
         parts = [(_block(node, item), item) for item in items]
@@ -589,26 +620,21 @@ def run(
     budget = Budget(default_memory_mb() if memory_mb is None else memory_mb, (jobs or os.cpu_count() or 1) if threads is None else threads)
     state = StateTable(spark, state_dir) if state_dir and spark is not None else None
     folder = (spill_dir or tempfile.mkdtemp(prefix="braidflow-spill-")) if auto_spill else None
-    ctx = Context(spark, jobs, budget, materialize, spill_threshold if auto_spill else None, folder, state.load() if state else set(), True, shared=_shared_steps(pipeline.root), slots=threading.Semaphore(jobs) if jobs else None)
+    ctx = Context(spark, jobs, budget, materialize, spill_threshold if auto_spill else None, folder, Completed(state), True, shared=_shared_steps(pipeline.root), slots=threading.Semaphore(jobs) if jobs else None)
     if verbose:
         ctx.report_step = lambda r: display.log_step(r)
         ctx.report_progress = lambda done, total: display.log_progress(done, total)
     results = Results()
     try:
+        ctx.completed.look_up(steps(pipeline.root))
         results = run_node(pipeline.root, ctx, force, NOTHING)
         if report is not None:
             report(results, pipeline=pipeline.name)
     finally:
         if state:
-            known: set[int] = set()
-            from .state import step_hash
-
-            fresh = []
-            for s in ctx.done:
-                if (h := step_hash(s)) not in ctx.completed | known:
-                    known.add(h)
-                    fresh.append(s)
-            state.append(fresh)
+            done = {step_hash(s): s for s in reversed(ctx.done)}
+            known = state.completed(done)
+            state.append([s for h, s in reversed(done.items()) if h not in known])
         kept = {id(r.result) for r in results}
         for df in ctx.persisted:
             if id(df) in kept:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce as fold
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions, operators, plans, sources, streaming
@@ -201,21 +201,37 @@ def fill_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", functions.fill_special_column("cat {input} > {output} # {input[2]}", inputs, outputs).alias("command"))
 
 
-_EDGES = "(VALUES ('report', 'clean'), ('report', 'index'), ('index', 'clean'), ('clean', 'raw'), ('other', 'raw'))"
+_EDGES = (
+    "SELECT 'report' AS o, 'customer/' || c_custkey AS i FROM customer UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer UNION ALL SELECT 'customer/' || c_custkey, 'order/' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey "
+    "UNION ALL SELECT 'order/' || o_orderkey, 'nation/' || c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation"
+)
 
 
-@query(f"WITH RECURSIVE e(o, i) AS (SELECT * FROM {_EDGES} v(o, i)), n(path, depth) AS (SELECT 'report', 0 UNION ALL SELECT e.i, n.depth + 1 FROM n JOIN e ON e.o = n.path) SELECT path, max(depth) AS depth FROM n GROUP BY path")
+@query(f"WITH RECURSIVE e(o, i) AS ({_EDGES}), n(path, depth) AS (SELECT 'report', 0 UNION SELECT e.i, n.depth + 1 FROM n JOIN e ON e.o = n.path) SELECT path, max(depth) AS depth FROM n GROUP BY path")
 def resolve_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.createDataFrame([("report", "clean"), ("report", "index"), ("index", "clean"), ("clean", "raw"), ("other", "raw")], "output string, input string").coalesce(1)
-    return operators.lineage(edges, "report")
+    """All that a report needs: customers, their orders, nations (by two ways) and regions."""
+    customer, nation, orders = (table(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
+    path = lambda kind, key: F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"))
+    bought = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    ways = [
+        customer.select(F.lit("report").alias("output"), path("customer", "c_custkey").alias("input")), customer.select(path("customer", "c_custkey").alias("output"), path("nation", "c_nationkey").alias("input")),
+        bought.select(path("customer", "c_custkey").alias("output"), path("order", "o_orderkey").alias("input")), bought.select(path("order", "o_orderkey").alias("output"), path("nation", "c_nationkey").alias("input")),
+        nation.select(path("nation", "n_nationkey").alias("output"), path("region", "n_regionkey").alias("input")),
+    ]
+    return operators.lineage(operators.concat(*ways), "report")
 
 
-@query("SELECT * FROM (VALUES (0, 'prep', 'out/a.clean', 'cp raw/a out/a.clean'), (1, 'index', 'out/a.idx', 'mk out/a.clean out/a.idx')) v(ordinal, rule, output, command)")
+@query(
+    "SELECT r_name AS target, ordinal, CASE ordinal WHEN 0 THEN 'prep' ELSE 'index' END AS rule, 'out/' || r_name || CASE ordinal WHEN 0 THEN '.clean' ELSE '.idx' END AS output, "
+    "CASE ordinal WHEN 0 THEN 'cp raw/' || r_name || ' out/' || r_name || '.clean' ELSE 'mk out/' || r_name || '.clean out/' || r_name || '.idx' END AS command FROM region, (VALUES (0), (1)) v(ordinal)"
+)
 def explain_postorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps behind a target per region, needs first."""
     prep = plans.rule("raw/{s}", "out/{s}.clean", name="prep")("cp {input} {output}")
     index = plans.rule("out/{s}.clean", "out/{s}.idx", name="index")("mk {input} {output}")
-    rows = [(i, p.rule, p.outputs[0], p.command) for i, (p, _) in enumerate(plans.explain([index, prep], "out/a.idx"))]
-    return spark.createDataFrame(rows, "ordinal int, rule string, output string, command string")
+    names = [r["r_name"] for r in table(spark, sf_dir, "region").select("r_name").collect()]
+    rows = [(name, i, p.rule, p.outputs[0], p.command) for name in names for i, (p, _) in enumerate(plans.explain([index, prep], f"out/{name}.idx"))]
+    return spark.createDataFrame(rows, "target string, ordinal int, rule string, output string, command string")
 
 
 @query(
@@ -306,9 +322,12 @@ def try_cast_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.threshold(events, x=90).select("event_id").union(operators.threshold(events, value=90).select("event_id")).distinct()
 
 
-@query("SELECT string_agg(v, ',' ORDER BY v) AS joined FROM (SELECT DISTINCT trim(c_mktsegment) AS v FROM customer)")
+@query("SELECT string_agg(trim(n_name) || trim(CAST(n_regionkey AS VARCHAR)), ',' ORDER BY trim(n_name) || trim(CAST(n_regionkey AS VARCHAR))) AS distinct_names, (SELECT string_agg(trim(CAST(n_regionkey AS VARCHAR)), ',' ORDER BY CAST(n_regionkey AS VARCHAR)) FROM nation) AS repeated FROM nation")
 def strip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.stripped_join(table(spark, sf_dir, "customer"), "c_mktsegment")
+    """Stripped values in order, once as they are and once with repeats."""
+    nation = table(spark, sf_dir, "nation").select(F.concat(F.lit(" "), "n_name", F.col("n_regionkey").cast("string"), F.lit(" ")).alias("name"), F.concat(F.lit("  "), F.col("n_regionkey").cast("string")).alias("r"))
+    names, repeated = operators.stripped_join(nation, "name", distinct=True), operators.stripped_join(nation, "r")
+    return names.select(F.col("joined").alias("distinct_names")).crossJoin(repeated.select(F.col("joined").alias("repeated")))  # of one row each
 
 
 @query("SELECT event_id, 'got_' || trim(event_type) AS got FROM events")
@@ -362,9 +381,9 @@ def lacking_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segments(spark: SparkSession, sf_dir: str, folder: str, kind: str = "parquet") -> None:
     """A table per market segment, by one write, as ``<folder>/<segment>.<kind>``."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    for segment in sorted(r[0] for r in customers.select("c_mktsegment").distinct().collect()):
-        sources.write_table(customers.where(F.col("c_mktsegment") == segment).drop("c_mktsegment"), f"{folder}/{segment}.{kind}")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("segment"))
+    names = customers.select("segment").distinct().collect()
+    sources.write_keyed(customers, f"{folder}/{{segment}}.{kind}", [{"segment": r["segment"]} for r in names])
 
 
 def _of_segment(df: DataFrame, segment: str) -> DataFrame:
@@ -408,11 +427,11 @@ def bytes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keep_rich(spark: SparkSession, folder: str) -> plans.Rule:
-    return plans.rule(f"{folder}/raw/{{segment}}.parquet", f"{folder}/rich/{{segment}}.parquet", mode="table", name="rich")(lambda df: df.where("c_acctbal > 5000"))
+    return plans.rule(f"{folder}/raw/{{segment}}.parquet", f"{folder}/rich/{{segment}}.parquet", mode="keyed", name="rich")(lambda df: df.where("c_acctbal > 5000"))
 
 
 def _summed(spark: SparkSession, folder: str) -> plans.Rule:
-    return plans.rule(f"{folder}/rich/{{segment}}.parquet", f"{folder}/sums/{{segment}}.parquet", mode="table", name="sums")(lambda df: df.agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")))
+    return plans.rule(f"{folder}/rich/{{segment}}.parquet", f"{folder}/sums/{{segment}}.parquet", mode="keyed", name="sums")(lambda df: df.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")))
 
 
 def _sums(spark: SparkSession, folder: str) -> DataFrame:
@@ -447,7 +466,7 @@ def rule_chain_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_value_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "pipe")
     _segments(spark, sf_dir, f"{folder}/raw")
-    sink = lambda outs: operators.concat(*(sources.read_table(spark, p) for paths in outs for p in paths)).agg(F.sum("n").alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
+    sink = lambda paths: spark.read.parquet(*paths).agg(F.sum("n").alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
     return plans.run(_keep_rich(spark, folder).then(_summed(spark, folder)).then(sink), spark, raise_on_failure=True).last
 
 
@@ -469,7 +488,7 @@ def resolve_missing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources.write_table(spark.range(1), f"{folder}/sums/BUILDING.parquet")
     goals = [f"{folder}/{kind}/{s}.parquet" for kind in ("sums", "rich") for s in names]
     found = plans.steps(plans.resolve([_keep_rich(spark, folder), _summed(spark, folder)], goals))
-    return spark.createDataFrame([(s.outputs[0].rsplit("/", 1)[1].removesuffix(".parquet"), s.name.split("(")[0]) for s in found], "segment string, rule string")
+    return spark.createDataFrame([(v["segment"], s.work.rule.name) for s in found for v in s.work.values], "segment string, rule string")
 
 
 @query("SELECT row_number() OVER (ORDER BY c_mktsegment) - 1 AS ordinal, c_mktsegment AS segment FROM (SELECT DISTINCT c_mktsegment FROM customer)")
@@ -551,13 +570,16 @@ def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.table().groupBy("name").agg(F.count("*").alias("completions"))
 
 
-@query("SELECT 0::BIGINT AS n")
+@query("SELECT 'step ' || r_name AS name, 1::BIGINT AS before, 0::BIGINT AS after FROM region")
 def state_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "clear")
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("step "), "r_name").alias("name"))
     kept = plans.StateTable(spark, f"{folder}/state")
-    plans.run(plans.step(lambda: None, name="once", inputs=sf_dir), spark, state_dir=kept.path, raise_on_failure=True)
+    kept.append_table(regions.select("name", F.xxhash64("name").alias("step_hash")))
+    before = {r["name"]: r["n"] for r in kept.table().groupBy("name").agg(F.count("*").alias("n")).collect()}
     kept.clear()
-    return kept.table().agg(F.count("*").alias("n"))
+    counted = spark.createDataFrame(list(before.items()), "name string, before long")
+    return counted.join(kept.table().groupBy("name").agg(F.count("*").alias("after")), "name", "left").select("name", "before", F.coalesce("after", F.lit(0)).cast("long").alias("after"))
 
 
 @query("SELECT upper(n_name) AS name FROM nation")
@@ -565,9 +587,12 @@ def through_a_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.through_shell(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("value")), "tr a-z A-Z").select(F.col("value").alias("name"))
 
 
-@query("SELECT unnest(['a', 'b', 'c']) AS value")
+@query("SELECT DISTINCT p_brand AS value FROM part")
 def command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.shell_lines(spark, "printf 'c\\na\\nb\\na\\n' | sort -u")
+    """A command's output as lines: here of files that Spark wrote."""
+    folder = scratch(spark, "lines")
+    table(spark, sf_dir, "part").select("p_brand").write.text(folder)
+    return sources.shell_lines(spark, f"sort -u '{sources.local_path(folder)}'/part-*")
 
 
 @query("SELECT 'large' AS arm, count(*) AS n FROM customer")
@@ -625,13 +650,15 @@ def branch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, r.step, r.result) for i, r in enumerate(found)], "ordinal int, tbl string, n long")
 
 
-@query("SELECT * FROM (VALUES (0, 'scan_nation', true, NULL), (1, 'fails', false, 'exception')) v(ordinal, step, success, kind)")
+@query("SELECT * FROM (SELECT 0 AS ordinal, 'count' AS step, true AS success, NULL AS kind, CAST(count(*) AS VARCHAR) AS preview FROM nation UNION ALL SELECT 1, 'fails', false, 'exception', NULL)")
 def results_as_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fails(df: DataFrame) -> None:
+    def fails(n: int) -> None:
         raise ValueError("no")
 
-    found = plans.run(scan(spark, sf_dir, "nation") >> plans.step(fails) >> (lambda x: x), spark)
-    return found.to_df(spark).select("ordinal", "step", "success", F.col("failure.kind").alias("kind"))
+    count = plans.step(lambda: table(spark, sf_dir, "nation").count(), name="count")
+    found = plans.run(count >> plans.step(fails) >> (lambda x: x), spark)
+    shown = F.when(F.col("success"), F.col("result_preview"))
+    return found.to_df(spark).select("ordinal", "step", "success", F.col("failure.kind").alias("kind"), shown.alias("preview"))
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
@@ -656,12 +683,81 @@ def field_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operators.field_above(lines, 2, 50)
 
 
-@query("SELECT DISTINCT p_type AS value FROM part")
+@query("SELECT f AS file, count(*) AS lines, min(v) AS first, max(v) AS last FROM (SELECT v, (row_number() OVER (ORDER BY v) - 1) // 99 AS f FROM (SELECT c_name AS v FROM customer)) GROUP BY f")
 def sorted_and_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted lines, in files of ten at most, read again."""
+    """Sorted lines in files of exactly 99, but for the last: what each file has."""
     folder = scratch(spark, "split")
-    operators.split_files(operators.sorted_lines(table(spark, sf_dir, "part").select(F.col("p_type").alias("value")).distinct()), folder, 10)
-    return spark.read.text(folder)
+    operators.split_files(table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")), folder, 99)
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("name"))
+    files = lines.groupBy("name").agg(F.count("*").alias("lines"), F.min("value").alias("first"), F.max("value").alias("last"))
+    return files.select((F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("file"), "lines", "first", "last")  # a row per file
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS ordinal FROM lineitem")
+def global_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return operators.with_ordinals(lines, "l_shipdate", "l_orderkey", "l_linenumber").drop("l_shipdate")
+
+
+@query("SELECT l_orderkey, count(*) AS lines, string_agg(l_returnflag, '>' ORDER BY l_linenumber, l_returnflag) AS modes, CAST(sum(l_linenumber * l_linenumber) AS BIGINT) AS squares FROM lineitem GROUP BY 1")
+def foreach_table_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block of Python per order, all orders in one plan."""
+
+    def block(item: dict[str, Any], pieces: Any) -> list[dict[str, Any]]:
+        rows = sorted((r["l_linenumber"], r["l_returnflag"]) for t in pieces for r in t.to_pylist())
+        return [{**item, "lines": len(rows), "modes": ">".join(m for _, m in rows), "squares": sum(n * n for n, _ in rows)}]
+
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return last(plans.for_each(items, operators.TableBlock(("l_orderkey",), block, "l_orderkey long, lines long, modes string, squares long", whole=True)), spark)
+
+
+@query("SELECT l_returnflag, k AS place, l_orderkey, l_linenumber, n FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE k <= 3")
+def reduce_custom_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold of the user's own: the three dearest lines of each flag and how many there are."""
+    import heapq
+
+    def add(state: Any, rows: Any) -> Any:
+        n, best = state or (0, [])
+        found = zip((-p for p in rows["l_extendedprice"].to_pylist()), rows["l_orderkey"].to_pylist(), rows["l_linenumber"].to_pylist())
+        return n + rows.num_rows, heapq.nsmallest(3, [*best, *found])
+
+    def merge(a: Any, b: Any) -> Any:
+        return a[0] + b[0], heapq.nsmallest(3, [*a[1], *b[1]])
+
+    def finish(item: dict[str, Any], state: Any) -> list[dict[str, Any]]:
+        return [{**item, "place": i, "l_orderkey": o, "l_linenumber": k, "n": state[0]} for i, (_, o, k) in enumerate(state[1], 1)]
+
+    def part(low: bool) -> plans.Step:
+        lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber")
+        return plans.step(lambda: lines.where(F.col("l_linenumber") <= 3 if low else F.col("l_linenumber") > 3))
+
+    dearest = operators.Fold(add, merge, finish, "l_returnflag string, place long, l_orderkey long, l_linenumber long, n long", ("l_returnflag",))
+    return last(plans.Reduce(dearest, part(True) & part(False)), spark)
+
+
+@query(
+    "WITH t AS (SELECT DISTINCT l_suppkey, l_returnflag, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'csv' ELSE 'txt' END AS kind FROM lineitem) SELECT 'in/' || l_suppkey || '/' || l_returnflag || '/' || l_linenumber || '.' || kind AS target, "
+    "CASE WHEN kind = 'txt' AND l_suppkey % 3 <> 0 THEN 'any text' WHEN l_suppkey % 3 = 0 THEN 'of ' || l_suppkey ELSE 'any' END AS name FROM t"
+)
+def rules_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of many path patterns that matches each target: a rule per supplier, and
+    rules without a literal segment behind them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linenumber").distinct()
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "csv").otherwise("txt")
+    targets = lines.select(F.concat_ws("/", F.lit("in"), "l_suppkey", "l_returnflag", F.concat("l_linenumber", F.lit("."), kind)).alias("target"))
+    own = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("of "), "s_suppkey").alias("name"), F.concat(F.lit("in/"), "s_suppkey", F.lit("/{mode}/{line}")).alias("pattern"), F.lit(1).alias("position"))
+    general = spark.createDataFrame([("any text", "{a}/{b}/{mode}/{line}.txt", 2), ("any", "{a}/{b}/{mode}/{line}", 3), ("never", "{a}/{b}", 0)], "name string, pattern string, position int")
+    return operators.first_rule(targets, "target", own.union(general), "pattern", "position").select("target", "name")
+
+
+@query("SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS step_hash FROM lineitem WHERE l_orderkey * 8 + l_linenumber NOT IN (SELECT l_orderkey * 8 + l_linenumber FROM lineitem WHERE l_shipdate <= DATE '1996-01-01')")
+def state_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a table that no run has completed: marked, compacted and asked for on executors."""
+    steps = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("step_hash"), "l_shipdate")
+    kept = plans.StateTable(spark, f"{scratch(spark, 'pending')}/state")
+    kept.append_table(steps.where("l_shipdate <= DATE '1996-01-01'"))
+    kept.compact()
+    return kept.pending(steps).select("step_hash")
 
 
 @query("SELECT c_mktsegment, c_custkey, c_acctbal, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey DESC) AS k FROM customer) WHERE k = 1")

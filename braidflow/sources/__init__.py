@@ -1,6 +1,6 @@
 """Sources and sinks: files, tables, shell output and spilled values."""
 
-from .files import discover, exists, file_times, find_matches, listing, matched_listing, read_pattern
-from .tables import FilePath, Spilled, SpilledText, SpilledValue, checkpoint_dir, materialize, materialize_table, read_bytes, read_csv, read_table, scratch_dir, shell_lines, spill, through_shell, write_table
+from .files import discover, exists, file_times, find_matches, listing, local_path, matched_listing, read_pattern, times_of
+from .tables import FilePath, Spilled, SpilledText, SpilledValue, checkpoint_dir, materialize, materialize_table, read_bytes, read_csv, read_keyed, read_table, scratch_dir, shell_lines, spill, through_shell, write_keyed, write_table
 
-__all__ = ["FilePath", "Spilled", "SpilledText", "SpilledValue", "checkpoint_dir", "discover", "exists", "file_times", "find_matches", "listing", "matched_listing", "materialize", "materialize_table", "read_bytes", "read_csv", "read_pattern", "read_table", "scratch_dir", "shell_lines", "spill", "through_shell", "write_table"]
+__all__ = ["FilePath", "Spilled", "SpilledText", "SpilledValue", "checkpoint_dir", "discover", "exists", "file_times", "find_matches", "listing", "local_path", "matched_listing", "materialize", "materialize_table", "read_bytes", "read_csv", "read_keyed", "read_pattern", "read_table", "scratch_dir", "shell_lines", "spill", "through_shell", "times_of", "write_keyed", "write_table"]

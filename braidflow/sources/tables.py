@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import pickle
+import re
+import shutil
 import subprocess
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import singledispatch
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import literal_root, substitute, wildcards
 from . import files
 
 
@@ -105,17 +112,45 @@ def read_csv(spark: SparkSession, path: str | list[str], **options: Any) -> Data
     return spark.read.options(**{"header": True, "inferSchema": True} | options).csv(path)
 
 
-def read_table(spark: SparkSession, path: str, **options: Any) -> DataFrame:
-    """By the name's ending: csv, tsv (also .gz), json, orc, txt; anything else is Parquet."""
+def _kind(path: str) -> tuple[str, dict[str, Any]]:
+    """The format that a name's ending stands for (csv, tsv, txt, json, orc, also .gz; anything
+    else is Parquet) and its settings."""
     stem = path.removesuffix(".gz").lower()
-    if stem.endswith(".csv"):
-        return read_csv(spark, path, **options)
-    if stem.endswith(".tsv"):
-        return read_csv(spark, path, **{"sep": "\t"} | options)
+    if stem.endswith((".csv", ".tsv")):
+        return "csv", {"header": True, "sep": "\t" if stem.endswith(".tsv") else ","}
     if stem.endswith((".txt", ".log")):
-        return spark.read.options(**options).text(path)
-    kind = "json" if stem.endswith((".json", ".jsonl")) else "orc" if stem.endswith(".orc") else "parquet"
-    return spark.read.options(**options).format(kind).load(path)
+        return "text", {}
+    return "json" if stem.endswith((".json", ".jsonl")) else "orc" if stem.endswith(".orc") else "parquet", {}
+
+
+def read_table(spark: SparkSession, path: str, **options: Any) -> DataFrame:
+    return _read(spark, path, path, **options)
+
+
+def _read(spark: SparkSession, named: str, paths: str | list[str], **options: Any) -> DataFrame:
+    kind, settings = _kind(named)
+    if kind == "csv":
+        return read_csv(spark, paths, **settings | options)
+    return spark.read.options(**options).format(kind).load(paths)
+
+
+def read_keyed(spark: SparkSession, pattern: str, values: Iterable[Mapping[str, str]], **options: Any) -> DataFrame:
+    """One scan of the files (or table folders) of many assignments, the wildcards as columns.
+
+    They have one schema. Rows come with the names that their file was matched by.
+    """
+    names = wildcards(pattern)
+    if not names:
+        return read_table(spark, pattern, **options)
+    paths = sorted({substitute(pattern, v) for v in values})
+    with files.few_listing_tasks(spark):
+        df = _read(spark, pattern, [re.sub(r"[\[\]{}*?\\]", r"\\\g<0>", p) for p in paths], **options)
+    if clash := [n for n in names if n in df.columns]:
+        raise ValueError(f"columns {clash} of {pattern} have the names of its wildcards")
+    regex, groups = files.part_regex(pattern)
+    last = {n: i for i, n in enumerate(groups, 1)}
+    path = files.plain_path(F.col("_metadata.file_path"))
+    return df.select("*", *(F.regexp_extract(path, regex, last[n]).alias(n) for n in names))
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -123,32 +158,108 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, **options: Any) -> None:
-    """Write beside the target and swap, so that a plan may still read what it replaces.
+    """Write beside the target and swap, so that a plan may still read what it replaces."""
+    beside = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+    _writer(df, path, options).save(beside)
+    swap(beside, path)
+
+
+def _writer(df: DataFrame, named: str, options: Mapping[str, Any]) -> Any:
+    kind, settings = _kind(named)
+    if named.endswith(".gz"):
+        settings = settings | {"compression": "gzip"}
+    return df.write.options(**settings | options).format(kind)
 
-    The old result is moved aside, not deleted, until the new one is in its place: cut
-    short at any time, one of them is whole (as ``path``, ``path.tmp-…`` or ``path.old-…``).
+
+def swap(new: str, path: str) -> None:
+    """Put a written result in its place.
+
+    The old one is moved aside, not deleted, until the new one is there: cut short at any
+    time, one of them is whole (as ``path``, as ``new`` or as ``path.old-…``).
     """
-    spark = df.sparkSession
-    stem = path.removesuffix(".gz").lower()
-    kind = "csv" if stem.endswith((".csv", ".tsv")) else "text" if stem.endswith((".txt", ".log")) else "json" if stem.endswith((".json", ".jsonl")) else "orc" if stem.endswith(".orc") else "parquet"
-    settings: dict[str, Any] = {"header": True, "sep": "\t" if stem.endswith(".tsv") else ","} if kind == "csv" else {}
-    if path.endswith(".gz"):
-        settings["compression"] = "gzip"
-    mark = uuid.uuid4().hex[:12]
-    beside = f"{path}.tmp-{mark}"
-    df.write.options(**settings | options).format(kind).save(beside)
-    jvm = spark.sparkContext._jvm
-    target, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, f"{path}.old-{mark}"))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    replaced = fs.exists(target)
-    if replaced and not fs.rename(target, aside):
-        raise OSError(f"could not move {path} aside")
-    if not fs.rename(new, target):
+    aside = f"{path}.old-{uuid.uuid4().hex[:12]}"
+    here = files.local_path(path)
+    where, fs = (None, None) if here is not None else files.hadoop(path)
+    replaced = os.path.lexists(here) if here is not None else fs.exists(where)
+    if replaced:
+        files.rename(path, aside)
+    try:
+        files.rename(new, path)
+    except OSError:
         if replaced:
-            fs.rename(aside, target)
-        raise OSError(f"could not move the result to {path}")
+            files.rename(aside, path)
+        raise
     if replaced:
-        fs.delete(aside, True)
+        files.remove(aside)
+
+
+#: Moves of finished parts at a time, in stores where each is a remote call.
+MOVES = 16
+
+
+def write_keyed(df: DataFrame, pattern: str, values: Iterable[Mapping[str, str]], **options: Any) -> None:
+    """Each assignment's rows to its path, by one write however many paths there are.
+
+    df has the pattern's wildcards as columns, which the files leave out. Rows are dealt by
+    them, a large assignment's over several tasks; the parts are written beside the targets,
+    then each is swapped into its place. An assignment without rows gets an empty table. Rows
+    of no assignment are an error, and no target changes.
+    """
+    names = wildcards(pattern)
+    if not names:
+        return write_table(df, pattern, **options)
+    if lost := [n for n in names if n not in df.columns]:
+        raise ValueError(f"the table for {pattern} has no columns {lost}")
+    targets = {tuple(v[n] for n in names): substitute(pattern, v) for v in values}
+    beside = f"{literal_root(pattern)}/.keyed-{uuid.uuid4().hex[:12]}"
+    keys = [f"__key{i}" for i in range(len(names))]
+    rest = [c for c in df.columns if c not in names]
+    keyed = df.select(*rest, *(F.col(n).cast("string").alias(k) for n, k in zip(names, keys)))
+    try:
+        _writer(keyed.hint("rebalance", *keys), pattern, options).partitionBy(*keys).save(f"{beside}/parts")
+        made = {tuple(unquote(x.split("=", 1)[1]) for x in p.rsplit("/", len(names))[1:]): p for p in _folders(f"{beside}/parts", len(names))}
+        if strange := sorted(set(made) - set(targets)):
+            raise ValueError(f"rows of {len(strange)} assignments that weren't asked for, such as {dict(zip(names, strange[0]))}")
+        if without := [t for t in targets if t not in made]:
+            _writer(df.sparkSession.createDataFrame([], df.select(*rest).schema).coalesce(1), pattern, options).save(f"{beside}/none")
+            for i, t in enumerate(without):
+                made[t] = f"{beside}/none-{i}"
+        moves = lambda t: _placed(made[t], targets[t], f"{beside}/none" if t in lacking else None)
+        lacking = set(without)
+        if files.local_path(pattern) is not None:
+            for t in targets:
+                moves(t)
+        else:
+            with ThreadPoolExecutor(MOVES) as pool:
+                list(pool.map(moves, targets))
+    finally:
+        files.remove(beside)
+
+
+def _placed(new: str, target: str, empty: str | None) -> None:
+    if empty is not None:
+        _copied(empty, new)
+    swap(new, target)
+
+
+def _copied(source: str, target: str) -> None:
+    here = files.local_path(source)
+    if here is not None:
+        shutil.copytree(here, files.local_path(target))
+        return
+    (old, fs), (new, _) = files.hadoop(source), files.hadoop(target)
+    spark = files.session()
+    if not spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, old, fs, new, False, spark.sparkContext._jsc.hadoopConfiguration()):
+        raise OSError(f"could not copy {source} to {target}")
+
+
+def _folders(root: str, depth: int) -> list[str]:
+    """The folders so many levels below ``root``."""
+    here = files.local_path(root)
+    if here is not None:
+        return [p for p in glob.glob(glob.escape(here) + "/*=*" * depth) if os.path.isdir(p)]
+    where, fs = files.hadoop(files.hadoop_glob(root) + "/*=*" * depth)
+    return [s.getPath().toString() for s in (fs.globStatus(where) or [])]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -58,11 +58,11 @@ def test_outputs_are_written_swapped_and_remembered(spark, tmp_path):
     with pytest.raises(RuntimeError):
         b.run(b.step(lambda: calls.append(2), name="two", inputs=out), spark, state_dir=state, report=lambda *a, **k: (_ for _ in ()).throw(RuntimeError()))
     table = StateTable(spark, state)
-    assert len(table.load()) == 2
+    assert table.table().select("step_hash").distinct().count() == 2
     table.compact()
     assert table.table().count() == 2
     table.clear()
-    assert table.load() == set()
+    assert table.table().count() == 0
 
 
 def test_csv_and_patterns(spark, tmp_path):
@@ -183,7 +183,8 @@ def test_the_first_matching_rule_is_a_projection_or_a_bounded_broadcast(spark, m
 
 def test_joined_values_are_bounded(spark, monkeypatch):
     t = spark.createDataFrame([(" b ",), ("a",), ("b",), (None,)], "v string")
-    assert operators.stripped_join(t, "v").first().joined == "a,b"
+    assert operators.stripped_join(t, "v").first().joined == "a,b,b"
+    assert operators.stripped_join(t, "v", distinct=True).first().joined == "a,b"
     monkeypatch.setattr(operators.lines, "MOST_JOINED", 1)
     with pytest.raises(ValueError):
         operators.stripped_join(t, "v")
