@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.tables import scratch_dir
 
 BATCH_ROWS = 1000
@@ -39,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a rerun of tasks that read the table, never of
     what made it.
     """
-    return _table(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _table(df, f"{shared_dir(df.sparkSession)}/{getattr(_place, 'folder', '')}{name}-{uuid.uuid4().hex[:12]}")
 
 
 def _table(df: DataFrame, path: str) -> DataFrame:
@@ -53,11 +56,24 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return _table(df, f"{scratch_dir(df.sparkSession, '-kept')}/{name}-{uuid.uuid4().hex[:12]}")
 
 
-def purge(spark: SparkSession) -> None:
-    """Delete this application's scratch tables (call when their readers have finished)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[str]:
+    """What ``written`` writes within goes to a folder of its own, for ``purge``: other
+    operators' tables, made before or in other threads, aren't in it."""
+    before = getattr(_place, "folder", "")
+    _place.folder = f"stage-{uuid.uuid4().hex[:12]}/"
+    try:
+        yield f"{shared_dir(spark)}/{_place.folder}"
+    finally:
+        _place.folder = before
+
+
+_place = threading.local()
+
+
+def purge(folder: str) -> None:
+    """Delete a folder that ``own_scratch`` gave, when its readers have finished."""
+    files.remove(folder)
 
 
 _shipped: set[str] = set()

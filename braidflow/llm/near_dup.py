@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -293,8 +294,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now = common.written(now, "stars")
-    mark = None
-    while True:
+    while not _are_stars(now):
         ways = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.written(ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -302,30 +302,36 @@ def components(edges: DataFrame) -> DataFrame:
         down = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = common.written(small, "stars")
-        was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if was == mark:
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with their label: their own where nothing links them."""
-    return members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge (u, v < u), and no v is a u itself: then v is the least
+    node of its component. (Of a node: its edges as u, and whether it is a v.)"""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("hub")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("hub").alias("hub")).where("out > 1 OR (out = 1 AND hub = 1)").isEmpty()
+
+
+#: Nodes from here on are texts without a doc_id, by a hash; doc_ids are below it.
+UNNAMED = 1 << 62
+#: Ids (of 8 bytes) that are broadcast at most, after counting them.
+BROADCAST_IDS = 1 << 20
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
-    """(doc_id, key and node of every row; links between nodes, enough to form the classes;
-    the shingle sets of the linked nodes and of others; the weights).
+    """(doc_id, key and node of every row; node and label of the linked texts; the shingle sets
+    of these and others; the weights).
 
-    A node is the least doc_id of an equal text.
+    A node is the least doc_id of an equal text, or UNNAMED and more of one without doc_id.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     idf = idf_table(docs)
     signed = common.written(signatures(docs, idf), "samples")
-    nodes = signed.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    unnamed = F.lit(UNNAMED) + F.xxhash64("key").bitwiseAND(UNNAMED - 1)
+    nodes = signed.groupBy("key").agg(F.coalesce(F.min("doc_id"), unnamed).alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = common.written(nodes, "nodes")
-    rows = signed.select("doc_id", "key").join(nodes.select("key", "node"), "key", "left")
+    rows = signed.select("doc_id", "key").join(nodes.select("key", "node"), "key")
     bands = _bands(nodes)
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.array_compact(F.array(*(F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(LEADERS)) == i, F.col("node"))) for i in range(LEADERS)))).alias("leaders")).where("size > 1")
     buckets = common.written(bands.join(sizes, "bucket"), "buckets")
@@ -337,24 +343,41 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
     pairs = pairs.unionAll(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))).distinct()
     likely = common.written(_plausible(pairs, nodes), "pairs")
     crowded = common.written(many.select("node").distinct(), "crowded")
-    sets = _sets_of(docs, likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).unionAll(crowded))
+    sets = _sets_of(docs, likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).unionAll(crowded), nodes)
     links = common.written(_verified(likely, sets, idf).dropDuplicates(["a", "b"]), "links")
+    labels = common.written(components(links), "labels")
     if not crowded.isEmpty():
-        labelled = common.written(_labelled(crowded, links), "labelled")
+        own = F.coalesce("label", "node").alias("label")
+        labelled = common.written(crowded.join(labels, "node", "left").select("node", own), "labelled")
         sizes = labelled.groupBy("label").agg(F.count("*").alias("size"))
         met = _prefix_pairs(labelled.join(sizes, "label").join(sets, "node"), idf)
         more = common.written(_plausible(met, nodes).join(likely, ["a", "b"], "left_anti"), "pairs")
-        links = common.written(links.unionByName(_verified(more, sets, idf)).dropDuplicates(["a", "b"]), "links")
-    return rows, links, sets, idf
+        new = _verified(more, sets, idf).dropDuplicates(["a", "b"])
+        # What is linked already is one node now: only its label goes on.
+        between = new.select("a", "b").join(labelled.toDF("a", "la"), "a").join(labelled.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        further = common.written(components(between), "labels").toDF("label", "further")
+        known = labels.unionByName(labelled).distinct()
+        labels = common.written(known.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+    return rows, labels, sets, idf
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Shingle sets of the nodes' texts, as a table.
+def _sets_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Shingle sets of the wanted nodes' texts, as a table.
 
-    The texts are dealt out but not sorted: the hash table of the join holds ids alone.
+    The texts don't move where the wanted ids can be broadcast; else they are dealt out but
+    not sorted (the hash table of the join holds ids alone). Texts without doc_id are found by
+    their key.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return common.written(_sets(texts.join(nodes.distinct().hint("shuffle_hash"), "node", "left_semi")), "sets")
+    wanted = common.written(wanted.distinct(), "wanted")
+    text = F.col("text").cast("string").alias("text")
+    of = lambda ids: ids.hint("broadcast" if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else "shuffle_hash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text).join(of(wanted.where(F.col("node") < UNNAMED)), "node", "left_semi")
+    unnamed = wanted.where(F.col("node") >= UNNAMED)
+    if not unnamed.isEmpty():
+        keys = of(common.written(nodes.select("node", "key").join(unnamed, "node", "left_semi"), "unnamed"))
+        others = docs.where("doc_id IS NULL").select(_text_key().alias("key"), text).join(keys, "key").select("node", "text").dropDuplicates(["node"])
+        texts = texts.unionByName(others)
+    return common.written(_sets(texts), "sets")
 
 
 # ---------------------------------------------------------------- prefix filtering
@@ -515,21 +538,21 @@ def link_counts(labels: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFram
 def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
     """(doc_id, key, node and class_id of every row; node and label of the linked texts; the
     shingle sets of these and others; the weights)."""
-    rows, links, sets, idf = link(docs)
-    labels = common.written(components(links), "labels")
+    rows, labels, sets, idf = link(docs)
     rows = rows.join(labels, "node", "left").select("doc_id", "key", "node", F.coalesce("label", "node").alias("class_id"))
     return common.written(rows, "rows"), labels, sets, idf
 
 
 def classes(docs: DataFrame, count_links: bool = False) -> DataFrame:
-    """doc_id, class_id (the class's least doc_id), n_copies (rows of the same text) and key
+    """doc_id, class_id (the class's least doc_id, see below), n_copies (rows of the same text) and key
     (the text's SHA-256), a row per row of docs; with count_links also n_links, the other
     texts that its text is linked with, of all of its class.
 
     Equal texts are in one class, null as the empty text. Texts without a word are alike
-    only if equal. A null doc_id belongs to the class of its text if that has another
-    doc_id, else its class is null. Rows of one doc_id are taken as one document. An empty
-    table gives no rows; columns beside doc_id and text are ignored.
+    only if equal. Rows without doc_id are compared and linked as any others; a class of
+    such rows alone has as class_id a number from 2^62 on that its texts' hashes decide
+    (doc_ids are below that). Rows of one doc_id are taken as one document. An empty table
+    gives no rows; columns beside doc_id and text are ignored.
 
     Counting links compares all pairs of a class, in blocks, so its time grows with the
     square of the largest class; forming the classes doesn't.
@@ -544,17 +567,21 @@ def classes(docs: DataFrame, count_links: bool = False) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are their class's least doc_id, with all their columns.
+    """The documents that are their class's least doc_id, with all their columns, whatever
+    their names; of a class without any doc_id one text stays.
 
-    Of rows with equal doc_id and text one stays. Rows without doc_id stay, once per text,
-    if no row with a doc_id has their text.
+    Of rows with equal doc_id (or none) and text one stays: that whose other columns hash
+    least, of those the one that comes first.
     """
     found, *_ = _classed(docs)
-    stay = common.written(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "key").distinct(), "kept")
-    stay = stay.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"))
-    one = docs.withColumn("__own", _text_key())
-    one = one.join(stay, one["doc_id"].cast("long").eqNullSafe(stay["__doc_id"]) & (one["__own"] == stay["__key"]), "left_semi")
-    return (one.dropDuplicates(["doc_id", "__own"]) if _repeats(docs) else one).drop("__own")
+    named, unnamed = F.col("doc_id") == F.col("class_id"), F.col("doc_id").isNull() & (F.col("class_id") >= UNNAMED) & (F.col("node") == F.col("class_id"))
+    stay = common.written(found.where(named | unnamed).select("doc_id", "key").distinct(), "kept")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), _text_key().alias("text_key"))
+    one = rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]) & (rows["text_key"] == stay["key"]), "left_semi")
+    if _repeats(docs):
+        others = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name != "text" and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        one = one.groupBy("id", "text_key").agg(F.min_by("row", F.xxhash64(*others)).alias("row"))
+    return one.select("row.*")
 
 
 def _repeats(docs: DataFrame) -> bool:

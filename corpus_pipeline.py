@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. ``run`` writes each stage's result as Parquet in the shared folder
-and reads it again as the next one's documents. Scratch tables of a stage are deleted when
-the next one begins, for its result has been written by then.
+and reads it again as the next one's documents. A stage's own scratch tables are deleted as
+soon as its result is written; what else the application has written stays.
 """
 
 from __future__ import annotations
@@ -29,25 +29,21 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: the least doc_id of each class stays."""
-    common.purge(spark)
     return near_dup.keep_one(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents in which a test item stands go."""
-    common.purge(spark)
     return decontaminate.clean(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: documents as often as the mixture takes them."""
-    common.purge(spark)
     return mixing.mixed(docs)
 
 
 def binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID / binary output: doc_id, start, n_tokens and ids_crc32, read back."""
-    common.purge(spark)
     return token_output.encode_documents(docs)
 
 
@@ -61,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written and read again before the next."""
     docs = common.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.kept(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        with common.own_scratch(spark) as scratch:
+            docs = common.kept(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        common.purge(scratch)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -81,3 +81,44 @@ def test_recall_of_both_rules(spark):
     for total, caught, alone, alone_caught in report.values():
         assert total >= 50 and alone >= 20 and caught >= 0.95 * total and alone_caught >= 0.95 * alone
     assert other <= 0.01 * rows
+
+
+def classes_by_row(spark, rows, monkeypatch=None):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __own string, doc_id_copy long, node long, key string, label int")
+    return docs, near_dup.keep_one(docs)
+
+
+def test_near_copies_without_doc_id_are_linked(spark):
+    """Against brute force: rows with and without ids, all of whose texts are compared."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    groups = [[word() for _ in range(60)] for _ in range(6)]
+    rows = []
+    for g, base in enumerate(groups):
+        for k in range(25 if g == 0 else 3):  # the first group fills whole buckets
+            text = " ".join([*base, *(word() for _ in range(k % 3))]) if k else " ".join(base)
+            doc_id = None if g % 2 == 0 or k == 1 else 100 * g + k
+            rows += [(doc_id, text, f"own{g}", 1, 2, "k", 3)] * (2 if k == 2 else 1)
+    docs, kept = classes_by_row(spark, rows)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r["__own"] for r in got) == [f"own{g}" for g in range(6)]
+    for r in got:
+        g = int(r["__own"][3:])
+        assert r.doc_id == (None if g % 2 == 0 else 100 * g) and (r.doc_id_copy, r.node, r.key, r.label) == (1, 2, "k", 3)
+    found = near_dup.classes(docs).collect()
+    assert len(found) == len(rows) and all(r.class_id is not None for r in found)
+    by_class = {}
+    for r in found:
+        by_class.setdefault(r.class_id, []).append(r)
+    assert sorted(map(len, by_class.values())) == sorted(sum(1 for x in rows if x[2] == f"own{g}") for g in range(6))
+    assert sum(c >= near_dup.UNNAMED for c in by_class) == 3
+
+
+def test_contraction_of_long_ways(spark):
+    rng = random.Random(5)
+    names = rng.sample(range(10_000), 400)
+    edges = [(a, b) for a, b in zip(names[:300], names[1:300])] + [(names[300], x) for x in names[301:360]] + [(names[360], names[361])]
+    want = {**dict.fromkeys(names[:300], min(names[:300])), **dict.fromkeys(names[300:360], min(names[300:360])), **dict.fromkeys(names[360:362], min(names[360:362]))}
+    assert dict(map(tuple, near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
+    assert near_dup.components(spark.createDataFrame([], "a long, b long")).collect() == []
