@@ -11,7 +11,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from ..sources import files
 from ..sources.tables import scratch_dir
 
+#: Rows, and about the bytes, that Python code works on at a time.
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 23
 #: Bytes of text that the vectorised code works on at a time (one longer text is taken alone).
 BLOCK_BYTES = 1 << 18
 
@@ -98,13 +100,32 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Before Python runs on executors: ship the code, and bound the Arrow batches by rows,
-    for texts can be long; a session's own choice stays."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about BATCH_BYTES and of BATCH_ROWS at most (a longer row is
+    taken alone): what Python makes of one at a time. The session's own bounds (10,000 rows
+    and 64 MiB, unless set) say how much comes from Spark at once."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows + 1, np.int64)
+        for column in batch.columns:
+            size[1:] += _row_bytes(column)
+        size, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(size, size[at] + BATCH_BYTES, "right")) - 1)
+            stop = min(stop, at + BATCH_ROWS, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+        if not batch.num_rows:
+            yield batch
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray | int:
+    kind = column.type
+    if pa.types.is_list(kind):
+        return np.diff(np.asarray(column.offsets)) * 8
+    wide = pa.types.is_large_string(kind) or pa.types.is_large_binary(kind)
+    if not (wide or pa.types.is_string(kind) or pa.types.is_binary(kind)) or not len(column):
+        return 8
+    return np.diff(np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -101,7 +101,7 @@ def dealt(x: DataFrame, shape: Shape, centroids: np.ndarray) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(len(centroids), np.int64)
-        for batch in batches:
+        for batch in common.bounded(batches):
             m = vectors.matrix(batch.column(2), dim)
             own = nearest(m.astype(np.float64), centroids)[0]
             nth = np.empty(len(own), np.int64)
@@ -120,7 +120,7 @@ def dealt(x: DataFrame, shape: Shape, centroids: np.ndarray) -> DataFrame:
 def _runs(batches: Iterator[pa.RecordBatch], size: int, by_list: bool, dim: int, dtype: np.dtype) -> Iterator[tuple]:
     """Of rows that come list by list: (list, ids, labels, matrix) of up to ``size`` rows."""
     left = None
-    for batch in batches:
+    for batch in common.bounded(batches):
         part = (batch.column(3).to_numpy(), batch.column(0).to_numpy(), batch.column(1).to_numpy(), _rows(batch.column(2), dim, dtype))
         left = part if left is None else tuple(np.concatenate(p) for p in zip(left, part))
         at, n = 0, len(left[0])
@@ -301,7 +301,7 @@ def _search(blocks: DataFrame, segments: tuple[int, int, int], asked: DataFrame,
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = Segment(shape, centroids)
-        for batch in batches:
+        for batch in common.bounded(batches):
             for r in batch.to_pylist():
                 if not r["kind"]:
                     segment.hold(r["list"], r["radius"], r["ids"], r["labels"], r["vectors"])
@@ -373,7 +373,7 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 10, low: Fraction
     """
     spark = rows.sparkSession
     result = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
-    common.small_batches(spark)
+    common.ship(spark)
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "x", F.coalesce("anchor", F.lit(False)).alias("anchor"))
     found = rows.agg(F.count("*").alias("n"), F.count_if("anchor").alias("anchors"), F.max(F.size("x")).alias("dim"), F.max(F.array_max(F.transform("x", F.abs))).alias("most")).first()
     if not found["anchors"]:
@@ -388,7 +388,7 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 10, low: Fraction
     segments = max(-(-shape.rows // SEGMENT_ROWS), min(FEW_SEGMENTS, -(-shape.rows // FEW_ROWS)))
 
     def everything(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             n = [len(v.as_py()) for v in batch.column("ids")]
             full = lambda v: pa.array([np.full(k // 8, v, np.int64).tobytes() for k in n], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, full(_LEAST), full(_GREATEST), full(_LEAST)], [*batch.schema.names, "low", "high", "floor"])

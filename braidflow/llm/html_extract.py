@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import functools
 import html
+import json
 import math
+import pkgutil
 import random
 import re
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAINING_PAGES = 360
+TRAINING_PAGES = 600
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +56,13 @@ WORDS = frozenset(
 _TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^\s"'>])[^\s>]++)?+)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -     　]+")
+_SPACE = re.compile(r"\s+")  # all of Unicode's white space
+# How a line that claims the rights says so.
+_RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b\W{0,4}(?:\(c\)|by\b|\d{4})|\ball rights reserved\b", re.I)
+
+
+#: Texts of this length and more claim no rights: they write about them.
+RIGHTS_LENGTH = 200
 
 
 @dataclass
@@ -68,8 +76,14 @@ class Node:
     linked: int = 0
     stops: int = 0
     used: bool = False
-    #: The part of the page's text outside links that stands at or below the node.
+    #: The part of the page's text outside links and claims that stands at or below the node.
     share: float = 0.0
+    #: Whether a text of its own claims rights; all text at or below it, and that in links.
+    rights: bool = False
+    below: int = 0
+    below_linked: int = 0
+    #: Where it stands to the core, the innermost part with half of the page's own text.
+    place: str = ""
 
 
 @dataclass
@@ -161,12 +175,13 @@ def parse(source: str) -> Page:
 
     def flush() -> None:
         nonlocal linked
-        text = _SPACE.sub(" ", "".join(pending)).strip(" ")
+        text = _SPACE.sub(" ", "".join(pending)).strip()
         if text:
             node = page.nodes[stack[-1][1]]
             node.size += len(text)
             node.linked += min(linked, len(text))
             node.stops += sum(text.count(c) for c in ".,;?!")
+            node.rights = node.rights or len(text) < RIGHTS_LENGTH and bool(_RIGHTS.search(text))
             page.blocks.append((stack[-1][1], text))
         pending.clear()
         linked = 0
@@ -274,16 +289,39 @@ def parse(source: str) -> Page:
         while k >= 0 and not page.nodes[k].used:
             page.nodes[k].used = True
             k = page.nodes[k].parent
-    total = sum(x.size - x.linked for x in page.nodes) or 1
+    own = lambda x: 0 if x.rights else x.size - x.linked
+    total = sum(map(own, page.nodes)) or 1
     for x in reversed(page.nodes):  # a child always comes after its parent
-        x.share += (x.size - x.linked) / total
+        x.share += own(x) / total
+        x.below, x.below_linked = x.below + x.size, x.below_linked + x.linked
         if x.parent >= 0:
-            page.nodes[x.parent].share += x.share
+            up = page.nodes[x.parent]
+            up.share, up.below, up.below_linked = up.share + x.share, up.below + x.below, up.below_linked + x.below_linked
+    _place(page)
     page.names = [_features(x) if x.used else [] for x in page.nodes]
     page.kinds = [_edge(page, k) if x.used else "" for k, x in enumerate(page.nodes)]
     return page
 
 
+PARTS = frozenset("html body main article section div center td".split())
+
+
+def _place(page: Page) -> None:
+    """Each node's place: up (around the core), core, in (it), before or after.
+
+    The core is a part of the page, not a paragraph, however long that is."""
+    nodes = page.nodes
+    core = max((k for k, x in enumerate(nodes) if x.share >= 0.5 and x.tag in PARTS), default=0)  # of nested ones the innermost comes last
+    around = set()
+    k = nodes[core].parent
+    while k >= 0:
+        around.add(k)
+        k = nodes[k].parent
+    for k, x in enumerate(nodes):  # a node's own part of the tree follows it without a gap
+        inside = x.parent >= 0 and nodes[x.parent].place in ("core", "in")
+        x.place = "core" if k == core else "up" if k in around else "in" if inside else "before" if k < core else "after"
+
+
 # ---------------------------------------------------------------- the model
 
 
@@ -293,6 +331,11 @@ def _features(node: Node) -> list[str]:
         out += [f"size={min(int(math.log2(node.size)), 9) // 2}", f"links={round(2 * node.linked / node.size)}", f"stops={min(node.stops, 2)}"]
     else:
         out.append("size=none")
+    out.append(f"place={node.place}")
+    if node.below:
+        out.append(f"{node.place} links={round(4 * node.below_linked / node.below)}")
+    if node.rights:
+        out += ["rights", f"rights {node.place}"]
     return out
 
 
@@ -432,11 +475,16 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
     def link(a: int = 1, b: int = 3) -> str:
         return f'<a href="/{rng.randint(1, 99)}">{words(a, b)}</a>'
 
+    plain = False  # of a plain page no name and no tag says what a part is
+
     def attribute(*names: str) -> str:
-        name = rng.choice(names)
+        name = "" if plain else rng.choice(names)
         return f' {rng.choice(("class", "id", "class"))}="{name}"' if name else ""
 
     def part(tag: str, inner: str, *names: str, gold: int = 0) -> str:
+        names = names or ("",)
+        if plain and tag not in ("ul", "ol"):
+            tag = "div"
         return f'<{tag}{attribute(*names)} data-gold="{gold}">{inner}</{tag}>'
 
     def heading() -> str:
@@ -478,6 +526,28 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
     def bare_footer() -> str:
         return f'<footer data-gold="0">&copy; {words(1, 3)} &middot; {sentences(1, 3)}</footer>'
 
+    def links(k: int) -> str:
+        """Links side by side, as menus and footers without names have them."""
+        return rng.choice((" ", " | ", " &middot; ", "<br>", "\n")).join(link(1, 2) for _ in range(k))
+
+    def rights() -> str:
+        year = rng.randint(1995, 2030)
+        return rng.choice((f"&copy; {year} {words(1, 3)}", f"Copyright {year} {words(1, 3)}", f"Copyright &copy; {year}, {words(1, 3)}. All rights reserved.", f"(c) {year} {words(1, 2)}", f"Copyright {year}", f"Copyright by {words(1, 3)}", f"{words(1, 4)}. Copyright {year}"))
+
+    def plain_menu() -> str:
+        return part("div", rng.choice((links(rng.randint(2, 7)), listing(rng.randint(2, 8)), f"<p>{links(rng.randint(2, 6))}</p>")), "")
+
+    def plain_footer() -> str:
+        return part("div", rng.choice((rights(), f"<p>{rights()}</p>", f"{rights()} {links(2)}", f"<p>{links(3)}</p><p>{rights()}</p>", links(4), f"<small>{rights()}</small>")), "")
+
+    def plain_related() -> str:
+        return part("div", heading() + listing(rng.randint(3, 7)), "")
+
+    def filed() -> str:
+        """What follows a text inside its article: where it is filed, and its links."""
+        inner = rng.choice((f"{words(1, 2)} {link()}", f"{words(1, 3)}: {links(2)}", f"<p>{words(2, 5)}</p>", f"{words(2, 4)}"))
+        return f'<footer{attribute("", "", "meta", "entry-footer", "post-footer")} data-gold="0">{inner}</footer>'
+
     def paragraphs(k: int) -> str:
         out = []
         for _ in range(k):
@@ -505,12 +575,15 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
+        plain = rng.random() < 0.25
         body = f"<h1>{words(2, 9)}</h1>" + paragraphs(rng.randint(1, 9) if rng.random() < 0.75 else rng.randint(10, 30))
-        inside = [x() for x in (advert, sidebar, comments, notice, form) if rng.random() < 0.12]
+        inside = [] if plain else [x() for x in (advert, sidebar, comments, notice, form) if rng.random() < 0.12]
         if inside:
             cut = body.rfind("</p>") + 4 if "</p>" in body else len(body)
             body = body[:cut] + "".join(inside) + body[cut:]
-        tag = rng.choice(("article", "article", "article", "main", "div", "section"))
+        tag = "div" if plain and rng.random() < 0.8 else rng.choice(("article", "article", "article", "main", "div", "section"))
+        if tag == "article" and rng.random() < 0.15:
+            body += filed()
         names = ("", "", "content", "post", "entry-content", "story") if tag in ("article", "main") else ("content", "article-body", "post", "entry", "main", "story")
         inner = ("content", "post-body", "entry-content", "article-text", "story-body", "main-content", "text", "")
         if rng.random() < 0.35:  # the text in a part of the part
@@ -518,9 +591,19 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
             body = body[:cut] + part(rng.choice(("div", "div", "section")), body[cut:], *inner, gold=1)
         core = part(tag, body, *names, gold=1)
         if rng.random() < 0.4:
-            core = f'<div{attribute("wrapper", "container", "", "page")}>' + "".join(x() for x in (menu, sidebar) if rng.random() < 0.4) + core + "".join(x() for x in (sidebar, advert) if rng.random() < 0.4) + "</div>"
+            core = f'<div{attribute("wrapper", "container", "", "page")}>' + "".join(x() for x in ((plain_menu, plain_related) if plain else (menu, sidebar)) if rng.random() < 0.4) + core + "".join(x() for x in ((plain_related,) if plain else (sidebar, advert)) if rng.random() < 0.4) + "</div>"
         before = "".join(x() for x in (notice, header, menu, advert, form) if rng.random() < 0.45)
         after = "".join(x() for x in (comments, sidebar, advert, form, notice) if rng.random() < 0.3) + (rng.choice((footer, bare_footer))() if rng.random() < 0.9 else "")
+        if plain:
+            if rng.random() < 0.2:  # hardly a text at all
+                core = part("div", rng.choice((words(1, 6), words(1, 1).lower(), f"<p>{words(1, 4)}</p>")), gold=1)
+            before = "".join(x() for x in (plain_menu, plain_related) if rng.random() < 0.5)
+            after = "".join(x() for x in (plain_related, plain_footer) if rng.random() < 0.6)
+            if rng.random() < 0.3:
+                core = f"<div>{before}{core}{after}</div>"
+                before = after = ""
+        if rng.random() < 0.2:  # what holds it says nothing
+            core = f"<{(outer := rng.choice(('section', 'main', 'div', 'center', 'div')))}>{core}</{outer}>"
         bare = rng.random() < 0.35
         if bare:  # an article and nothing else
             before = after = ""
@@ -532,8 +615,20 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[str]:
 
 @functools.cache
 def default_model() -> Model:
-    """The model of the training pages, fitted once per process; always the same."""
-    return fit(training_pages())
+    """The model of the training pages, as ``fit`` gives it; read from the file beside this
+    module, which ``save`` has written."""
+    stored = json.loads(pkgutil.get_data(__package__, "html_model.json"))
+    return Model(stored["unary"], stored["edge"])
+
+
+def save(model: Model, path: str) -> None:
+    """Write a model's weights; after a change of features or training pages:
+    ``python -c "from braidflow.llm import html_extract as h; h.save(h.fit(h.training_pages()), 'braidflow/llm/html_model.json')"``
+    """
+    rounded = {"unary": {f: round(w, 5) for f, w in sorted(model.unary.items())}, "edge": {k: [[round(w, 5) for w in row] for row in e] for k, e in sorted(model.edge.items())}}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(rounded, f, indent=1)
+        f.write("\n")
 
 
 # ---------------------------------------------------------------- on Spark
@@ -548,11 +643,11 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     is exactly a half is content.
     """
     spark = pages.sparkSession
-    common.small_batches(spark)
+    common.ship(spark)
     shared = spark.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             out = [main_text(shared.value, x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -160,7 +160,7 @@ def fit(docs: DataFrame, is_training: Column, sample_docs: int = SAMPLE_DOCS) ->
     About ``sample_docs`` rows over all languages (5 of each at least, twice that in all at
     most), those of the least hashes of doc_id and text.
     """
-    common.small_batches(docs.sparkSession)
+    common.ship(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(is_training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, is_training: Column, sample_docs: int = SAMPLE_DOCS) ->
     picked = rows.withColumn("rank", F.xxhash64("doc_id", "text", F.lit(29))).where(F.pmod("rank", F.lit(1_000_003)) / 1_000_003 < F.coalesce(share[F.col("lang")], F.lit(0.0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             texts, langs, ranks = common.texts(batch.column("text")), batch.column("lang"), batch.column("rank")
             for at in range(0, len(texts), ROWS):
                 c, letters = ngram_counts(texts[at : at + ROWS])
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_too: bool = Fal
     """
     spark = docs.sparkSession
     keep = [c for c in keep if c.lower() not in ("lang_pred", "lang_score", "lang_cosine", "lang_rejected", "__text")]
-    common.small_batches(spark)
+    common.ship(spark)
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(*keep) if text_too else docs.select(*keep, F.col("text").cast("string").alias("__text"))
     name_of_text = "text" if text_too else "__text"
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_too: bool = Fal
         schema = schema.add(name, kind)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             texts = common.texts(batch.column(name_of_text))
             out: tuple[list, ...] = ([], [], [], [])
             at = 0

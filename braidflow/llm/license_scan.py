@@ -27,47 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, license_texts
 
-MIN_MATCH = 3
+MIN_MATCH = 2
 MAX_GAP = 6
 MIN_COVERAGE = 0.6
 
 # Phrases that the scan's contract names, and their labels.
 BASE_PHRASES = {"mit": "the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
-# Notices by which works state their licence, and their labels.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by", "creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
-    ("bsd", "released under the bsd license"),
-    ("bsd", "licensed under the bsd 3 clause license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("proprietary", "all rights reserved"),
-]
+#: Notices, SPDX lines and whole texts.
+TEMPLATES = license_texts.templates()
 #: Said beside licences too, so the label only of texts that name no licence.
 LAST_RESORT = frozenset({"proprietary"})
 
@@ -267,7 +237,7 @@ def scan_block(scanner: Scanner, data: np.ndarray, off: np.ndarray) -> Iterator[
     cut = cut[(cut > 0) & (cut < len(hit))]
     cut = cut[hit[np.minimum(cut, max(len(hit) - 1, 0))] & hit[np.maximum(cut - 1, 0)]] if len(hit) else cut
     starts, stops = np.unique(np.concatenate((starts, cut))), np.unique(np.concatenate((stops, cut)))
-    long = stops - starts >= 3
+    long = stops - starts >= MIN_MATCH
     starts, stops = starts[long], stops[long]
     rows = np.searchsorted(first, starts, "right") - 1
     runs: dict[int, list] = {}
@@ -281,19 +251,19 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """Per document: doc_id, n_words, base_places, base_labels, labels, score and spans
     (first word, word after the last, label, coverage).
 
-    Words are runs of digits, letters and any non-ASCII characters, A-Z as a-z. score: the
+    Words are runs of digits, letters and any non-ASCII characters, A-Z as a-z. Columns other
+    than doc_id and text are ignored, also those named as the result's are. score: the
     greatest coverage of any template. Null and empty texts have no words, no labels and
     score 0. Labels of chains over one
     span that cover as much, of the text and of their templates, all count. Repeated rows stay one
-    by one; other columns are ignored; an empty table gives no rows. Texts of any length
-    take time in proportion. One narrow pass; nothing is shuffled.
+    by one; an empty table gives no rows. Texts of any length take time in proportion. One narrow pass; nothing is shuffled.
     """
-    common.small_batches(docs.sparkSession)
+    common.ship(docs.sparkSession)
     scanner = Scanner(templates, phrases)
     kind = pa.struct([("first", pa.int64()), ("stop", pa.int64()), ("label", pa.string()), ("coverage", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             found = [x for _, data, off in common.blocks(batch.column("text")) for x in scan_block(scanner, data, off)]
             results = [r for _, r in found]
             yield pa.RecordBatch.from_arrays(

@@ -40,6 +40,7 @@ class Marks:
         self.blob = blob
         self.found: dict[bytes, tuple[int, int]] = {}
         self.streams: dict[int, int | None] = {}
+        self.endless: set[int] = set()  # Ogg pages whose run has no last page
 
     def next(self, mark: bytes, at: int) -> int:
         """The first place from ``at`` on, -1 if there is none."""
@@ -187,12 +188,16 @@ def _pdf(b: bytes, at: int, marks: Marks) -> int | None:
 
 
 def _ogg(b: bytes, at: int, marks: Marks) -> int | None:
-    place, last = at, False
-    while not last and place + 27 <= len(b) and b[place : place + 5] == b"OggS\0":
+    place, last, pages = at, False, []
+    while not last and place not in marks.endless and place + 27 <= len(b) and b[place : place + 5] == b"OggS\0":
+        pages.append(place)
         n = b[place + 26]
         last = bool(b[place + 5] & 4)
         place += 27 + n + sum(b[place + 27 : place + 27 + n])
-    return place - at if last and place <= len(b) else None
+    if last and place <= len(b):
+        return place - at
+    marks.endless.update(pages)  # a run is the same from each of its pages on
+    return None
 
 
 def _flac(b: bytes, at: int, marks: Marks) -> int | None:
@@ -310,10 +315,10 @@ def features(samples: bytes, true: str | None, carved: list[tuple[int, int, str]
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (the stored form) of each whole text; null as empty."""
-    common.small_batches(docs.sparkSession)
+    common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 raw = common.utf8_texts(part.column("text"))
@@ -324,10 +329,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def inspect(stored: DataFrame) -> DataFrame:
     """Sniff, read back and describe each stored blob."""
-    common.small_batches(stored.sparkSession)
+    common.ship(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for cell in batch.column("media"):
                 blob = cell.as_py()
@@ -359,7 +364,7 @@ def describe_blobs(blobs: DataFrame, blob: str = "blob", declared: str | None =
     A null blob has no type and embeds nothing. Rows stay one by one; a column of a new
     column's name is replaced; an empty table gives no rows.
     """
-    common.small_batches(blobs.sparkSession)
+    common.ship(blobs.sparkSession)
     blobs = blobs.drop(*(c for c in blobs.columns if c.lower() in ("true_type", "fixed_type", "carved") and c != blob))
     keep = blobs.columns
     part = T.StructType().add("start", "long").add("length", "long").add("type", "string")
@@ -367,7 +372,7 @@ def describe_blobs(blobs: DataFrame, blob: str = "blob", declared: str | None =
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             found = [sniff(x or b"") for x in batch.column(blob).to_pylist()]
             said = batch.column(declared).to_pylist() if declared else [None] * len(found)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in found], pa.string()), pa.array([corrected(d, t) for d, (t, _) in zip(said, found)]), pa.array([[dict(zip(("start", "length", "type"), c)) for c in cs] for _, cs in found], kind)], [*keep, "true_type", "fixed_type", "carved"])

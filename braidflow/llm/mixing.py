@@ -9,8 +9,8 @@ epoch, that fits.
 
 The families above the leaves (at most MAX_FAMILIES, checked) are the only thing on the
 driver; leaves, of any number, get theirs by windows over their family. The cut of a prefix
-is found by narrowing a range of the seeded hash: sums over 64 cells of a leaf, then over
-64 cells of the one in which the budget ends, and at last the documents of one cell of
+is found by narrowing a range of the seeded hash: sums over 512 cells of a leaf, then over
+512 cells of the one in which the budget ends, and at last the documents of one cell of
 2^18; no leaf is ever sorted as a whole. All of it is DataFrame operations.
 """
 
@@ -29,7 +29,7 @@ MAX_FAMILIES = 200_000
 #: A plan of as many leaves is broadcast; a longer one meets the documents in a shuffle.
 BROADCAST_LEAVES = 200_000
 #: Ranges of hashes are cut into 2^CELL_BITS so many times on the way to a leaf's cut.
-CELL_BITS, CELL_STEPS = 6, 3
+CELL_BITS, CELL_STEPS = 9, 2
 SEED = 7
 #: The budget as a part of all tokens.
 SHARE = 1.0
@@ -105,24 +105,29 @@ def budgets(leaves: list[Leaf], total: float, weights: dict[str, dict[str, float
 def _leaf_budgets(leaves: DataFrame, budgeted: DataFrame, keys: list[str], weights: dict[str, float] | None, epochs: int) -> DataFrame:
     """The leaves with their budgets out of their families': ``fill`` as windows.
 
-    With leaves in order of capacity by weight, those are full up to which the budget
-    covers the full ones and what all others get at the same level; the rest share what is
-    left by weight. A family is dealt out by its key, its leaves being names, not documents.
+    With leaves in order of capacity by weight (their level), those are full up to which the
+    budget covers the full ones and what all others get at the same level; the rest share
+    what is left by weight. Leaves of one level are summed first, so a window sees a
+    family's distinct levels, however many leaves it has; what it finds, a row per family
+    (MAX_FAMILIES at most), goes back to them.
     """
     if weights is None:
         weight = F.lit(1.0)
     else:
         listed = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair]) if weights else None
         weight = F.coalesce(listed[F.col(keys[-1])], F.lit(UNLISTED)) if listed is not None else F.lit(UNLISTED)
-    family = Window.partitionBy(*keys[:-1])
-    up_to = family.orderBy("level", keys[-1]).rowsBetween(Window.unboundedPreceding, 0)
-    rows = leaves.join(F.broadcast(budgeted), keys[:-1]).withColumn("w", weight).withColumn("cap", F.lit(float(epochs)) * F.col("tokens"))
+    up = keys[:-1]
+    rows = leaves.join(F.broadcast(budgeted), up).withColumn("w", weight).withColumn("cap", F.lit(float(epochs)) * F.col("tokens"))
     open_ = rows.where("w > 0").withColumn("level", F.col("cap") / F.col("w"))
-    open_ = open_.select("*", F.sum("cap").over(up_to).alias("caps"), F.sum("w").over(up_to).alias("ws"), F.sum("w").over(family).alias("all_w"))
-    open_ = open_.withColumn("full", F.col("family_budget") >= F.col("caps") + F.col("level") * (F.col("all_w") - F.col("ws")) - 1e-9)
-    full = lambda c: F.coalesce(F.sum(F.when(F.col("full"), F.col(c))).over(family), F.lit(0.0))
-    share = (F.col("family_budget") - full("cap")) / (F.col("all_w") - full("w")) * F.col("w")
-    dealt = open_.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(F.greatest(share, F.lit(0.0)))).select(*keys, "tokens", "budget")
+    levels = open_.groupBy(*up, "family_budget", "level").agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"))
+    family = Window.partitionBy(*up)
+    up_to = family.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    levels = levels.select("*", F.sum("cap").over(up_to).alias("caps"), F.sum("w").over(up_to).alias("ws"), F.sum("w").over(family).alias("all_w"))
+    full = F.col("family_budget") >= F.col("caps") + F.col("level") * (F.col("all_w") - F.col("ws")) - 1e-9
+    edges = levels.groupBy(*up).agg(F.max(F.when(full, F.col("level"))).alias("edge"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("full_cap"), F.coalesce(F.sum(F.when(full, F.col("w"))), F.lit(0.0)).alias("full_w"), F.max("all_w").alias("all_w"))
+    met = open_.join(F.broadcast(edges), up)
+    share = (F.col("family_budget") - F.col("full_cap")) / (F.col("all_w") - F.col("full_w")) * F.col("w")
+    dealt = met.withColumn("budget", F.when(F.col("level") <= F.col("edge"), F.col("cap")).otherwise(F.greatest(share, F.lit(0.0)))).select(*keys, "tokens", "budget")
     return dealt.unionByName(rows.where("w <= 0").select(*keys, "tokens", F.lit(0.0).alias("budget")))
 
 
@@ -163,16 +168,17 @@ def plan(rows: DataFrame, share: float = SHARE, weights: dict[str, dict[str, flo
     whole = F.floor((F.col("budget") + 1e-6) / F.col("tokens")).cast("int")
     tree = dealt.withColumn("whole", whole).withColumn("rest", F.floor(F.col("budget") + 1e-6 - F.col("whole") * F.col("tokens")).cast("long"))
     tree = common.written(tree, "mix-tree")
-    hashed = rows.join(_beside(tree.where("rest > 0")), keys).select(*keys, "rest", "n_tokens", _order(F.col("whole")).alias("h"))
+    beside = F.broadcast if _few(tree) else lambda by_leaf: by_leaf  # of a row per leaf at most
+    hashed = rows.join(beside(tree.where("rest > 0")), keys).select(*keys, "rest", "n_tokens", _order(F.col("whole")).alias("h"))
     by_leaf, edge = Window.partitionBy(*keys), None
     for bits in range(CELL_BITS, CELL_BITS * CELL_STEPS + 1, CELL_BITS):
         cell = F.shiftright("h", 64 - bits).alias("cell")
-        inside = hashed.withColumn("before", F.lit(0).cast("long")) if edge is None else _inside(hashed, edge, keys, bits - CELL_BITS)
+        inside = hashed.withColumn("before", F.lit(0).cast("long")) if edge is None else _inside(hashed, beside(edge), keys, bits - CELL_BITS)
         cells = inside.groupBy(*keys, "rest", "before", cell).agg(F.sum("n_tokens").alias("n"))
         cells = cells.withColumn("up_to", F.col("before") + F.sum("n").over(by_leaf.orderBy("cell")))
         edge = cells.where("up_to > rest AND up_to - n <= rest").select(*keys, F.col("cell").alias("edge"), (F.col("up_to") - F.col("n")).alias("before"))
         edge = common.written(edge, "mix-edges")  # a row per leaf at most
-    inside = _inside(hashed, edge, keys, bits).groupBy(*keys, "rest", "before", "h").agg(F.sum("n_tokens").alias("n"))
+    inside = _inside(hashed, beside(edge), keys, bits).groupBy(*keys, "rest", "before", "h").agg(F.sum("n_tokens").alias("n"))
     reach = F.col("before") + F.sum("n").over(by_leaf.orderBy("h"))
     last = inside.withColumn("reach", reach).where("reach <= rest").groupBy(*keys).agg(F.max("h").alias("last"))
     floor = F.shiftleft(F.col("edge"), 64 - bits)  # the edge's own least hash
@@ -182,21 +188,21 @@ def plan(rows: DataFrame, share: float = SHARE, weights: dict[str, dict[str, flo
 
 def _inside(hashed: DataFrame, edge: DataFrame, keys: list[str], bits: int) -> DataFrame:
     """The rows of each leaf in its edge's range of hashes."""
-    return hashed.join(_beside(edge), keys).where(F.shiftright("h", 64 - bits) == F.col("edge")).drop("edge")
+    return hashed.join(edge, keys).where(F.shiftright("h", 64 - bits) == F.col("edge")).drop("edge")
 
 
-def _beside(by_leaf: DataFrame) -> DataFrame:
-    """A table of leaves for a join with documents: broadcast if it has BROADCAST_LEAVES rows
-    at most, so that the corpus isn't dealt out by leaf, of which one may hold a third of
-    it. Beyond, adaptive execution splits such a leaf."""
-    return F.broadcast(by_leaf) if by_leaf.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else by_leaf
+def _few(by_leaf: DataFrame) -> bool:
+    """Whether a table of leaves has BROADCAST_LEAVES rows at most: it is broadcast then to
+    meet documents, so that the corpus isn't dealt out by leaf, of which one may hold a third
+    of it. Beyond, adaptive execution splits such a leaf."""
+    return by_leaf.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
 
 
 def select(rows: DataFrame, planned: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """rows with copies: how often the mixture has the document (0: not at all)."""
     keys = [f"k{i}" for i in range(len(levels))]
     extra = (F.col("cut").isNotNull() & (_order(F.col("whole")) <= F.col("cut"))).cast("int")
-    return rows.join(_beside(planned), keys).withColumn("copies", F.col("whole") + extra)
+    return rows.join(F.broadcast(planned) if _few(planned) else planned, keys).withColumn("copies", F.col("whole") + extra)
 
 
 def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:

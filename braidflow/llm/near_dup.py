@@ -131,11 +131,11 @@ def text_shingles(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarra
 
 def idf_table(docs: DataFrame) -> np.ndarray:
     """The 2^BITS weights by shingle hash; counts over all documents, summed in slices."""
-    common.small_batches(docs.sparkSession)
+    common.ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int32), 0
-        for batch in batches:
+        for batch in common.bounded(batches):
             for _, data, off in common.blocks(batch.column("text")):
                 for keys, _ in text_shingles(data, off):
                     total += 0 if not len(keys) else np.bincount((keys >> _U(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.int32) if len(keys) > 1 << 17 else 0
@@ -149,7 +149,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         n = 0
-        for batch in batches:
+        for batch in common.bounded(batches):
             for k, rows, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 n += rows
                 if k >= 0:
@@ -187,7 +187,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[bytes, bytes]] = {}
-        for batch in batches:
+        for batch in common.bounded(batches):
             keys = batch.column("key").to_pylist()
             out: list[tuple[bytes, bytes]] = []
             for row, data, off in common.blocks(batch.column("text")):
@@ -212,7 +212,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
     """bucket and node: a row for each band of each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             h = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
             node = np.repeat(np.asarray(batch.column("node"), np.int64), 2 * BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node)], ["bucket", "node"])
@@ -229,7 +229,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(samples.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 2, SAMPLES) for c in ("sa", "sb"))
             good = pa.array((x == y).mean(axis=2).max(axis=1) >= LEAST_AGREEMENT)
             yield batch.select(["a", "b"]).filter(good)
@@ -255,7 +255,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """node and its packed shingle set, for rows of node and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             for row, data, off in common.blocks(batch.column("text")):
                 packed = []
                 for keys, times in text_shingles(data, off):
@@ -273,7 +273,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             both = [_similarity(np.frombuffer(x.as_py(), PACKED), np.frombuffer(y.as_py(), PACKED), shared.value) for x, y in zip(batch.column("sa"), batch.column("sb"))]
             good = pa.array([max(s) >= THRESHOLD for s in both], pa.bool_())
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([s for s, _ in both], pa.float64()), pa.array([s for _, s in both], pa.float64())], ["a", "b", "weighted", "plain"])
@@ -325,7 +325,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
     A node is the least doc_id of an equal text, or UNNAMED and more of one without doc_id.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.ship(spark)
     idf = idf_table(docs)
     signed = common.written(signatures(docs, idf), "samples")
     unnamed = F.lit(UNNAMED) + F.xxhash64("key").bitwiseAND(UNNAMED - 1)
@@ -426,7 +426,7 @@ def _prefix_pairs(sets: DataFrame, idf: np.ndarray) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 parts: list[tuple] = []

@@ -78,11 +78,11 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
     row (unique), doc_id, repository, owner, n_assign, n_access, n_hex, base_sha256, spans
     and found (array of candidates; their values only as SHA-256).
     """
-    common.small_batches(docs.sparkSession)
+    common.ship(docs.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.string()), ("bits", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             per = [candidates(t) for t in common.texts(batch.column("text"))]
             base = [[c for c in cs if c[0] in BASE] for cs in per]
             counts = [Counter(c[0] for c in cs) for cs in base]

@@ -172,11 +172,11 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 51
     shuffled.
     """
     path = vocabulary or default_vocabulary()
-    common.small_batches(docs.sparkSession)
+    common.ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path)
-        for batch in batches:
+        for batch in common.bounded(batches):
             column = batch.column(2)
             n = [of(t.as_py()) if t.is_valid else 0 for t in column]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -266,13 +266,13 @@ def read_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens and ids (zlib-free little-endian u16, or u32 for large vocabularies)."""
-    common.small_batches(docs.sparkSession)
+    common.ship(docs.sparkSession)
     wide = encoder(vocabulary).size > 1 << 16 or end_id >= 1 << 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         end = np.uint32(end_id)
-        for batch in batches:
+        for batch in common.bounded(batches):
             ids = [np.append(x, end) for x in enc.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in ids], pa.binary())],
@@ -291,7 +291,7 @@ def ranking(tokens: DataFrame, size: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in common.bounded(batches):
             for raw in batch.column("ids").to_pylist():
                 total += np.bincount(np.frombuffer(raw, width), minlength=size) if len(raw) > 4096 else 0
                 if len(raw) <= 4096:
@@ -334,7 +334,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = END_ID, segme
             seq, before, ids, counts, parts, held = seq + 1, before + held, [], [], [], 0
             return row
 
-        for batch in batches:
+        for batch in common.bounded(batches):
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 own = np.frombuffer(raw, width)
                 if ids and held + len(own) > segment_ids:
@@ -347,7 +347,10 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = END_ID, segme
             yield flush()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    # Documents of one doc_id, or of none, are dealt on by length, hash and place in the table.
+    placed = tokens.withColumn("hash", F.xxhash64("ids")).withColumn("place", F.monotonically_increasing_id())
+    by = ("doc_id", "n_tokens", "hash", "place")
+    ordered = placed.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("hash", "place")
     table = common.written(ordered.mapInArrow(build, "part int, seq int, n_docs long, n_ids long, before long, raw binary"), "segments")
     # One number per task goes to the driver and back: bounded by the number of partitions.
     sums = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
@@ -364,7 +367,7 @@ def read_back(segments: DataFrame, order: np.ndarray) -> DataFrame:
     shared = segments.sparkSession.sparkContext.broadcast(order.astype("<u4"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             for start, raw in zip(batch.column("start").to_pylist(), batch.column("raw")):
                 doc_ids, counts, ranks = read_segment(raw.as_py())
                 ids = shared.value[ranks]
@@ -397,7 +400,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     """Write every document's ids and read them back; see ``read_back``.
 
     Null text: no ids but the end id. Null doc_id: first, in the order of nulls. Equal
-    doc_ids: in order of length, then of their ids. Other columns are ignored. An empty
+    doc_ids: in order of length, then of a hash of their ids. Other columns are ignored. An empty
     table gives no rows.
     """
     segments, order = write_segments(docs, vocabulary or default_vocabulary())

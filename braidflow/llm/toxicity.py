@@ -162,11 +162,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, is_training: Column, each: int
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Choose features by how much oftener labelled documents have them, then fit."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.ship(spark)
     sample = common.written(_labelled(docs, labels, is_training, sample_docs), "toxic-sample")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             label = np.asarray(batch.column("label"), np.int64)
             for row, data, off in common.blocks(batch.column("text")):
                 b, parts = bags(data, off), []
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, sample_docs: in
     shared = spark.sparkContext.broadcast(model)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             for row, data, off in common.blocks(batch.column("text")):
                 b = bags(data, off)
                 found = [[] for _ in range(len(off) - 1)]
@@ -218,12 +218,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     no rows. A text of any length is scored whole, in time in proportion.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             for row, data, off in common.blocks(batch.column("text")):
                 b = bags(data, off)
                 p = shared.value.sentence_scores(b)

@@ -74,11 +74,11 @@ def covariance(x: DataFrame, n: int, sums: list[int], most: int) -> np.ndarray:
     dim = len(sums)
     centre = np.array([(2 * s + n) // (2 * n) for s in sums], np.int64)
     bound = most + int(np.abs(centre).max(initial=0))
-    common.small_batches(x.sparkSession)
+    common.ship(x.sparkSession)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = vectors.Gram(dim, bound)
-        for batch in batches:
+        for batch in common.bounded(batches):
             gram.add(vectors.matrix(batch.column(0), dim, SHIFT) - centre)
         powers = np.arange(len(gram.low), dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(powers), pa.array(list(gram.low), pa.list_(pa.int64())), pa.array(list(gram.high), pa.list_(pa.int64()))], ["power", "low", "high"])
@@ -117,10 +117,10 @@ def transform(x: DataFrame, model: Whitening, vec_id: str = "vec_id") -> DataFra
     scale = np.where(kept, 1 / np.sqrt(np.where(kept, model.eigenvalues, 1)), np.nan)
     map_ = model.components * scale
     largest = n * model.most + max(map(abs, model.sums))
-    common.small_batches(x.sparkSession)
+    common.ship(x.sparkSession)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.bounded(batches):
             y = vectors.matrix(batch.column(1), dim, SHIFT)
             if largest < 1 << 62:
                 y = n * y - sums.astype(np.int64)

@@ -82,7 +82,8 @@ def test_stock_words_give_no_label_and_names_do():
 def test_each_template_alone_and_edited_has_its_label():
     rng = random.Random(5)
     for label, template in license_scan.TEMPLATES:
-        assert scan(template)["labels"] == [label] and scan(template)["score"] == 1.0
+        found = scan(template)
+        assert found["labels"] == sorted({label, *found["base"]}) and found["score"] == 1.0
         words = template.split()
         if len(words) >= 17:
             for _ in range(len(words) // 12):
@@ -92,6 +93,28 @@ def test_each_template_alone_and_edited_has_its_label():
     assert scan(notice)["labels"] == ["bsd"]
 
 
+def test_names_of_the_commons_and_short_forms():
+    for text, labels in (
+        ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc", "cc-by-nc-sa"]),  # the base phrase stays
+        ("CC BY-SA", ["cc-by-sa"]), ("cc by nd", ["cc-by-nd"]), ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", ["cc-by-nc-nd"]), ("CC0 1.0 Universal", ["cc0-1"]),
+        ("Boost Software License - Version 1.0", ["bsl-1"]), ("MIT License", ["mit"]), ("SPDX-License-Identifier: MIT", ["mit"]), ("SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2"]), ("spdx-license-identifier: cc-by-4.0", ["cc-by"]),
+        ("SPDX-License-Identifier: Zlib", ["zlib"]), ("This program is made available under the terms of the Eclipse Public License v. 2.0", ["epl-2"]), ("SPDX-License-Identifier: unknown", []), ("the license identifier of the software", []),
+        ("a copy of the software and the documentation", []), ("creative commons", []), ("version 2 0", []),
+    ):
+        assert scan(text)["labels"] == labels, text
+
+
+def test_whole_texts_are_one_span():
+    texts = license_scan.license_texts
+    for label, text in texts.WHOLE:
+        n = len(texts.words(text).split())
+        found = scan(f"Some code. Copyright 2020 A. Person\n\n{text}\n\nmore code follows here")
+        assert found["labels"] == [label] and found["score"] == 1.0
+        assert any(b - a == n and part == 1.0 for a, b, _, part in found["spans"]), (label, found["spans"])
+    half = " ".join(texts.BOOST.split()[:120])
+    assert scan(half)["labels"] == ["bsl-1"]
+
+
 def test_notices_side_by_side_are_spans_of_their_own():
     mit, gpl = "released under the mit license", "licensed under the gnu general public license version 3"
     found = scan(f"zzz {mit} {mit} zzz {gpl}")
