@@ -24,11 +24,12 @@ from functools import singledispatch
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.grouped import TableBlock
 from ..sources import tables
-from ..sources.files import find_matches
+from ..sources.files import find_matches, total_size
 from . import display
 from .nodes import Branch, Broadcast, Fallback, Force, ForEach, Node, NoWork, Parallel, Pipe, Pipeline, Reduce, Resourced, Retry, SameInput, Sequence, Shell, Sql, Step, Timeout, lift, steps, work_label
 from .resources import Budget
@@ -104,11 +105,15 @@ class Context:
 
     def make_real(self, df: DataFrame) -> DataFrame:
         """Run the table's plan now and keep its rows for whoever reads it next."""
+        return self.counted(df)[0]
+
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """``make_real``, with the number of rows."""
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        df.count()
+        n = df.count()
         with self.lock:
             self.persisted.append(df)
-        return df
+        return df, n
 
 
 # ---------------------------------------------------------------- leaf work
@@ -184,8 +189,10 @@ def _(work: Shell, step: Step, ctx: Context, value: Any) -> Any:
 def _run_leaf(step: Step, ctx: Context, forced: bool, value: Any) -> StepResult:
     began = time.monotonic()
 
+    counted: dict[str, int] = {}
+
     def result(success: bool, value: Any, skipped: bool = False) -> StepResult:
-        r = StepResult(step.name, success, 0.0 if skipped else time.monotonic() - began, value, step.inputs, step.outputs, skipped, step)
+        r = StepResult(step.name, success, 0.0 if skipped else time.monotonic() - began, value, step.inputs, step.outputs, skipped, step, counted.get("rows"), counted.get("bytes"))
         if ctx.report_step:
             ctx.report_step(r)
         return r
@@ -204,10 +211,12 @@ def _run_leaf(step: Step, ctx: Context, forced: bool, value: Any) -> StepResult:
             ctx.scope.check()
         if isinstance(out, DataFrame):
             if len(step.outputs) == 1:
-                tables.write_table(out, step.outputs[0])
+                seen = Observation()
+                tables.write_table(out.observe(seen, F.count(F.lit(1)).alias("rows")), step.outputs[0])
+                counted |= {"rows": seen.get["rows"], "bytes": total_size(step.outputs[0])}
                 out = tables.read_table(out.sparkSession, step.outputs[0])
             elif ctx.guarded or ctx.materialize == "step" or id(step) in ctx.shared:
-                out = ctx.make_real(out)
+                out, counted["rows"] = ctx.counted(out)
         elif ctx.spill_bytes is not None:
             out = tables.spilled_if_large(out, ctx.spill_bytes, ctx.spill_dir)
         if lost := missing(step.outputs):
@@ -612,7 +621,9 @@ def run(
     if dry_run:
         if verbose:
             display.print_dag(pipeline)
-        return Results()
+        out = Results()
+        out.planned = steps(pipeline.root)
+        return out
     if materialize not in ("boundary", "step"):
         raise ValueError("materialize is 'boundary' or 'step'")
     spark = spark or SparkSession.getActiveSession()

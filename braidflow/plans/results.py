@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -13,6 +14,7 @@ SCHEMA = T.StructType(
         T.StructField("ordinal", T.IntegerType(), False), T.StructField("step", T.StringType(), False), T.StructField("success", T.BooleanType(), False), T.StructField("duration", T.DoubleType(), False),
         T.StructField("inputs", T.ArrayType(T.StringType()), False), T.StructField("outputs", T.ArrayType(T.StringType()), False), T.StructField("skipped", T.BooleanType(), False),
         T.StructField("failure", T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "message", "detail")])), T.StructField("result_preview", T.StringType()),
+        T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("done", T.IntegerType(), False), T.StructField("total", T.IntegerType(), False),
     ]
 )
 
@@ -40,6 +42,11 @@ class StepResult:
     outputs: tuple[str, ...] = ()
     skipped: bool = False
     source: Any = field(default=None, repr=False, compare=False)
+    #: Of a table that the step has written or computed: its rows, counted as it was made, and
+    #: the bytes of its files.
+    rows: int | None = None
+    bytes: int | None = None
+    ended: float = field(default_factory=time.monotonic, repr=False, compare=False)
 
     @property
     def failure(self) -> StepFailure | None:
@@ -75,6 +82,8 @@ class Results(list):
     def __init__(self, *args: Any) -> None:
         super().__init__(*args)
         self.persisted: list[DataFrame] = []
+        #: Of a dry run: the steps that a run would execute.
+        self.planned: list[Any] = []
 
     def __enter__(self) -> "Results":
         return self
@@ -102,11 +111,24 @@ class Results(list):
         return [r for r in self if not r.success]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, r.step, r.success, float(r.duration), list(r.inputs), list(r.outputs), r.skipped, None if r.failure is None else (r.failure.kind, r.failure.message, r.failure.detail), None if r.failure else preview(r.result)) for i, r in enumerate(self)]
+        """A row per result; ``done``: how many had ended with it, of ``total``."""
+        ended = sorted(range(len(self)), key=lambda i: (self[i].ended, i))
+        done = {i: k for k, i in enumerate(ended, 1)}
+        rows = [(i, r.step, r.success, float(r.duration), list(r.inputs), list(r.outputs), r.skipped, None if r.failure is None else (r.failure.kind, r.failure.message, r.failure.detail), None if r.failure else preview(r.result), r.rows, r.bytes, done[i], len(self)) for i, r in enumerate(self)]
         return spark.createDataFrame(rows, SCHEMA)
 
+    def plan_df(self, spark: SparkSession) -> DataFrame:
+        """Of a dry run: ordinal, step, inputs, outputs and work of what a run would execute,
+        as far as it is known before."""
+        from .nodes import work_label
+
+        rows = [(i, s.name, list(s.inputs), list(s.outputs), work_label(s.work)) for i, s in enumerate(self.planned)]
+        return spark.createDataFrame(rows, "ordinal int, step string, inputs array<string>, outputs array<string>, work string")
+
     def summary(self) -> str:
-        return f"{sum(r.success for r in self)}/{len(self)} steps succeeded in {sum(r.duration for r in self):.2f} s"
+        made = [r for r in self if r.rows is not None]
+        counted = f", {sum(r.rows for r in made)} rows in {len(made)} tables" if made else ""
+        return f"{sum(r.success for r in self)}/{len(self)} steps succeeded in {sum(r.duration for r in self):.2f} s{counted}"
 
 
 class PipelineError(RuntimeError):

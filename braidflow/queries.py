@@ -770,3 +770,152 @@ def per_branch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The algebra over tables alone: branches as filters, one function of each."""
     lines = table(spark, sf_dir, "lineitem")
     return operators.per_branch({f: lines.where(F.col("l_returnflag") == f) for f in "AR"}, lambda df: df.agg(F.count("*").alias("n")))
+
+
+# ---------------------------------------------------------------- views of runs, archives, streams of rules
+
+
+@query("SELECT 'clean ' || r_name AS step, 'raw/' || r_name AS input, 'out/' || r_name AS output FROM region")
+def dry_run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run would execute, as a table; nothing runs."""
+    names = [r["r_name"] for r in table(spark, sf_dir, "region").select("r_name").collect()]
+    fan = plans.Parallel.of(*(plans.step(lambda: None, name=f"clean {n}", inputs=f"raw/{n}", outputs=f"out/{n}") for n in names))
+    found = plans.run(fan, spark, dry_run=True).plan_df(spark)
+    return found.select("step", F.col("inputs")[0].alias("input"), F.col("outputs")[0].alias("output"))
+
+
+@query("SELECT 'nation' AS step, count(*) AS n, 3 AS total FROM nation UNION ALL SELECT 'region', count(*), 3 FROM region UNION ALL SELECT 'supplier', count(*), 3 FROM supplier")
+def rows_while_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each declared output, counted as it was written, and how many steps there were."""
+    folder = scratch(spark, "counts")
+    parts = [plans.step(lambda n=n: table(spark, sf_dir, n), name=n, outputs=f"{folder}/{n}.parquet") for n in ("nation", "region", "supplier")]
+    found = plans.run(plans.Parallel.of(*parts), spark, raise_on_failure=True).to_df(spark)
+    return found.where("bytes > 0 AND done BETWEEN 1 AND total").select("step", F.col("rows").alias("n"), "total")
+
+
+@query("SELECT sum(done)::BIGINT AS done, max(total)::BIGINT AS total FROM (SELECT row_number() OVER () AS done, count(*) OVER () AS total FROM region)")
+def progress_of_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r["r_name"] for r in table(spark, sf_dir, "region").select("r_name").collect()]
+    found = plans.run(plans.for_each(names, lambda n: plans.step(lambda: n.lower(), name=n)), spark, raise_on_failure=True)
+    return found.to_df(spark).agg(F.sum("done").alias("done"), F.max("total").cast("long").alias("total"))
+
+
+@query("SELECT 'sums of ' || n_name AS text, true AS called FROM nation WHERE n_regionkey = 1")
+def report_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results that a report gets, before the state is saved."""
+    names = [r["n_name"] for r in table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_name").collect()]
+    seen: list[tuple[str, bool]] = []
+    fan = plans.Parallel.of(*(plans.step(lambda n=n: f"sums of {n}", name=n) for n in names))
+    plans.run(plans.Pipeline(fan, "sums"), spark, report=lambda results, pipeline: seen.extend((r.result, pipeline == "sums") for r in results))
+    return spark.createDataFrame(seen, "text string, called boolean")
+
+
+@query("SELECT n, CASE n WHEN 1 THEN 'Parallel' WHEN 2 THEN '├─ ' || a || ': <lambda>' WHEN 3 THEN '└─ ' || b || ': <lambda>' END AS line FROM (SELECT min(r_name) AS a, max(r_name) AS b FROM region), (VALUES (1), (2), (3)) v(n)")
+def printed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = table(spark, sf_dir, "region").agg(F.min("r_name").alias("a"), F.max("r_name").alias("b")).first()
+    tree = plans.dag(plans.step(lambda: 1, name=ends["a"]) & plans.step(lambda: 2, name=ends["b"])).splitlines()
+    return spark.createDataFrame([(i, line) for i, line in enumerate(tree, 1)], "n int, line string")
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1")
+def step_with_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step whose paths have wildcards is a rule: here a copy of each table folder."""
+    folder = scratch(spark, "copies")
+    _segments(spark, sf_dir, f"{folder}/raw", "csv")
+    local = sources.local_path(folder)
+    copy = plans.shell(f"mkdir -p '{local}/copy' && cp -r '{{input}}' '{{output}}'", name="copy", inputs=f"{local}/raw/{{segment}}.csv", outputs=f"{local}/copy/{{segment}}.csv")
+    rule = plans.Rule(copy.name, copy.inputs, copy.outputs, copy.work.command)
+    plans.run(rule, spark, raise_on_failure=True)
+    found = sources.read_pattern(spark, f"{local}/copy/{{segment}}.csv/{{part}}.csv", "csv", header=True, schema="c_custkey long, c_nationkey int, c_acctbal double")
+    return found.groupBy("segment").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'in/' || n_name AS input, 'out/' || n_name || '.' || n_regionkey AS output, 1 AS runnable FROM nation")
+def check_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule's preview for each target that is named; nothing runs, no file is looked for."""
+    rule = plans.rule("in/{name}", "out/{name}.{region}", name="part")("cut {input} > {output}")
+    rows = []
+    for r in table(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect():
+        found = plans.check(rule, f"out/{r['n_name']}.{r['n_regionkey']}")
+        rows.append((found.previews[0].inputs[0], found.previews[0].outputs[0], found.runnable))
+    return spark.createDataFrame(rows, "input string, output string, runnable int")
+
+
+@query("SELECT LEAST(count(DISTINCT c_mktsegment), 3) AS shown, count(DISTINCT c_mktsegment) AS runnable FROM customer")
+def preview_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "limit")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    found = plans.check(_keep_rich(spark, folder), limit=3)
+    return spark.createDataFrame([(len(found.previews), found.runnable)], "shown long, runnable long")
+
+
+@query("SELECT string_agg(p, chr(10) ORDER BY p) AS summary FROM (SELECT DISTINCT 'sums/' || c_mktsegment || '.parquet' AS p FROM customer)")
+def summary_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths that a chain has made, sorted, as one text in a file."""
+    folder = scratch(spark, "summary")
+    _segments(spark, sf_dir, f"{folder}/raw")
+    sink = lambda paths: spark.createDataFrame([(p.removeprefix(f"{folder}/"),) for p in paths], "p string")
+    made = plans.run(_keep_rich(spark, folder).then(_summed(spark, folder)).then(sink), spark, raise_on_failure=True).last
+    made.agg(F.array_join(F.array_sort(F.collect_list("p")), "\n").alias("value")).write.text(f"{folder}/summary")  # a name per file
+    return spark.read.text(f"{folder}/summary", wholetext=True).select(F.rtrim(F.regexp_replace("value", r"\n$", "")).alias("summary"))
+
+
+@query("SELECT count(DISTINCT p_brand)::BIGINT AS lines FROM part")
+def commands_in_a_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands joined by one pipe; the last one's output is the value."""
+    folder = scratch(spark, "pipe")
+    table(spark, sf_dir, "part").select("p_brand").write.text(folder)
+    found = plans.run(plans.shell_pipe(f"cat '{sources.local_path(folder)}'/part-*", "sort -u", "wc -l"), spark, raise_on_failure=True)
+    return spark.createDataFrame([(int(found.last),)], "lines long")
+
+
+@query("SELECT r_name AS name, 1 AS alone, 2 AS fed FROM region")
+def memo_of_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step that two nodes share runs once; one that is fed runs for each input."""
+    rows = []
+    for r in table(spark, sf_dir, "region").select("r_name").collect():
+        alone, fed = [], []
+        base = plans.step(lambda: alone.append(1) or r["r_name"], name="base")
+        double = plans.step(lambda x: fed.append(x) or x, name="double")
+        plans.run((base >> double) & (base >> double), spark, raise_on_failure=True)
+        rows.append((r["r_name"], len(alone), len(fed)))
+    return spark.createDataFrame(rows, "name string, alone int, fed int")
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, sum(strlen(c_name || ',' || c_custkey) + 1)::BIGINT AS bytes FROM customer GROUP BY 1")
+def archives_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per segment into tar archives, and their members read again by the headers' index."""
+    folder = scratch(spark, "tar")
+    line = F.concat("c_name", F.lit(","), F.col("c_custkey").cast("string"))
+    made = table(spark, sf_dir, "customer").groupBy(F.concat("c_mktsegment", F.lit(".csv")).alias("name")).agg(F.concat(F.array_join(F.collect_list(line), "\n"), F.lit("\n")).cast("binary").alias("content"))  # of a sample table's few files
+    sources.write_tars(made, folder).collect()
+    found = sources.read_tar(spark, folder)
+    text = F.decode("content", "UTF-8")
+    return found.select(F.regexp_extract("name", r"^(.*)\.csv$", 1).alias("segment"), F.regexp_count(text, F.lit("\n")).cast("long").alias("n"), "size").groupBy("segment").agg(F.sum("n").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_acctbal > 5000 GROUP BY 1")
+def rules_on_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of rules over a folder that grows between three runs: each target once."""
+    folder = scratch(spark, "rules-stream")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("segment"))
+    names = sorted(r["segment"] for r in customers.select("segment").distinct().collect())
+    chain = _keep_rich(spark, folder).then(_summed(spark, folder))
+    for some in (names[:2], names[2:], []):
+        if some:
+            sources.write_keyed(customers.where(F.col("segment").isin(some)), f"{folder}/raw/{{segment}}.parquet", [{"segment": n} for n in some])
+        streaming.make_from_new_files(spark, chain, f"{folder}/seen")
+    return _sums(spark, folder)
+
+
+@query("SELECT n_regionkey AS region, n_name AS name, CAST(n_nationkey AS VARCHAR) AS content FROM nation WHERE n_regionkey IN (1, 3)")
+def files_as_a_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``format("pattern")``: a condition on a wildcard lists and opens only what it needs."""
+    folder = sources.local_path(scratch(spark, "format"))
+    nations = table(spark, sf_dir, "nation").select(F.concat("n_regionkey", F.lit("/"), "n_name").alias("k"), F.col("n_nationkey").cast("string").alias("value"))
+    split = F.split("k", "/")
+    keyed = nations.select(split[0].alias("region"), split[1].alias("name"), "value")
+    sources.write_keyed(keyed, f"{folder}/{{region}}/{{name}}.txt", [r.asDict() for r in keyed.select("region", "name").collect()])
+    sources.register_pattern(spark)
+    found = spark.read.format("pattern").load(f"{folder}/{{region}}/{{name}}.txt/{{part}}.txt").where(F.col("region").isin("1", "3"))
+    return found.select(F.col("region").cast("int").alias("region"), "name", F.trim(F.regexp_replace(F.decode("content", "UTF-8"), r"\n", "")).alias("content"))

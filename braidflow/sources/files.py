@@ -189,6 +189,20 @@ def plain_path(column: Column | str) -> Column:
     return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
 
 
+def qualify_column(column: Column | str) -> Column:
+    """A listing's path as other libraries take it: a URI, or without a scheme if local."""
+    return F.regexp_replace(column, r"^file:/+", "/")
+
+
+def total_size(path: str) -> int:
+    """Bytes of a file or of all below a folder; 0 if there is nothing."""
+    local = local_path(path)
+    if local is not None:
+        return os.path.getsize(local) if os.path.isfile(local) else sum(os.path.getsize(p) for p in _local_parts(local))
+    where, fs = hadoop(path)
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, modified and size of all files below ``root``; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
