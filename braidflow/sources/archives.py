@@ -8,6 +8,7 @@ alone, and read by their offsets in as many tasks as their bytes ask for.
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,11 @@ INDEX = "archive string, name string, start long, size long, modified double"
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """A path's file system and its name there; without a scheme it is the local disk's."""
-    return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path) if "://" in path or path.startswith("file:/") else (pafs.LocalFileSystem(), path)
+    if "://" not in path or path.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    store, rest = re.match(r"^([^:]+://[^/]*)(.*)$", path).groups()  # a name may have what a URI may not
+    found, root = pafs.FileSystem.from_uri(store + "/")
+    return found, root.rstrip("/") + rest
 
 
 def tar_index(spark: SparkSession, path: str) -> DataFrame:
