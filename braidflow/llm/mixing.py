@@ -199,7 +199,13 @@ def _few(by_leaf: DataFrame) -> bool:
 
 
 def select(rows: DataFrame, planned: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """rows with copies: how often the mixture has the document (0: not at all)."""
+    """rows with copies: how often the mixture has the document (0: not at all).
+
+    rows: k0.., id, n_tokens and any other columns; those named as the plan's (tokens, budget,
+    whole, cut) would clash, so callers keep theirs in a struct. Rows of one id in one leaf
+    have equal copies; a null id is one id. Rows whose leaf the plan lacks, or has null as a
+    name, go; ``mix`` makes none. An empty table gives no rows.
+    """
     keys = [f"k{i}" for i in range(len(levels))]
     extra = (F.col("cut").isNotNull() & (_order(F.col("whole")) <= F.col("cut"))).cast("int")
     return rows.join(F.broadcast(planned) if _few(planned) else planned, keys).withColumn("copies", F.col("whole") + extra)

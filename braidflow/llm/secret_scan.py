@@ -101,7 +101,9 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
 def ownership(scanned: DataFrame) -> DataFrame:
     """hash, n_places, n_owners, n_repositories and is_example, over the whole corpus.
 
-    Null owners and repositories count as one owner and one repository, named ''.
+    Null owners and repositories count as one owner and one repository, named ''. Repeated
+    rows are places each; rows without candidates, and an empty table, give nothing; columns
+    other than owner, repository and found are ignored.
     """
     places = scanned.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.explode("found").alias("c"))
     by_place = places.groupBy(F.col("c.hash").alias("hash"), "owner", "repository").agg(F.count("*").alias("n"))

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import archives, files
 from . import common
 
 MAGIC = b"BFT1"
@@ -308,6 +309,8 @@ def ranking(tokens: DataFrame, size: int) -> np.ndarray:
 def write_segments(docs: DataFrame, vocabulary: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> tuple[DataFrame, np.ndarray]:
     """Encode and write the corpus; a scan of the segment table, and the ranking to decode it.
 
+    Odd input as in ``encode_documents``; repeated rows are written each.
+
     Segment table: part (int, ascending with doc_id), seq (int, within the part), n_docs,
     n_ids, start (ids of all documents before the segment), raw (the segment). Only ids,
     not texts, are dealt out by ranges of doc_id; each task packs its sorted range.
@@ -379,13 +382,19 @@ def read_back(segments: DataFrame, order: np.ndarray) -> DataFrame:
 
 
 def export_segments(segments: DataFrame, folder: str) -> None:
-    """Plain files ``part-<part>-<seq>.bft`` in a folder that every executor can write."""
-    import os
+    """Plain files ``part-<part>-<seq>.bft`` in a folder of any store that pyarrow knows (a
+    path without a scheme: the executors' disk). A file is written beside its place and moved
+    there whole."""
+    target = files.qualified(folder)
 
     def save(rows) -> None:
+        store, inside = archives.opened(target)
+        store.create_dir(inside, recursive=True)
         for r in rows:
-            with open(os.path.join(folder, f"part-{r['part']:05}-{r['seq']:05}.bft"), "wb") as f:
+            name = f"{inside}/part-{r['part']:05}-{r['seq']:05}.bft"
+            with store.open_output_stream(f"{name}.tmp") as f:
                 f.write(r["raw"])
+            store.move(f"{name}.tmp", name)
 
     segments.select("part", "seq", "raw").foreachPartition(save)
 
