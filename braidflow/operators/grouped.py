@@ -70,7 +70,8 @@ def _batches(made: Any, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class TableBlock:
-    """``for_each`` over the items of a table as one plan: see ``each_item``."""
+    """``for_each`` over the items of a table, or over the files of a pattern, as one plan: see
+    ``each_item``. Without ``by`` the items are the pattern's wildcards."""
 
     by: tuple[str, ...]
     block: Callable[[dict[str, Any], Any], Any]

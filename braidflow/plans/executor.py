@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import singledispatch
 from typing import Any
 
@@ -27,6 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import wildcards
 from ..operators.grouped import TableBlock
 from ..sources import tables
 from ..sources.files import find_matches, total_size
@@ -454,22 +455,33 @@ def _read_back(r: StepResult) -> Any:
 
 def branches_of(node: ForEach, ctx: Context) -> list[tuple[Node, Any]] | StepFailure:
     """(branch, its input) of each item or matching path."""
+    if isinstance(node.block, TableBlock):
+        return _table_branch(node, ctx)
     if node.pattern is not None:
-        from ..functions.patterns import wildcards
-
         names = wildcards(node.pattern)
         found = [[m[n] for n in names] for _, m in find_matches(node.pattern)]
         parts = [(_block(node, *captures), captures) for captures in found]
-    elif isinstance(node.block, TableBlock):
-        if not isinstance(node.source, DataFrame):
-            raise TypeError("a table block needs a table of items")
-        return [(Step(lambda: node.block(node.source), "for_each"), NOTHING)]
     else:
         items = [r[0] if len(r) == 1 else r for r in node.source.toLocalIterator()] if isinstance(node.source, DataFrame) else node.source
         parts = [(_block(node, item), item) for item in items]
     return parts or StepFailure("no_matches", f"nothing matches {node.pattern}" if node.pattern else "no items")
 
 
+def _table_branch(node: ForEach, ctx: Context) -> list[tuple[Node, Any]] | StepFailure:
+    """A table block's one step: of a table of items, or of all files of a pattern, by their
+    wildcards unless the block says otherwise; one scan, whatever there are."""
+    block, source = node.block, node.source
+    if node.pattern is None:
+        if not isinstance(source, DataFrame):
+            raise TypeError("a table block needs a table of items or a pattern")
+        return [(Step(lambda: block(source), "for_each"), NOTHING)]
+    values = [m for _, m in find_matches(node.pattern)]
+    if not values:
+        return StepFailure("no_matches", f"nothing matches {node.pattern}")
+    by_file = block if block.by else replace(block, by=tuple(wildcards(node.pattern)))
+    return [(Step(lambda: by_file(tables.read_keyed(ctx.spark or SparkSession.active(), node.pattern, values)), "for_each"), NOTHING)]
+
+
 def _block(node: ForEach, *arguments: Any) -> Node:
     made = node.block(*arguments)
     if made is node:

@@ -6,8 +6,10 @@ its tables stay lazy, so what is returned is one plan.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce as fold
 from typing import Any
 
@@ -919,3 +921,101 @@ def files_as_a_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources.register_pattern(spark)
     found = spark.read.format("pattern").load(f"{folder}/{{region}}/{{name}}.txt/{{part}}.txt").where(F.col("region").isin("1", "3"))
     return found.select(F.col("region").cast("int").alias("region"), "name", F.trim(F.regexp_replace(F.decode("content", "UTF-8"), r"\n", "")).alias("content"))
+
+
+@query(_BY_SEGMENT)
+def foreach_pattern_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block of Python per file of a pattern, all files in one scan."""
+    folder = scratch(spark, "files")
+    _segments(spark, sf_dir, folder)
+
+    def block(item: dict[str, Any], pieces: Any) -> list[dict[str, Any]]:
+        balances = [x for t in pieces for x in t["c_acctbal"].to_pylist()]
+        return [{**item, "n": len(balances), "balance": round(math.fsum(balances), 2)}]
+
+    return last(plans.for_each(f"{folder}/{{segment}}.parquet", operators.TableBlock((), block, "segment string, n long, balance double", whole=True)), spark)
+
+
+@query("SELECT r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 3 ELSE 4 END AS steps FROM region")
+def counted_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that a run can execute: of a branch the larger arm, a shared step once, a reduce one more."""
+    rows = []
+    for r in table(spark, sf_dir, "region").select("r_name", "r_regionkey").collect():
+        base = plans.step(lambda: 1, name=r["r_name"])
+        large = plans.step(lambda x: x) >> plans.step(lambda x: x)
+        tail = plans.branch(lambda x: True, large, plans.step(lambda x: x))
+        node = base >> tail if r["r_regionkey"] % 2 == 0 else plans.Reduce(len, (base >> tail) & base)
+        rows.append((r["r_name"], plans.count_steps(node)))
+    return spark.createDataFrame(rows, "name string, steps int")
+
+
+@query("SELECT count(*) AS lines, sum(strlen(p_name) + 1)::BIGINT AS bytes FROM part")
+def spilled_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A command's output over the threshold lies in a file, and can be read twice."""
+    folder = scratch(spark, "output")
+    table(spark, sf_dir, "part").select("p_name").write.text(folder)
+    found = plans.run(plans.shell(f"cat '{sources.local_path(folder)}'/part-*"), spark, raise_on_failure=True, spill_threshold=100)
+    if not isinstance(found.last, sources.SpilledText):
+        raise AssertionError("the output was not spilled")
+    lines, text = (sources.materialize(found.last) for _ in range(2))
+    return spark.createDataFrame([(lines.count("\n"), len(text.encode()))], "lines long, bytes long")
+
+
+@dataclass(frozen=True)
+class _Sampled:
+    """Work of a type of its own: every so-manieth row of a table by a key."""
+
+    rows: DataFrame
+    key: str
+    every: int
+
+
+@plans.execute.register
+def _(work: _Sampled, step: plans.Step, ctx: Any, value: Any) -> DataFrame:
+    return work.rows.where(F.col(work.key) % work.every == 0)
+
+
+@dataclass(frozen=True, eq=False)
+class _Twice(plans.Node):
+    """A node of a type of its own: runs another one, and gives its rows twice."""
+
+    node: plans.Node
+
+    def children(self) -> tuple[plans.Node, ...]:
+        return (self.node,)
+
+
+@plans.run_node.register
+def _(node: _Twice, ctx: Any, forced: bool, value: Any) -> Any:
+    found = plans.run_node(node.node, ctx, forced, value)
+    again = found[-1].result.unionAll(found[-1].result)
+    return type(found)([*found, plans.StepResult("twice", True, 0.0, again)])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0")
+def own_work_and_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The algebra extended by a work type and a node type."""
+    sampled = plans.step(_Sampled(table(spark, sf_dir, "orders"), "o_orderkey", 7), name="every seventh")
+    return last(_Twice(sampled) >> (lambda df: df.select("o_orderkey")), spark)
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN 'part' ELSE 'lane,part' END AS missing FROM part")
+def unbound_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wildcards of inputs that the outputs lack: what a rule may not have."""
+    kind = F.col("p_size") % 3
+    inputs = F.when(kind < 2, "in/{part}.csv").otherwise("in/{lane}/{part}.csv")
+    outputs = F.when(kind == 0, "out/{part}/{x}.csv").otherwise("out/{x}.csv")
+    missing = F.array_except(functions.wildcards_column(inputs), functions.wildcards_column(outputs))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(missing), ",").alias("missing"))
+
+
+@query("SELECT n_name AS name, true AS same FROM nation")
+def values_stand_for_themselves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a value stands for: plain values are themselves, a path its bytes."""
+    folder = scratch(spark, "values")
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_name").alias("value"))
+    values = [r.asDict() for r in names.collect()]
+    sources.write_keyed(names, f"{folder}/{{name}}.txt", values)
+    paths = {v["name"]: path for path, v in sources.find_matches(f"{folder}/{{name}}.txt/{{part}}.txt")}
+    rows = [(n, sources.materialize(n) == n and sources.materialize(sources.FilePath(paths[n])) == f"{n}\n".encode()) for n in (v["name"] for v in values)]
+    return spark.createDataFrame(rows, "name string, same boolean")

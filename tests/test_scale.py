@@ -192,6 +192,19 @@ def test_one_plan_for_a_hundred_thousand_items(spark):
     assert jobs == 0 and found.last.groupBy("k").agg(F.sum("n").alias("n")).agg(F.count("*").alias("k"), F.min("n"), F.max("n")).first() == (100_000, 2, 2)
 
 
+def test_one_scan_for_all_files_of_a_pattern(spark, tmp_path):
+    counted = []
+    for n in (50, 200):
+        folder = str(tmp_path / str(n))
+        lines(folder, [f"s{i}" for i in range(n)], rows=4)
+        block = operators.TableBlock((), lambda item, rows: [{**item, "n": rows.num_rows, "w": rows["w"][0].as_py()}], "s string, n long, w string")
+        jobs, found = jobs_of(spark, lambda: b.run(b.for_each(f"{folder}/{{s}}.csv", block), spark, raise_on_failure=True))
+        counted.append(jobs)
+        assert sorted(map(tuple, found.last.groupBy("s", "w").agg(F.sum("n")).collect())) == sorted((f"s{i}", f"s{i}", 4) for i in range(n))
+    assert counted[0] == counted[1]
+    assert b.run(b.for_each(f"{tmp_path}/none/{{s}}.csv", block), spark)[0].result.kind == "no_matches"
+
+
 def variance(n):
     """Welford sums as a fold: count, mean and squared deviations."""
 
