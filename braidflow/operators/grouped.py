@@ -23,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a block gets at a time at most.
 PIECE_ROWS = 50_000
+#: Rows of results that are sent on together, if not more.
+OUT_ROWS = 5_000
 #: Items whose states a task of a fold holds at most before it hands them on.
 HELD_STATES = 10_000
 #: Each item's partial states are merged in so many groups first.
@@ -47,25 +49,48 @@ def _pieces(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[
     for batch in batches:
         table = pa.Table.from_batches([batch])
         starts = _changes(table, keys)
-        for a, b in zip(starts, [*starts[1:], table.num_rows]):
-            yield tuple(table[k][a].as_py() for k in keys), table.slice(a, b - a)
-
-
-def _batches(made: Any, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """What a block gives (a table, a pandas frame, rows as dicts, or several), as declared."""
+        items = zip(*(table[k].take(pa.array(starts, pa.int64())).to_pylist() for k in keys)) if keys else [()] * len(starts)
+        for item, a, b in zip(items, starts, [*starts[1:], table.num_rows]):
+            yield item, table.slice(a, b - a)
+
+
+def _batches(results: Iterable[Any], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What blocks give (tables, pandas frames, rows as dicts, or several), as declared, in
+    batches of OUT_ROWS and more, however little one block gives."""
+    rows: list[dict[str, Any]] = []
+    tables: list[pa.Table] = []
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        if rows:
+            tables.append(pa.Table.from_pylist(rows, schema))
+        if tables:
+            yield from pa.concat_tables(tables).combine_chunks().to_batches(max_chunksize=10 * OUT_ROWS)
+        rows.clear()
+        tables.clear()
+
+    for made in _flat(results):
+        if isinstance(made, dict):
+            rows.append(made)
+        else:
+            table = pa.Table.from_pandas(made, schema, preserve_index=False) if hasattr(made, "iloc") else pa.Table.from_batches([made]) if isinstance(made, pa.RecordBatch) else made
+            if rows:  # in the order they came
+                tables.append(pa.Table.from_pylist(rows, schema))
+                rows.clear()
+            tables.append(table.select(schema.names).cast(schema))
+        if len(rows) + sum(t.num_rows for t in tables) >= OUT_ROWS:
+            yield from whole()
+    yield from whole()
+
+
+def _flat(made: Any) -> Iterator[Any]:
+    """Tables, frames and rows, of lists and iterators of such; None is none."""
     if made is None:
         return
-    if isinstance(made, pa.RecordBatch):
-        made = pa.Table.from_batches([made])
-    elif hasattr(made, "iloc"):
-        made = pa.Table.from_pandas(made, schema, preserve_index=False)
-    elif isinstance(made, list):
-        made = pa.Table.from_pylist(made, schema)
-    if not isinstance(made, pa.Table):
-        for part in made:
-            yield from _batches(part, schema)
+    if isinstance(made, (dict, pa.Table, pa.RecordBatch)) or hasattr(made, "iloc"):
+        yield made
         return
-    yield from made.select(schema.names).cast(schema).to_batches()
+    for part in made:
+        yield from _flat(part)
 
 
 @dataclass(frozen=True)
@@ -97,11 +122,11 @@ def each_item(df: DataFrame, by: str | Sequence[str], block: Callable[[dict[str,
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     dealt = df.repartition(*keys) if whole else df.hint("rebalance", *keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[Any]:
         for item, pieces in itertools.groupby(_pieces(batches, keys), key=lambda p: p[0]):
             named, tables = dict(zip(keys, item)), (t for _, t in pieces)
             if whole:
-                yield from _batches(block(named, tables), arrow)
+                yield block(named, tables)
                 continue
             held: list[pa.Table] = []
             for t in tables:
@@ -110,12 +135,12 @@ def each_item(df: DataFrame, by: str | Sequence[str], block: Callable[[dict[str,
                     held.append(t.slice(0, room))
                     t = t.slice(room)
                     if sum(h.num_rows for h in held) == PIECE_ROWS:
-                        yield from _batches(block(named, pa.concat_tables(held)), arrow)
+                        yield block(named, pa.concat_tables(held))
                         held = []
             if held:
-                yield from _batches(block(named, pa.concat_tables(held)), arrow)
+                yield block(named, pa.concat_tables(held))
 
-    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(lambda batches: _batches(results(batches), arrow), schema)
 
 
 @dataclass(frozen=True)
@@ -175,14 +200,19 @@ def fold(df: DataFrame, add: Callable[[Any, pa.Table], Any], merge: Callable[[An
             yield item, reduce(merge, map(pickle.loads, raw))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = {}, None
         for item, state in merged(batches, [*keys, "__group"]):
-            yield from rows({item[:-1]: state}, item[-1])
+            if held and (group != item[-1] or len(held) >= OUT_ROWS):
+                yield from rows(held, group)
+                held = {}
+            held[item[:-1]], group = state, item[-1]
+        if held:
+            yield from rows(held, group)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for item, state in merged(batches, keys):
-            yield from _batches(finish(dict(zip(keys, item)), state), arrow)
+        yield from _batches((finish(dict(zip(keys, item)), state) for item, state in merged(batches, keys)), arrow)
 
-    grouped = [*keys, "__group"]
+    grouped = ["__group", *keys]
     parts = df.mapInArrow(partial, states).repartition(*grouped).sortWithinPartitions(*grouped).mapInArrow(first, states)
     together = parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.repartition(1, F.lit(0))
     return together.mapInArrow(last, schema)
