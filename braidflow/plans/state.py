@@ -77,11 +77,19 @@ def work_id(work: Any) -> bytes:
 
 
 def step_hash(step: Step) -> int:
-    """64 bits of name, work, inputs and outputs; the same in every process."""
+    """64 bits of name, work, inputs and outputs; the same in every process.
+
+    A step keeps it from when it is first asked, before the step runs: what the work then
+    does to a list that it holds doesn't make it another step.
+    """
+    if "_hash" in step.__dict__:
+        return step.__dict__["_hash"]
     digest = hashlib.blake2b(digest_size=8)
     for part in (step.name.encode(), work_id(step.work), repr(step.inputs).encode(), repr(step.outputs).encode()):
         digest.update(len(part).to_bytes(8, "little") + part)
-    return int.from_bytes(digest.digest(), "little", signed=True)
+    found = int.from_bytes(digest.digest(), "little", signed=True)
+    object.__setattr__(step, "_hash", found)
+    return found
 
 
 class StateTable:
@@ -152,7 +160,8 @@ class Completed:
     def look_up(self, steps: Iterable[Step]) -> None:
         """Ask at once for all steps that only the state can tell to be fresh."""
         if self.state is not None:
-            self._ask([step_hash(s) for s in steps if bool(s.inputs) != bool(s.outputs)])
+            hashed = [(step_hash(s), s) for s in steps]
+            self._ask([h for h, s in hashed if bool(s.inputs) != bool(s.outputs)])
 
     def _ask(self, hashes: list[int]) -> None:
         with self.lock:

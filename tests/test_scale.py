@@ -345,6 +345,11 @@ def test_a_steps_hash_follows_closures_and_defaults():
     assert of(mk(1)) == of(mk(1)) and len({of(mk(1)), of(mk(2)), of(mk("1")), of(mk(1, 6)), of(mk([1])), of(mk({1: 2}))}) == 6
     assert of(mk({"b": 1, "a": 2})) == of(mk({"a": 2, "b": 1})) and of(mk(object())) == of(mk(object()))
     assert of(cyclic()) == of(cyclic())
+    seen = []
+    step = b.step(lambda: seen.append(1), name="s")
+    before = step_hash(step)
+    step.work()
+    assert step_hash(step) == before and step_hash(b.step(step.work, name="s")) != before
 
 
 # ---------------------------------------------------------------- threads, budgets, stores
