@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.shipping import ship
+
 #: Rows that a block gets at a time at most.
 PIECE_ROWS = 50_000
 #: Rows of results that are sent on together, if not more.
@@ -118,6 +120,7 @@ def each_item(df: DataFrame, by: str | Sequence[str], block: Callable[[dict[str,
     tables. A block gives an Arrow table, a pandas frame, a list of dicts, None, or an
     iterator of these, with the columns of ``schema`` (DDL). Null is an item like any other.
     """
+    ship(df.sparkSession)
     keys = [by] if isinstance(by, str) else list(by)
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     dealt = df.repartition(*keys) if whole else df.hint("rebalance", *keys)
@@ -169,6 +172,7 @@ def fold(df: DataFrame, add: Callable[[Any, pa.Table], Any], merge: Callable[[An
     costs no task more than its share. merge must be associative and commutative, and a state
     small (it is pickled). Without rows and without ``by`` there is no result.
     """
+    ship(df.sparkSession)
     keys = [by] if isinstance(by, str) else list(by)
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     fields = [df.schema[k] for k in keys]

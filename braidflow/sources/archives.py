@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from . import files
 
 #: Bytes of members that a task reads, about; one member is never split.
@@ -42,6 +43,7 @@ def tar_index(spark: SparkSession, path: str) -> DataFrame:
 
     Compressed archives (.gz, .tgz, .bz2, .xz) can't be skipped through and aren't taken.
     """
+    ship(spark)
     archives = files.listing(spark, path).where("size > 0").select(files.qualify_column("path").alias("archive"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +93,7 @@ def tar_contents(index: DataFrame) -> DataFrame:
                     raise OSError(f"{last} ends within {r['name']}")
                 yield pa.RecordBatch.from_pydict({"archive": [last], "name": [r["name"]], "size": [r["size"]], "content": pa.array([raw], pa.binary())})
 
+    ship(index.sparkSession)
     part = F.floor(F.col("start") / PART_BYTES)
     placed = index.repartition(F.col("archive"), part).sortWithinPartitions("archive", "start")
     return placed.select("archive", "name", "start", "size").mapInArrow(read, "archive string, name string, size long, content binary")
@@ -103,6 +106,7 @@ def write_tars(df: DataFrame, path: str, name: str = "name", content: str = "con
     A task writes beside the target and moves the whole archive into its place, so a second
     try, or a second runner, replaces it by the same.
     """
+    ship(df.sparkSession)
     target = files.qualified(path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

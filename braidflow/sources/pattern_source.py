@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..functions.patterns import WILDCARD, to_regex, wildcards
+from ..functions.shipping import ship
 from .archives import opened
 
 #: Files of a partition: so many, or of so many bytes.
@@ -36,6 +37,7 @@ _TESTS: dict[type, Any] = {
 
 def register_pattern(spark: SparkSession) -> None:
     """Make the format known to a session, and have Spark push filters to Python sources."""
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PatternSource)
 
