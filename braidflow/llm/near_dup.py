@@ -396,20 +396,27 @@ def prefix_keys(elements: np.ndarray, rarity: np.ndarray, weights: np.ndarray, s
     among the keys of x as the lighter set, of its own class, and among those of y as the
     heavier, for the class of x.
     """
+    return prefix_rows(elements, rarity, weights, salt)[:2]
+
+
+def prefix_rows(elements: np.ndarray, rarity: np.ndarray, weights: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``prefix_keys``, with the weight from each key's element on, and the set's weight."""
     order = np.lexsort((elements, -rarity))
     elements, weights = elements[order], weights[order].astype(np.float64)
     rest = np.cumsum(weights[::-1])[::-1] * _SLACK
     total = float(weights.sum())
     t = THRESHOLD
     kind = lambda w: int(np.floor(np.log(w) / CLASS_STEP))
-    own = elements[rest >= 2 * t / (1 + t) * total]
-    keys, light = [_keyed(own, kind(total), salt)], [np.ones(len(own), bool)]
+    own = int((rest >= 2 * t / (1 + t) * total).sum())  # rest falls, so these are the first
+    keys, light, rests = [_keyed(elements[:own], kind(total), salt)], [np.ones(own, bool)], [rest[:own]]
     for c in range(kind(t * total / _SLACK), kind(total) + 1):
         least = max(np.exp(c * CLASS_STEP) / _SLACK, t * total)
-        first = elements[rest >= t / (1 + t) * (least + total)]
-        keys.append(_keyed(first, c, salt))
-        light.append(np.zeros(len(first), bool))
-    return np.concatenate(keys), np.concatenate(light)
+        first = int((rest >= t / (1 + t) * (least + total)).sum())
+        keys.append(_keyed(elements[:first], c, salt))
+        light.append(np.zeros(first, bool))
+        rests.append(rest[:first])
+    keys = np.concatenate(keys)
+    return keys, np.concatenate(light), np.concatenate(rests), np.full(len(keys), total)
 
 
 def _keyed(elements: np.ndarray, kind: int, salt: int) -> np.ndarray:
@@ -421,7 +428,9 @@ def _prefix_pairs(sets: DataFrame, idf: np.ndarray) -> DataFrame:
 
     sets: node, label, size (texts of the label), shingles. Both similarities count: of the weighted shingles with
     their counts (a shingle's second, third … time is an element of its own), and of the
-    plain set. Under each key, the texts outside the largest class meet the others.
+    plain set. Under each key, the texts outside the largest class meet the others of the
+    other side. Classes of weight and sides are rough, so a pair is kept only where the key's
+    element leaves each text the weight that two of just their weights must share to be alike.
     """
     shared = sets.sparkSession.sparkContext.broadcast(idf)
 
@@ -439,17 +448,18 @@ def _prefix_pairs(sets: DataFrame, idf: np.ndarray) -> DataFrame:
                     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     many = np.repeat(weight, n)
                     counted = np.repeat(key, n) + nth.astype(_U) * _U(0xA0761D6478BD642F)
-                    for keys, light in (prefix_keys(counted, many, many, 1), prefix_keys(key, weight, np.ones(len(key)), 2)):
-                        parts.append((keys.view(np.int64), light, np.full(len(keys), node), np.full(len(keys), label), np.full(len(keys), size)))
+                    for keys, light, rest, total in (prefix_rows(counted, many, many, 1), prefix_rows(key, weight, np.ones(len(key)), 2)):
+                        parts.append((keys.view(np.int64), light, np.full(len(keys), node), np.full(len(keys), label), np.full(len(keys), size), rest, total))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["key", "light", "node", "label", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["key", "light", "node", "label", "size", "rest", "total"])
 
-    keys = common.written(sets.select("node", "label", "size", "shingles").mapInArrow(run, "key long, light boolean, node long, label long, size long"), "prefixes")
+    keys = common.written(sets.select("node", "label", "size", "shingles").mapInArrow(run, "key long, light boolean, node long, label long, size long, rest double, total double"), "prefixes")
     mixed = keys.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("core"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "core")
     mixed = common.written(mixed, "mixed")  # tables, so that the joins below can be split where a key is hot
-    outside = keys.join(mixed, "key").where("label <> core").select("key", F.col("light").alias("l"), F.col("node").alias("n"), F.col("label").alias("own"))
+    outside = keys.join(mixed, "key").where("label <> core").select("key", (~F.col("light")).alias("light"), F.col("node").alias("n"), F.col("label").alias("own"), F.col("rest").alias("r"), F.col("total").alias("w"))
     outside = common.written(outside, "outside")
-    met = outside.join(keys, "key").where("l <> light AND own <> label")
+    enough = F.least("r", "rest") >= THRESHOLD / (1 + THRESHOLD) * (F.col("w") + F.col("total"))
+    met = outside.join(keys, ["key", "light"]).where("own <> label AND IF(light, total <= w, total >= w)").where(enough)
     return met.select(F.least("n", "node").alias("a"), F.greatest("n", "node").alias("b")).distinct()
 
 

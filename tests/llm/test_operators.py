@@ -510,6 +510,22 @@ def test_prefix_keys_lose_no_similar_pair():
     assert pairs > 50 and met < 400
 
 
+def test_prefix_pairs_are_few_beside_the_similar_ones(spark):
+    """Texts around one long line, most of them too far from each other: no similar pair of two
+    classes is lost, and hardly others meet."""
+    rng = random.Random(13)
+    line = prose(rng, 12)
+    texts = [" ".join([prose(rng, rng.randint(5, 60)), *[line] * rng.randint(10, 14)]) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    idf = near_dup.idf_table(docs)
+    sets = near_dup._sets(docs)
+    got = [(r.a, r.b) for r in near_dup._prefix_pairs(sets.selectExpr("node", "node DIV 2 AS label", "2L AS size", "shingles"), idf).collect()]
+    packed = {r.node: np.frombuffer(r.shingles, near_dup.PACKED) for r in sets.collect()}
+    want = {(a, b) for a in packed for b in packed if a < b and a // 2 != b // 2 and max(near_dup._similarity(packed[a], packed[b], idf)) >= near_dup.THRESHOLD}
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert 50 < len(want) and len(got) <= 2 * len(want)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 4), (20, 21), (22, 21), (5, 5)], "a long, b long")
     assert dict(map(tuple, near_dup.components(edges).collect())) == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 20: 20, 21: 20, 22: 20}
